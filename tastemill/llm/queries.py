@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup
+from . import ann, chat, exact_dedup, substring_dedup
 from .store import table
 
 
@@ -14,6 +14,11 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -36,8 +41,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op6_exact_dedup": op6_exact_dedup, "op8_chat": op8_chat}
+    return {"op1_ann": op1_ann, "op2_substring_dedup": op2_substring_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_chat": op8_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat.ORACLE}
+    return {"op2_substring_dedup": substring_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat.ORACLE}
