@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, substring_dedup
+from . import ann, chat, exact_dedup, minhash_dedup, substring_dedup
 from .store import table
 
 
@@ -40,9 +40,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op2_substring_dedup": op2_substring_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_chat": op8_chat}
+    return {"op1_ann": op1_ann, "op2_substring_dedup": op2_substring_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_chat": op8_chat, "op10_minhash_dedup": op10_minhash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat.ORACLE}
+    return {"op2_substring_dedup": substring_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat.ORACLE, "op10_minhash_dedup": minhash_dedup.ORACLE}
