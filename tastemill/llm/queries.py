@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, minhash_dedup, substring_dedup
+from . import ann, chat, exact_dedup, minhash_dedup, substring_dedup, toxicity
 from .store import table
 
 
@@ -40,12 +40,21 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op2_substring_dedup": op2_substring_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_chat": op8_chat, "op10_minhash_dedup": op10_minhash_dedup}
+    return {"op1_ann": op1_ann, "op2_substring_dedup": op2_substring_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_minhash_dedup": op10_minhash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
