@@ -11,7 +11,7 @@ their context) that several documents share; only windows they serve are hashed
 each window decides. Windows are named by 64 bits, as are symbols; a wrong match takes a collision of both.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of whole texts. A word goes if a window that covers it also starts in a document with a smaller
-``doc_id``; windows are those of the input. Null and empty texts have no words. Documents of under ``WINDOW`` words keep all. Rows
+``doc_id``; windows are those of the input. Of equal texts only the first is searched; the others lose all their words. Null and empty texts have no words. Documents of under ``WINDOW`` words keep all. Rows
 that share a ``doc_id`` don't remove from each other; rows with a null ``doc_id`` neither lose words nor make others
 lose them. An empty table gives no rows; other columns are ignored.
 """
@@ -105,7 +105,7 @@ def _covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        known = batch.filter(batch.column("doc_id").is_valid())
+        known = batch.filter(pc.and_not(batch.column("doc_id").is_valid(), pc.fill_null(batch.column("copy"), False)))
         symbols, bounds = hashed(known.column("text"))
         at, names = serving(symbols, bounds)
         doc = np.searchsorted(bounds, at, side="right") - 1
@@ -115,24 +115,30 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([as_long(names[once]), pa.array(ids[doc[once]])], ["name", "doc_id"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        batch = batch.filter(batch.column("names").is_valid())
-        symbols, bounds = hashed(batch.column("text"))
-        at, served = serving(symbols, bounds)
-        doc = np.searchsorted(bounds, at, side="right") - 1
-        held = batch.column("names")
-        counts = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        alive = mix(held.flatten().to_numpy().view(np.uint64)) ^ mix(np.repeat(np.arange(len(counts)), counts).astype(np.uint64))
-        good = np.isin(mix(served) ^ mix(doc.astype(np.uint64)), alive)
-        at, doc = at[good], doc[good]
-        name = np.zeros(len(at), np.uint64)
-        for k in range(WINDOW):
-            name = mix(name + symbols[at + k] + np.uint64(k))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(
-            [as_long(name), pa.array(ids[doc]), pa.array((at - bounds[doc]).astype(np.int32))], ["name", "doc_id", "at"]
-        )
+def _windows(role: str):
+    """The windows that the symbols listed in column ``role`` serve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(role).is_valid())
+            symbols, bounds = hashed(batch.column("text"))
+            at, served = serving(symbols, bounds)
+            doc = np.searchsorted(bounds, at, side="right") - 1
+            held = batch.column(role)
+            counts = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(counts)), counts).astype(np.uint64)
+            alive = mix(held.flatten().to_numpy().view(np.uint64)) ^ mix(of)
+            good = np.isin(mix(served) ^ mix(doc.astype(np.uint64)), alive)
+            at, doc = at[good], doc[good]
+            name = np.zeros(len(at), np.uint64)
+            for k in range(WINDOW):
+                name = mix(name + symbols[at + k] + np.uint64(k))
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [as_long(name), pa.array(ids[doc]), pa.array((at - bounds[doc]).astype(np.int32))], ["name", "doc_id", "at"]
+            )
+
+    return run
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +149,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(bounds[:-1], counts)
         gone = _covered(at, at + WINDOW, len(codes)) if len(codes) else np.zeros(0, bool)
         totals = np.diff(bounds)
+        copy = pc.fill_null(batch.column("copy"), False).to_numpy(zero_copy_only=False) & (totals >= WINDOW)
+        gone |= np.repeat(copy, totals)
         kept_bounds = np.r_[0, np.cumsum(~gone)][bounds]
         kept = words.cast(pa.string()).take(pa.array(codes[~gone]))
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept_bounds.astype(np.int32)), kept), " ")
@@ -155,15 +163,25 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``; ``kept`` joins the words that stay by one space."""
     small_batches(docs.sparkSession)
-    # One shuffle of the texts serves all passes over them; left joins keep its three uses alike, so that Spark reuses it.
+    # One shuffle of the texts serves all passes over them; left joins keep its uses alike, so that Spark reuses it.
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").repartition("doc_id")
-    anchors = texts.mapInArrow(_anchors, "name bigint, doc_id bigint")
+    digests = docs.select(F.col("doc_id").cast("bigint"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = digests.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.lit(True).alias("copy"))
+    marked = texts.join(copies, "doc_id", "left").select("doc_id", "text", "copy")
+    anchors = marked.mapInArrow(_anchors, "name bigint, doc_id bigint")
     shared = anchors.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    per_doc = anchors.join(shared.select("name"), "name", "left_semi").groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    windows = texts.join(per_doc, "doc_id", "left").select("doc_id", "text", "names").mapInArrow(_windows, "name bigint, doc_id bigint, at int")
-    owners = windows.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    starts = windows.join(owners.select("name", "low"), "name").where("doc_id > low").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
-    return texts.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(
+    # The last document that holds a symbol has no later one to take words from, the first has none before it.
+    per_doc = anchors.join(shared, "name").groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("doc_id") < F.col("high"), F.col("name"))).alias("sources"),
+        F.collect_list(F.when(F.col("doc_id") > F.col("low"), F.col("name"))).alias("targets"),
+    )
+    served = texts.join(per_doc, "doc_id", "left").select("doc_id", "text", "sources", "targets")
+    schema = "name bigint, doc_id bigint, at int"
+    owners = served.drop("targets").mapInArrow(_windows("sources"), schema).groupBy("name").agg(F.min("doc_id").alias("low"))
+    targets = served.drop("sources").mapInArrow(_windows("targets"), schema)
+    starts = targets.join(owners, "name").where("doc_id > low").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    return marked.join(starts, "doc_id", "left").select("doc_id", "text", "copy", "starts").mapInArrow(
         _removed, "doc_id bigint, n_words bigint, n_removed bigint, kept string"
     )
 
