@@ -108,9 +108,8 @@ def canonical_turns_json(records: DataFrame, json_column: str, id_column: str =
     for key, m in BY_FINGERPRINT.items():
         if m.list_path:
             kind = f"array<struct<`{m.role}`:string,`{m.text}`:string>>"
-            made = F.transform(
-                F.try_variant_get("v", f"$.{m.list_path}", kind), lambda t, m=m: _turn(t[m.role], t[m.text])
-            )
+            role, text = m.role, m.text
+            made = F.transform(F.try_variant_get("v", f"$.{m.list_path}", kind), lambda t: _turn(t[role], t[text]))
         elif m.turns:
             made = F.array(*(_turn(F.lit(r), F.try_variant_get("v", f"$.{p}", "string")) for r, p in m.turns))
         else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, minhash_dedup, substring_dedup, toxicity
+from . import ann, chat, exact_dedup, minhash_dedup, pii, substring_dedup, toxicity
 from .store import table
 
 
@@ -19,6 +19,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -54,7 +62,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op2_substring_dedup": op2_substring_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_minhash_dedup": op10_minhash_dedup}
+    return {"op1_ann": op1_ann, "op2_substring_dedup": op2_substring_dedup, "op4_pii": op4_pii, "op6_exact_dedup": op6_exact_dedup, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_minhash_dedup": op10_minhash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
