@@ -6,8 +6,8 @@ digest, and classes that share a band are candidates.
 
 Large buckets are not expanded into all their pairs. A few members of each bucket, the pivots, are compared with the others first;
 links found unite groups, and only members of different groups are compared in the following rounds. The last round
-compares all that are still in different groups, so that no candidate pair is left open. Candidates are screened by the share of equal
-min and max values, far below the threshold, and then confirmed on the full sets of 64-bit shingle hashes.
+compares all that are still in different groups, so that no candidate pair is left open. Pairs are screened inside the join by
+the share of equal min and max values, far below the threshold, and then confirmed on the full sets of 64-bit shingle hashes.
 
 Null or word-less texts have an empty set and link with nothing; shorter texts than a shingle are one shingle. Rows that repeat a
 ``doc_id`` are one node. Rows with a null ``doc_id`` keep a null component and are kept. Other columns are ignored; an empty table
@@ -22,17 +22,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import LongType
 
 from .components import connected
 from .store import small_batches, written
 from .words import as_long, hashed, lists, mix, ragged
 
 SHINGLE, PERMUTATIONS, ROWS, PERCENT = 4, 100, 5, 80
-SCREEN = 0.2
-PIVOTS = (1, 8)
+SCREEN = 0.15
+PIVOTS = (1, 2)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,16 +81,15 @@ def _signed(width: int, permutations: int, rows: int):
             keys = np.broadcast_to(np.arange(banded.shape[1], dtype=np.uint64), banded.shape[:2]).copy()
             for r in range(rows):
                 keys = mix(keys + banded[:, :, r] + np.uint64(r))
-            sketch = (mix(values) & np.uint64(255)).astype(np.uint8)
+            nibbles = (mix(values) & np.uint64(15))[:, : values.shape[1] // 16 * 16].reshape(len(full), -1, 16)
+            sketch = np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
             digests = [None] * len(sizes)
-            sketches = [None] * len(sizes)
-            for i, j in enumerate(full):
+            for j in full:
                 digests[j] = xxhash.xxh3_128_digest(name[bounds[j] : bounds[j + 1]].tobytes())
-                sketches[j] = sketch[i].tobytes()
-            counts = np.zeros(len(sizes), np.int64)
-            counts[full] = keys.shape[1]
+            counts, longs = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+            counts[full], longs[full] = keys.shape[1], sketch.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()),
+                [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), lists(sketch.ravel().view(np.int64), longs),
                  lists(keys.ravel().view(np.int64), counts)],
                 ["doc_id", "n_shingles", "digest", "sketch", "bands"],
             )
@@ -108,12 +107,15 @@ def _sets(width: int):
     return run
 
 
-@F.pandas_udf(DoubleType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
-    return pd.Series((x == np.frombuffer(b"".join(b), np.uint8).reshape(x.shape)).mean(1))
+def _alike(a: Column, b: Column, values: int) -> Column:
+    """The share of equal values of two sketches, which hold four bits of each value, as estimated from these."""
+    differ = F.lit(0)
+    for i in range(values // 16):
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(x)
+    return 1 - differ / F.lit(values - values % 16) * F.lit(16 / 15)
 
 
 @F.pandas_udf(LongType())
@@ -126,26 +128,12 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-class Links:
-    """Confirms candidate pairs of nodes on their full sets."""
-
-    def __init__(self, sketches: DataFrame, sets: DataFrame, percent: int):
-        self.sketches, self.sets, self.percent = sketches, sets, percent
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        def side(t: DataFrame, end: str) -> DataFrame:
-            return t.select(*(F.col(c).alias(end if c == "node" else f"{end}_{c}") for c in t.columns))
-
-        near = (
-            pairs.join(side(self.sketches, "a"), "a").join(side(self.sketches, "b"), "b")
-            .where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * self.percent)
-            .where(_alike("a_sketch", "b_sketch") >= self.percent / 100 - SCREEN)
-            .select("a", "b", "a_n", "b_n")
-        )
-        near = written(near, "screened")
-        shared = near.join(side(self.sets, "a"), "a").join(side(self.sets, "b"), "b").withColumn("shared", _shared("a_members", "b_members"))
-        total = F.col("a_n") + F.col("b_n") - F.col("shared")
-        return shared.where(F.col("shared") * 100 >= total * self.percent).select("a", "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b, a_n, b_n`` whose full sets are alike enough."""
+    of_a, of_b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"{x}_members")) for x in "ab")
+    shared = pairs.join(of_a, "a").join(of_b, "b").withColumn("shared", _shared("a_members", "b_members"))
+    total = F.col("a_n") + F.col("b_n") - F.col("shared")
+    return shared.where(F.col("shared") * 100 >= total * percent).select("a", "b")
 
 
 def near_duplicates(
@@ -154,7 +142,7 @@ def near_duplicates(
     """``doc_id, n_shingles, component_id, kept`` of each row; ``component_id`` is the smallest linked ``doc_id``."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint"), "text")
-    schema = "doc_id bigint, n_shingles bigint, digest binary, sketch binary, bands array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>, bands array<bigint>"
     signed = written(texts.mapInArrow(_signed(width, permutations, rows), schema), "signatures")
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
@@ -162,33 +150,52 @@ def near_duplicates(
         F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands"
     )
     nodes = written(nodes.dropDuplicates(["node"]), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    banded = nodes.select(F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = written(banded.join(shared.select("band"), "band", "left_semi"), "buckets")
+    buckets = nodes.select("node", F.explode("bands").alias("band")).join(shared.select("band"), "band", "left_semi")
+    buckets = written(buckets.join(nodes, "node"), "buckets")
     wanted = buckets.select("node").distinct()
     sets = texts.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "node bigint, members binary")
-    links = Links(nodes.select("node", "n", "sketch"), written(sets.dropDuplicates(["node"]), "sets"), percent)
+    sets = written(sets.dropDuplicates(["node"]), "sets")
 
-    found = tested = None
+    found, tested = None, None
     groups = wanted.withColumn("component", F.col("node"))
     for round_, pivots in enumerate((*PIVOTS, None)):
         placed = written(buckets.join(groups, "node"), "placed")
         mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         active = placed.join(mixed.select("band"), "band", "left_semi")
         if pivots:
-            slot = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(pivots))
-            others = active.groupBy("band", slot.alias("slot")).agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(-round_))).alias("p")).select("band", F.col("p.node").alias("other"), F.col("p.component").alias("other_component"))
+            slot = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(pivots)).alias("slot")
+            row = F.struct(*(c for c in active.columns if c != "band"))
+            others = active.groupBy("band", slot).agg(F.min_by(row, F.xxhash64("node", F.lit(-1 - round_))).alias("other"))
+            others = others.select("band", "other.*")
         else:
-            others = active.select("band", F.col("node").alias("other"), F.col("component").alias("other_component"))
-        apart = F.col("component") != F.col("other_component") if pivots else F.col("component") < F.col("other_component")
-        pairs = active.join(others, "band").where(apart).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            others = active
+        other = others.select(*(F.col(c).alias(f"o_{c}") for c in others.columns))
+        # Screened within the join, and emitted in the first band that both share.
+        alike = (
+            (F.col("component") != F.col("o_component") if pivots else F.col("component") < F.col("o_component"))
+            & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent)
+            & (_alike(F.col("sketch"), F.col("o_sketch"), 2 * permutations) >= percent / 100 - SCREEN)
+        )
+        if not pivots:
+            both = F.zip_with("bands", "o_bands", lambda x, y: x == y)
+            alike = alike & (F.get("bands", F.array_position(both, F.lit(True)).cast("int") - 1) == F.col("band"))
+        pairs = active.join(other, (F.col("band") == F.col("o_band")) & alike)
+        low = F.col("node") < F.col("o_node")
+        pairs = pairs.select(
+            F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"),
+            F.when(low, F.col("n")).otherwise(F.col("o_n")).alias("a_n"), F.when(low, F.col("o_n")).otherwise(F.col("n")).alias("b_n"),
+        ).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        fresh = written(links.confirmed(pairs), "links")
+        fresh = written(confirmed(pairs, sets, percent), "confirmed")
         found = fresh if found is None else found.unionByName(fresh)
-        groups = wanted.join(connected(found).select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        groups = wanted.join(connected(found).select("node", "component"), "node", "left").select(
+            "node", F.coalesce("component", "node").alias("component")
+        )
     labels = classes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return signed.join(labels, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
