@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, minhash_dedup, pii, substring_dedup, toxicity
-from .store import table
+from . import ann, chat, exact_dedup, line_dedup, minhash_dedup, packing, pii, piece_fst, substring_dedup, toxicity
+from .store import table, tokenizer
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select(
@@ -27,11 +31,20 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.digested(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame(
@@ -62,7 +75,11 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op2_substring_dedup": op2_substring_dedup, "op4_pii": op4_pii, "op6_exact_dedup": op6_exact_dedup, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_minhash_dedup": op10_minhash_dedup}
+    found = (
+        op1_ann, op2_substring_dedup, op3_packing, op4_pii, op5_line_dedup, op6_exact_dedup, op7_piece_fst, op8_chat, op9_toxicity,
+        op10_minhash_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

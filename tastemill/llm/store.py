@@ -37,3 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows of an Arrow batch, so that long texts do not fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def tokenizer(name: str, folder: str | None = None) -> str:
+    """The path of a public tokenizer's file, in ``folder`` or where the installed package has it."""
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
