@@ -7,7 +7,8 @@ digest, and classes that share a band are candidates.
 Large buckets are not expanded into all their pairs. A few members of each bucket, the pivots, are compared with the others first;
 links found unite groups, and only members of different groups are compared in the following rounds. The last round
 compares all that are still in different groups, so that no candidate pair is left open. Pairs are screened inside the join by
-the share of equal min and max values, far below the threshold, and then confirmed on the full sets of 64-bit shingle hashes.
+a lower bound of their difference, which no linked pair exceeds, and by the share of equal min and max values, far below the threshold. They are then
+confirmed on the full sets of 64-bit shingle hashes.
 
 Null or word-less texts have an empty set and link with nothing; shorter texts than a shingle are one shingle. Rows that repeat a
 ``doc_id`` are one node. Rows with a null ``doc_id`` keep a null component and are kept. Other columns are ignored; an empty table
@@ -31,7 +32,7 @@ from .store import small_batches, written
 from .words import as_long, hashed, lists, mix, ragged
 
 SHINGLE, PERMUTATIONS, ROWS, PERCENT = 4, 100, 5, 80
-SCREEN = 0.15
+SCREEN, PARITIES = 0.2, 1024
 PIVOTS = (1, 2)
 
 
@@ -83,6 +84,10 @@ def _signed(width: int, permutations: int, rows: int):
                 keys = mix(keys + banded[:, :, r] + np.uint64(r))
             nibbles = (mix(values) & np.uint64(15))[:, : values.shape[1] // 16 * 16].reshape(len(full), -1, 16)
             sketch = np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+            doc = np.repeat(np.arange(len(full)), sizes[full])
+            odd = np.bincount(doc * PARITIES + (name >> np.uint64(54)).astype(np.int64), minlength=len(full) * PARITIES) & 1
+            odd = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(full), -1)
+            sketch = np.concatenate([sketch, odd], 1)
             digests = [None] * len(sizes)
             for j in full:
                 digests[j] = xxhash.xxh3_128_digest(name[bounds[j] : bounds[j + 1]].tobytes())
@@ -128,6 +133,11 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
+def _apart(a: Column, b: Column, values: int) -> Column:
+    """A lower bound of the number of members that only one of two sets has: unequal parities of the members' hash classes."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(values // 16, values // 16 + PARITIES // 64)), F.lit(0))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs ``a, b, a_n, b_n`` whose full sets are alike enough."""
     of_a, of_b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"{x}_members")) for x in "ab")
@@ -176,6 +186,7 @@ def near_duplicates(
         alike = (
             (F.col("component") != F.col("o_component") if pivots else F.col("component") < F.col("o_component"))
             & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent)
+            & (_apart(F.col("sketch"), F.col("o_sketch"), 2 * permutations) * (100 + percent) <= (F.col("n") + F.col("o_n")) * (100 - percent))
             & (_alike(F.col("sketch"), F.col("o_sketch"), 2 * permutations) >= percent / 100 - SCREEN)
         )
         if not pivots:
