@@ -83,15 +83,12 @@ def serving(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         counts = np.r_[0, np.cumsum(open_)]
         used = last >= first
         used[used] = counts[last[used] + 1] > counts[first[used]]
-        by = np.argsort(names[used])[::-1]
-        names, first, last = names[used][by], first[used][by], last[used][by]
+        names, first, last = names[used], first[used], last[used]
         level = np.full(n, NONE)
         for k in range(WINDOW):
             inside = first + k <= last
-            # The smallest name is written last of its k; names of other k are compared.
-            here = np.full(n, NONE)
-            here[first[inside] + k] = names[inside]
-            np.minimum(level, here, out=level)
+            names, first, last = names[inside], first[inside], last[inside]
+            np.minimum.at(level, first + k, names)
         best = np.where(open_, level, best)
         open_ &= best == NONE
         if not open_.any():
