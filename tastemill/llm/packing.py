@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from .words import ragged
 
 WINDOW, END, SHARD, QUERY_TERMS = 2048, 1, 1024, 24
 K1, B = 1.2, 0.75
-CACHE = 400_000
+CACHE = 600_000
 
 
 class Tokens:
@@ -44,7 +45,7 @@ class Tokens:
 
         self.whole = Tokenizer.from_file(vocabulary)
         self.whole.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         self.fast = None
         ranks_file = vocabulary.removesuffix(".json") + ".tiktoken"
         try:
@@ -78,33 +79,32 @@ class Tokens:
         odd = np.array([not w or w[-1].isspace() for w in words], bool)
         lone = np.zeros(len(texts), bool)
         doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        lone[np.unique(doc[odd[codes >> 1]])] = True
-        used = np.unique(codes)
+        lone[doc[odd[codes >> 1]]] = True
+        keep = ~lone[doc]
+        codes, doc, whole = codes[keep], doc[keep], np.flatnonzero(lone)
+        used = np.flatnonzero(np.bincount(codes, minlength=2 * len(words)))
         keys = [words[c >> 1] if c % 2 == 0 else " " + words[c >> 1] for c in used.tolist()]
         new = [k for k in keys if k not in self.known]
-        fresh = dict(zip(new, (np.array(x, np.uint16) for x in self._encode(new)), strict=True))
-        pieces = [self.known[k] if k in self.known else fresh[k] for k in keys]
+        fresh = dict(zip(new, (array("H", x).tobytes() for x in self._encode(new)), strict=True))
+        pieces = [fresh.get(k) or self.known[k] for k in keys]
         if len(self.known) < CACHE:
             self.known.update(fresh)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        table = np.concatenate([*pieces, np.zeros(0, np.uint16)])
-        at = np.searchsorted(used, codes)
-        keep = ~lone[doc]
-        lengths = np.where(keep, sizes[at], 0)
-        starts = np.r_[0, np.cumsum(sizes)][at]
-        ids = table[ragged(starts, lengths)] if len(codes) else np.zeros(0, np.uint16)
-        totals = np.bincount(doc, lengths, len(texts)).astype(np.int64)
-        ends = np.r_[0, np.cumsum(totals)]
-        own = [ids[ends[i] : ends[i + 1]] for i in range(len(texts))] if lone.any() else None
-        if own is not None:
-            at = np.flatnonzero(lone)
-            for i, x in zip(at, self._encode([texts[int(i)].as_py() for i in at]), strict=True):
-                own[i] = np.array(x, np.uint16)
-            totals = np.fromiter(map(len, own), np.int64, len(own))
-            ids, ends = np.concatenate(own), np.r_[0, np.cumsum(totals)]
-        out = np.full(len(ids) + len(texts), END, np.uint16)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), totals)] = ids
-        return out, ends + np.arange(len(texts) + 1)
+        pieces += [array("H", x).tobytes() for x in self._encode([texts[int(i)].as_py() for i in whole])]
+        pieces.append(array("H", [END]).tobytes())
+        # The pieces of all texts in order; a text encoded whole is one piece, and each text is followed by the end.
+        place = np.zeros(2 * len(words), np.int32)
+        place[used] = np.arange(len(used))
+        body = np.insert(place[codes], np.searchsorted(doc, whole), len(used) + np.arange(len(whole)))
+        counts = np.bincount(doc, minlength=len(texts)) + lone + 1
+        ends = np.cumsum(counts)
+        order = np.full(len(body) + len(texts), len(pieces) - 1, np.int32)
+        inner = np.ones(len(order), bool)
+        inner[ends - 1] = False
+        order[inner] = body
+        joined = pa.array(pieces, pa.large_binary()).take(pa.array(order))
+        _, offsets, data = joined.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[joined.offset : joined.offset + len(order) + 1]
+        return np.frombuffer(data, np.uint16)[offsets[0] // 2 : offsets[-1] // 2], (offsets[np.r_[0, ends]] - offsets[0]) // 2
 
 
 @lru_cache(1)
