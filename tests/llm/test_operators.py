@@ -192,6 +192,37 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def links_by_brute_force(spark, lines):
+    """Groups of the lines (a representative of each) by the edit similarity of all their pairs."""
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, t string")
+    longest = F.greatest(F.length("a.t"), F.length("b.t"))
+    pairs = rows.alias("a").join(rows.alias("b"), F.expr("a.i < b.i")).where(F.levenshtein("a.t", "b.t") <= F.floor(longest * (1 - line_dedup.SIMILARITY) + 1e-9))
+    group = list(range(len(lines)))
+    for a, b in sorted(map(tuple, pairs.select("a.i", "b.i").collect())):
+        low, high = sorted((group[a], group[b]))
+        group = [low if g == high else g for g in group]
+    return group
+
+
+def test_lines_with_edits(spark):
+    """One or two words of lines of 8 to 60 words change; found are those that brute force finds."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    lines = []
+    for n in range(8, 61):
+        for edits in (1, 2):
+            own = [rng.choice(vocabulary) for _ in range(n)]
+            near = list(own)
+            for i in rng.sample(range(n), edits):
+                near[i] = rng.choice(vocabulary)
+            lines += [" ".join(own), " ".join(near)]
+    group = links_by_brute_force(spark, lines)
+    expected = {i for i, g in enumerate(group) if g != i}
+    got = {r.doc_id for r in line_dedup.dedup_lines(docs(spark, lines)).where("n_removed > 0").collect()}
+    assert len(expected) > 90 and got <= expected
+    assert len(got) >= 0.99 * len(expected), f"{len(got)} of {len(expected)}"
+
+
 def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer("byte_bpe_50k.json")
