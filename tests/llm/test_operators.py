@@ -223,6 +223,22 @@ def test_lines_with_edits(spark):
     assert len(got) >= 0.99 * len(expected), f"{len(got)} of {len(expected)}"
 
 
+def test_lines_of_interleaved_families(spark, monkeypatch):
+    """All lines are in one bucket, where neighbours are mostly of other families."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    lines = []
+    for _ in range(40):
+        own = [word() for _ in range(12)]
+        for i in range(3):
+            lines.append(" ".join([*own[:i], word(), *own[i + 1 :]]))
+    rng.shuffle(lines)
+    group = links_by_brute_force(spark, lines)
+    monkeypatch.setattr(line_dedup, "buckets_of", lambda: [F.lit(1).cast("bigint")])
+    got = {r.doc_id for r in line_dedup.dedup_lines(docs(spark, lines)).where("n_removed > 0").collect()}
+    assert len(set(group)) == 40 and got == {i for i, g in enumerate(group) if g != i}
+
+
 def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer("byte_bpe_50k.json")
