@@ -32,7 +32,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), equal_words=1)
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.llm import ann, chat, components, exact_dedup, line_dedup, minhash_dedup, packing, pii, piece_fst, substring_dedup, toxicity
+from tastemill.llm import ann, chat, components, exact_dedup, line_dedup, minhash_dedup, packing, pii, piece_fst, queries, substring_dedup, toxicity
 from tastemill.llm.store import tokenizer
 
 DOC = "doc_id bigint, text string, lang string, name string, key string, n bigint"
@@ -239,6 +239,16 @@ def test_lines_of_interleaved_families(spark, monkeypatch):
     assert len(set(group)) == 40 and got == {i for i, g in enumerate(group) if g != i}
 
 
+def test_short_lines(spark, tmp_path):
+    """The query drops every repeated line that has a letter or digit, and near lines of a script without spaces."""
+    han = "".join(chr(0x4E00 + i * 7) for i in range(40))
+    texts = ["Page 1\n\nNext", "page 1!\n\nNext", f"{han}\n---\n2", f"{han[:20]}x{han[21:]}\n---\n3", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].text for i in range(5)] == [texts[0], "", texts[2], "---\n3", None]
+    assert [got[i].n_removed for i in range(5)] == [0, 2, 0, 1, 0]
+
+
 def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer("byte_bpe_50k.json")
