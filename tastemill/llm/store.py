@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests, a laptop) a local one is set once."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset a local one is set once, with a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; a cluster needs a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tastemill-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -23,10 +25,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation.
+
+    Spark removes the shuffle files of finished jobs when the driver collects its garbage, so it is asked to.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
