@@ -30,21 +30,22 @@ from .words import ragged
 
 WINDOW, END, SHARD, QUERY_TERMS = 2048, 1, 1024, 24
 K1, B = 1.2, 0.75
-CACHE = 600_000
+CACHE, MOST_IDS = 600_000, 1 << 26
 
 
 class Tokens:
     """Ids of whole texts by the byte-level BPE; the chunks of a batch are encoded once each.
 
     A text is cut before each space that follows a character other than white space; no piece of the tokenizer's own pre-split
-    crosses such a place. Texts with other runs of white space are encoded whole.
+    crosses such a place. Texts with other runs of white space are encoded whole, and so are texts that hold one of the tokenizer's own
+    marks, which become their ids.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True
+        self.marks = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.fast = None
         ranks_file = vocabulary.removesuffix(".json") + ".tiktoken"
@@ -61,6 +62,9 @@ class Tokens:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         if self.fast:
             return [self.fast(t) for t in texts]
+        return self._encode_marked(texts)
+
+    def _encode_marked(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +84,10 @@ class Tokens:
         lone = np.zeros(len(texts), bool)
         doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
         lone[doc[odd[codes >> 1]]] = True
+        marked = np.zeros(len(texts), bool)
+        for mark in self.marks:
+            marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        lone |= marked
         keep = ~lone[doc]
         codes, doc, whole = codes[keep], doc[keep], np.flatnonzero(lone)
         used = np.flatnonzero(np.bincount(codes, minlength=2 * len(words)))
@@ -89,7 +97,9 @@ class Tokens:
         pieces = [fresh.get(k) or self.known[k] for k in keys]
         if len(self.known) < CACHE:
             self.known.update(fresh)
-        pieces += [array("H", x).tobytes() for x in self._encode([texts[int(i)].as_py() for i in whole])]
+        for i in whole:
+            encode = self._encode_marked if marked[i] else self._encode
+            pieces.append(array("H", encode([texts[int(i)].as_py()])[0]).tobytes())
         pieces.append(array("H", [END]).tobytes())
         # The pieces of all texts in order; a text encoded whole is one piece, and each text is followed by the end.
         place = np.zeros(2 * len(words), np.int32)
@@ -121,9 +131,13 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             ids, ends = tokens.encode(batch.column("text"))
             raw = pa.py_buffer(ids.astype("<u2").tobytes())
-            offsets = pa.array((ends * 2).astype(np.int32))
-            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets.buffers()[1], raw])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), packed], ["doc_id", "n", "ids"])
+            offsets = pa.array(ends * 2)
+            packed = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, offsets.buffers()[1], raw])
+            # Batches of less than MOST_IDS ids, as a row's binary value has 32-bit offsets.
+            cuts = np.flatnonzero(np.diff(ends[:-1] // MOST_IDS, prepend=-1))
+            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows]):
+                part = packed.slice(lo, hi - lo).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(ends)[lo:hi]), part], ["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, ids binary")
 
@@ -223,5 +237,6 @@ def pack(docs: DataFrame, vocabulary: str, shard: int = SHARD) -> DataFrame:
         )
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)))
+    # Equal rows are interchangeable, so the place of a row in its file may part them: its pieces depend on its ids alone.
+    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("ids"), F.col("_metadata.row_index")), F.lit(shards))).drop("_metadata")
     return dealt.groupBy("shard").applyInPandas(run, schema)

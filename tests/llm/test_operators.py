@@ -253,8 +253,7 @@ def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer("byte_bpe_50k.json")
     whole = tokenizers.Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    texts = [*corpus(4), "<|endoftext|>  two\n ", "don't 🙂 漢"]
+    texts = [*corpus(4), "<|endoftext|>  two\n ", "one<|endoftext|>two <|endoftext|>", "<|endoftext|>", "don't 🙂 漢"]
     rows = packing.pack(docs(spark, texts), path, shard=32).collect()
     ids = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
     seen, sequences = {}, {}
@@ -272,6 +271,10 @@ def test_packing(spark):
             assert offset == at
             at += n
         assert at <= packing.WINDOW
+    # Only the last sequence of a shard is padded, and that to a power of two.
+    totals = [sum(n for _, n in parts) for parts in sequences.values()]
+    padding = sum((1 << (t - 1).bit_length()) - t for t in totals if t < packing.WINDOW)
+    assert sum(t < packing.WINDOW for t in totals) <= -(-len(texts) // 32) and padding < packing.WINDOW / 2 * -(-len(texts) // 32)
     assert packing.pack(docs(spark, texts).limit(0), path).count() == 0
 
 
