@@ -1,6 +1,8 @@
 """Lexical retrieval packing.
 
-Documents are tokenised, each with an end id, and dealt to shards. In each shard a BM25 inverted index over token ids, weighted with
+Documents are tokenised, each with an end id, and dealt to shards of about ``SHARD`` by content: a weighted min-hash of its token ids, in which the
+rarer ids (a byte-pair vocabulary numbers them last) come sooner, is a document's key, so that documents with rare tokens in common tend to share it.
+Small keys are put together; a key with more documents than a shard holds has shards of its own, among which they are dealt by hash. In each shard a BM25 inverted index over token ids, weighted with
 document frequencies of the whole corpus, returns the unused neighbours of a seed document, best first. They fill the seed's window
 greedily; the neighbour that does not fit is cut, fills the window and seeds the next one with its rest, so that only the last
 window of a shard is padded, to a power of two. A seed without unused neighbours goes on with the next unused document.
@@ -124,12 +126,13 @@ def tokens_for(vocabulary: str) -> Tokens:
 
 
 def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id, row, n, ids``: little-endian 16-bit ids, and a hash that deals rows to shards."""
+    """``doc_id, n, key, ids``: little-endian 16-bit ids, and the key that deals rows to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_for(vocabulary)
+        tokens, place = tokens_for(vocabulary), key_order()
         for batch in batches:
             ids, ends = tokens.encode(batch.column("text"))
+            keys = np.minimum.reduceat(place[ids], ends[:-1]) if batch.num_rows else np.zeros(0, np.int32)
             raw = pa.py_buffer(ids.astype("<u2").tobytes())
             offsets = pa.array(ends * 2)
             packed = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, offsets.buffers()[1], raw])
@@ -137,9 +140,35 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
             cuts = np.flatnonzero(np.diff(ends[:-1] // MOST_IDS, prepend=-1))
             for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows]):
                 part = packed.slice(lo, hi - lo).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(ends)[lo:hi]), part], ["doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(ends)[lo:hi]), pa.array(keys[lo:hi]), part], ["doc_id", "n", "key", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, key int, ids binary")
+
+
+def key_order() -> np.ndarray:
+    """The place of each token id in the order of the weighted min-hash."""
+    clock = np.random.default_rng(5).exponential(size=1 << 16) / (np.arange(1 << 16) + 1.0) ** 2
+    place = np.empty(1 << 16, np.int32)
+    place[np.argsort(clock)] = np.arange(1 << 16)
+    return place
+
+
+def shard_table(counts: list[tuple[int, int]], shard: int) -> list[tuple[int, int, int]]:
+    """``key, first shard, shards`` of all keys with their numbers of documents."""
+    out, following, held = [], 0, 0
+    for key, n in sorted(counts):
+        if n > shard:
+            continue
+        if held + n > shard:
+            following, held = following + 1, 0
+        out.append((key, following, 1))
+        held += n
+    following += held > 0
+    for key, n in sorted(counts):
+        if n > shard:
+            out.append((key, following, -(-n // shard)))
+            following += -(-n // shard)
+    return out
 
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,8 +246,11 @@ def pack(docs: DataFrame, vocabulary: str, shard: int = SHARD) -> DataFrame:
     small_batches(docs.sparkSession)
     tokens = written(tokenised(docs, vocabulary), "tokens")
     counts = tokens.select("ids").mapInPandas(_frequencies, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-    total, mean = tokens.agg(F.count("*"), F.avg("n")).first()
-    shards = max(1, -(-total // shard))
+    # A row for each of the tokenizer's ids at most.
+    keys = tokens.groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).collect()
+    total = sum(r["docs"] for r in keys)
+    mean = sum(r["n"] for r in keys) / max(total, 1)
+    dealing = docs.sparkSession.createDataFrame(shard_table([(r["key"], r["docs"]) for r in keys], shard), "key int, first int, shards int")
     # One number for each of the tokenizer's ids: at most 65,536.
     idf = np.full(1 << 16, np.log(total + 1.0), np.float32)
     for r in counts.collect():
@@ -238,5 +270,6 @@ def pack(docs: DataFrame, vocabulary: str, shard: int = SHARD) -> DataFrame:
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     # Equal rows are interchangeable, so the place of a row in its file may part them: its pieces depend on its ids alone.
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("ids"), F.col("_metadata.row_index")), F.lit(shards))).drop("_metadata")
+    numbered = tokens.withColumn("h", F.xxhash64("doc_id", F.crc32("ids"), F.col("_metadata.row_index"))).drop("_metadata")
+    dealt = numbered.join(F.broadcast(dealing), "key").withColumn("shard", F.col("first") + F.pmod("h", "shards")).drop("h", "first", "shards", "key")
     return dealt.groupBy("shard").applyInPandas(run, schema)

@@ -274,10 +274,31 @@ def test_packing(spark):
     # Only the last sequence of a shard is padded, and that to a power of two.
     totals = [sum(n for _, n in parts) for parts in sequences.values()]
     padding = sum((1 << (t - 1).bit_length()) - t for t in totals if t < packing.WINDOW)
-    assert sum(t < packing.WINDOW for t in totals) <= -(-len(texts) // 32) and padding < packing.WINDOW / 2 * -(-len(texts) // 32)
+    shards = len({s >> 32 for s in sequences})
+    assert sum(t < packing.WINDOW for t in totals) <= shards <= 2 * -(-len(texts) // 32) + 1 and padding < packing.WINDOW / 2 * shards
     assert packing.pack(docs(spark, texts).limit(0), path).count() == 0
 
 
+def test_packing_brings_related_documents_together(spark):
+    """Documents of a family meet in one shard, and mostly in one window, of many shards."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(("the", "of", "and", "to", "in", "it", "was", "for", "on", "with")) for _ in range(60)) for _ in range(400)]
+    themes = ("volcano lava magma eruption", "violin orchestra symphony concerto", "penguin antarctica iceberg glacier", "goalkeeper penalty striker midfielder")
+    family = {}
+    for f, theme in enumerate(themes):
+        for _ in range(5):
+            family[len(texts)] = f
+            texts.append(" ".join([*texts[rng.randrange(400)].split()[:40], *theme.split(), *theme.split()]))
+    rows = packing.pack(docs(spark, texts), tokenizer("byte_bpe_50k.json"), shard=32).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) >= 12
+    shards, windows = {}, {}
+    for r in rows:
+        if r.doc_id in family:
+            shards.setdefault(family[r.doc_id], set()).add(r.sequence_id >> 32)
+            windows.setdefault(family[r.doc_id], set()).add(r.sequence_id)
+    assert sum(len(s) == 1 for s in shards.values()) >= 3 and sum(len(w) <= 2 for w in windows.values()) >= 3
+
+
 def test_pieces(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = tokenizer("piece_bpe_32k.model")
