@@ -27,7 +27,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
-        pii.listed(F.col("spans")).alias("spans"),
+        pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"),
     )
 
 
