@@ -5,7 +5,7 @@ canonical turns ``array<struct<role, text>>``. Turns are then rendered with a te
 text, because ``&``, ``<`` and ``>`` of roles and texts are escaped as entities, which is reversible.
 
 Null texts and roles are empty strings. Rows of a conversation are ordered by turn, ties by role and text; repeated rows
-are turns of their own. Rows without a conversation id form one conversation with a null id. A record without
+are turns of their own. Role names of other layouts than rows are brought to ``user`` and ``assistant``; rows keep theirs. Rows without a conversation id form one conversation with a null id. A record without
 turns gives an empty formatted text. Unknown layouts raise (tables) or give null turns (JSON records). Further columns
 are ignored, as only the mapped paths are part of a fingerprint.
 """
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +51,20 @@ KNOWN_PATHS = sorted({p for m in LAYOUTS for p in m.paths})
 
 
 def fingerprint(paths) -> str:
-    """SHA-256 of the sorted known field paths of a layout."""
-    return hashlib.sha256("\n".join(sorted(p for p in paths if p in KNOWN_PATHS)).encode()).hexdigest()
+    """SHA-256 of the sorted field paths of a layout."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
 BY_FINGERPRINT = {fingerprint(m.paths): m for m in LAYOUTS}
+# Layouts with more paths first among those that are told by lists or rows, and then the flat ones: a record has the first whose paths it holds.
+RANKED = sorted(LAYOUTS, key=lambda m: (m.turns != (), -len(m.paths)))
+
+
+def mapping_of(paths) -> Mapping | None:
+    """The mapping of the fingerprint that the record's own layout paths give; its further fields don't count."""
+    held = set(paths)
+    own = next((m.paths for m in RANKED if held.issuperset(m.paths)), None)
+    return BY_FINGERPRINT[fingerprint(own)] if own else None
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -64,16 +75,16 @@ def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def _turn(role: Column, text: Column) -> Column:
+def _turn(role: Column, text: Column, rename: bool = True) -> Column:
     named = F.coalesce(role.cast("string"), F.lit(""))
-    for other, name in ROLE_NAMES.items():
+    for other, name in ROLE_NAMES.items() if rename else ():
         named = F.when(role == other, name).otherwise(named)
     return F.struct(named.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
 def canonical_turns(records: DataFrame, id_column: str = "conv_id") -> DataFrame:
     """``id, turns`` of a table in any known layout; row layouts are grouped by conversation."""
-    found = BY_FINGERPRINT.get(fingerprint(field_paths(records.schema)))
+    found = mapping_of(field_paths(records.schema))
     if found is None:
         raise ValueError(f"no mapping for the field paths {field_paths(records.schema)}")
     if found.name == "rows":
@@ -81,7 +92,7 @@ def canonical_turns(records: DataFrame, id_column: str = "conv_id") -> DataFrame
             F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
         )
         grouped = records.groupBy(F.col("conv_id").alias(id_column)).agg(F.array_sort(F.collect_list(row)).alias("t"))
-        return grouped.select(id_column, F.transform("t", lambda t: _turn(t["role"], t["text"])).alias("turns"))
+        return grouped.select(id_column, F.transform("t", lambda t: _turn(t["role"], t["text"], rename=False)).alias("turns"))
     if found.list_path:
         items = F.coalesce(F.col(found.list_path), F.array().cast(records.schema[found.list_path].dataType))
         turns = F.transform(items, lambda t: _turn(t[found.role], t[found.text]))
@@ -97,13 +108,15 @@ def canonical_turns_json(records: DataFrame, json_column: str, id_column: str =
     def at(path: str) -> str:
         return "$." + path.replace("[]", "[0]")
 
-    held = F.array_sort(
-        F.filter(
-            F.array(*(F.when(F.try_variant_get(value, at(p), "variant").isNotNull(), p) for p in KNOWN_PATHS)),
-            lambda p: p.isNotNull(),
-        )
-    )
-    df = records.select(id_column, value.alias("v"), F.sha2(F.array_join(held, "\n"), 256).alias("print"))
+    df = records.select(id_column, value.alias("v"))
+    held = {p: F.try_variant_get("v", at(p), "variant").isNotNull() for p in KNOWN_PATHS}
+    # An empty list has no fields, but tells its layout.
+    empty = {m.list_path: F.coalesce(F.size(F.try_variant_get("v", f"$.{m.list_path}", "array<variant>")) == 0, F.lit(False)) for m in LAYOUTS if m.list_path}
+    own = F.lit(None).cast("string")
+    for m in reversed(RANKED):
+        has = reduce(and_, (held[p] for p in m.paths))
+        own = F.when(has | empty[m.list_path] if m.list_path else has, fingerprint(m.paths)).otherwise(own)
+    df = df.withColumn("print", own)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for key, m in BY_FINGERPRINT.items():
         if m.list_path:

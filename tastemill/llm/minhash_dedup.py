@@ -11,7 +11,7 @@ a lower bound of their difference, which no linked pair exceeds, and by the shar
 confirmed on the full sets of 64-bit shingle hashes.
 
 Null or word-less texts have an empty set and link with nothing; shorter texts than a shingle are one shingle. Rows that repeat a
-``doc_id`` are one node. Rows with a null ``doc_id`` keep a null component and are kept. Other columns are ignored; an empty table
+``doc_id`` with another text are documents of their own, told apart by their texts. Rows with a null ``doc_id`` keep a null component and are kept. Other columns are ignored; an empty table
 gives no rows. A pair at the threshold is missed as a candidate with a probability of about 1e-7.
 """
 
@@ -107,7 +107,8 @@ def _sets(width: int):
         for batch in batches:
             name, bounds = shingle_sets(batch.column("text"), width)
             made = [name[bounds[i] : bounds[i + 1]].tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["node", "members"])
+            digests = [xxhash.xxh3_128_digest(x) for x in made]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(made, pa.binary())], ["node", "members"])
 
     return run
 
@@ -155,17 +156,16 @@ def near_duplicates(
     schema = "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>, bands array<bigint>"
     signed = written(texts.mapInArrow(_signed(width, permutations, rows), schema), "signatures")
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = known.join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).select(
-        F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands"
-    )
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
+    nodes = known.join(classes, ["digest", "doc_id"]).select(F.col("digest").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands")
     nodes = written(nodes.dropDuplicates(["node"]), "nodes")
     banded = nodes.select(F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     buckets = nodes.select("node", F.explode("bands").alias("band")).join(shared.select("band"), "band", "left_semi")
     buckets = written(buckets.join(nodes, "node"), "buckets")
     wanted = buckets.select("node").distinct()
-    sets = texts.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "node bigint, members binary")
+    first = classes.join(wanted.withColumnRenamed("node", "digest"), "digest", "left_semi")
+    sets = texts.join(first.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "node binary, members binary")
     sets = written(sets.dropDuplicates(["node"]), "sets")
 
     found, tested = None, None
@@ -207,10 +207,12 @@ def near_duplicates(
         groups = wanted.join(connected(found).select("node", "component"), "node", "left").select(
             "node", F.coalesce("component", "node").alias("component")
         )
-    labels = classes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    placed = classes.join(groups.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("component"))
+    low = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = placed.join(low, "component").select("digest", "component_id")
     return signed.join(labels, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
     )
 
 

@@ -95,7 +95,10 @@ def test_minhash(spark):
     assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
     assert [got[i].component_id for i in range(len(texts))] == low
     assert all(got[i].kept == (low[i] == i) for i in got)
-    assert minhash_dedup.near_duplicates(docs(spark, []) if False else docs(spark, ["x"]).limit(0)).count() == 0
+    assert minhash_dedup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
+    long = " ".join(f"w{i}" for i in range(60))
+    odd = minhash_dedup.near_duplicates(docs(spark, ["one text of seven words in all", long, long + " end", "one text"], [7, 7, 9, None])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in odd if r.doc_id is not None) == [(7, 4, 7, True), (7, 57, 7, True), (9, 58, 7, False)]
 
 
 def test_exact(spark):
@@ -110,7 +113,7 @@ def test_exact(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 1, "assistant", "</turn> & <turn:x> &amp;"), (1, 0, "user", None), (1, 0, "user", "é<"), (None, 0, None, "x"), (2, 0, "gpt", "y")]
+    rows = [(1, 1, "assistant", "</turn> & <turn:x> &amp;"), (1, 0, "user", None), (1, 0, "user", "é<"), (None, 0, None, "x"), (2, 0, "assistant", "y"), (3, 0, "gpt", "z")]
     t = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     turns = chat.canonical_turns(t)
     back = {r.conv_id: r for r in chat.read_back(chat.format_chats(turns)).collect()}
@@ -122,6 +125,13 @@ def test_chat(spark):
     assert [(x.role, x.text) for x in made[1].turns] == [("user", "i"), ("assistant", "o")]
     with pytest.raises(ValueError):
         chat.canonical_turns(t.select("conv_id"))
+    wider = chat.canonical_turns(t.selectExpr("*", "'s' AS system", "'i' AS input", "'p' AS prompt"))
+    assert {r.conv_id: r.turns for r in wider.collect()} == {r.conv_id: r.turns for r in turns.collect()}
+    assert back[3].turns[0].role == "gpt" and back[3].loss_texts == []
+    raw = ['{"messages":[{"role":"human","content":"a"}],"system":"s"}', '{"messages":[]}', '{"prompt":"p","response":"r","system":"s"}', '{"prompt":"p","response":"r"}']
+    made = chat.canonical_turns_json(spark.createDataFrame(list(enumerate(raw)), "conv_id int, j string"), "j").orderBy("conv_id").collect()
+    assert [r.layout for r in made] == ["messages", "messages", "prompt_system", "prompt"]
+    assert [(x.role, x.text) for x in made[0].turns] == [("user", "a")] and made[1].turns == []
 
 
 def test_ann(spark):
