@@ -82,19 +82,20 @@ PRESETS = {
 }
 
 
-def preset(name: str, **changes) -> MiningConfig:
-    """A named preset, or ``custom`` from the changes alone; the clamp holds for custom full mode."""
-    if name != "custom" and name not in PRESETS:
+def preset(name: str | None, **changes) -> MiningConfig:
+    """A named preset, or ``custom`` (also where the name is empty) from the changes alone; case and outer spaces of the name don't count."""
+    wanted = (name or "custom").strip().upper()
+    if wanted != "CUSTOM" and wanted not in PRESETS:
         raise ValueError(f"unknown preset {name!r}")
-    return clamp(MiningConfig(preset=name, **(PRESETS.get(name, {}) | changes)))
+    return MiningConfig(preset="custom" if wanted == "CUSTOM" else wanted, **(PRESETS.get(wanted, {}) | changes))
 
 
 def clamp(config: MiningConfig) -> MiningConfig:
-    """All families together have too many pairs: limits and caps are forced, supports raised and K and caps lowered."""
-    if config.mode != "full" or config.algorithm != "pairs":
+    """For the full, not reduced, baskets with the general miner: limits and caps are forced, supports raised and K and caps lowered."""
+    if config.algorithm != "pairs":
         return config
     least = {"tops": 600, "caps": 60}
     lowered = {k: {f: min(v or most, most) for f, v in getattr(config, k).items()} for k, most in least.items()}
     return replace(
-        config, limits=True, caps_on=True, high_support=max(config.high_support, 0.01), low_support=max(config.low_support, 0.005), **lowered
+        config, limits=True, caps_on=True, high_support=max(config.high_support, 0.01), low_support=max(config.low_support, 0.001), **lowered
     )

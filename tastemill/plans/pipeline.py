@@ -13,7 +13,7 @@ from ..operators import present as P
 from ..operators import quality as Q
 from ..operators import split as S
 from ..sources import files
-from .config import MiningConfig, PipelineConfig
+from .config import MiningConfig, PipelineConfig, clamp
 
 CLEANERS = {
     "movies": ("dim_movies_clean", C.clean_movies), "ratings": ("fact_ratings_clean", C.clean_ratings), "tags": ("dim_tags_clean", C.clean_tags),
@@ -122,7 +122,8 @@ def mine(baskets: DataFrame, config: MiningConfig, held_out: DataFrame | None =
 
 
 def run_mining(spark: SparkSession, run_dir: str, out_dir: str, config: MiningConfig, reduced_input: bool = True, movies: DataFrame | None = None) -> str:
-    """Mine a run's baskets and write itemsets, rules, readable rules, manifest and summary."""
+    """Mine a run's baskets and write itemsets, rules, readable rules, manifest and summary; full baskets are mined under the clamp."""
+    config = config if reduced_input else clamp(config)
     source = files.baskets_path(run_dir, reduced_input)
     baskets = spark.read.parquet(source)
     test_path = files.baskets_path(run_dir, False, True)

@@ -8,7 +8,7 @@ from tastemill.operators import quality as Q
 from tastemill.operators import recommend as R
 from tastemill.operators import split as S
 from tastemill.operators.clean import clean_ratings, clean_tags
-from tastemill.plans.config import MiningConfig, PipelineConfig, preset
+from tastemill.plans.config import PipelineConfig, clamp, preset
 from tastemill.plans.pipeline import mine
 
 
@@ -97,7 +97,10 @@ def test_mining(spark):
 
 def test_presets():
     assert preset("B").active_tops and preset("B").algorithm == "movie_tag"
-    assert preset("custom", mode="full").caps_on and not MiningConfig(mode="full").caps_on
+    assert not preset("custom", mode="full").caps_on and preset(" a ") == preset("A") and preset("").preset == "custom"
+    full = clamp(preset("custom", mode="full", low_support=0.0001))
+    assert full.caps_on and full.limits and full.low_support == 0.001 and max(full.caps.values()) <= 60 and max(full.tops.values()) <= 600
+    assert clamp(preset("A")).caps == preset("A").caps and clamp(preset("B")) == preset("B")
     for bad in ({"test_frac": 1.0}, {"split_policy": "x"}, {"max_items": 1}, {"sample_frac": 0.0}):
         with pytest.raises(ValueError):
             PipelineConfig(**bad)
