@@ -32,18 +32,31 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """One entry a digest ever seen: ``digest, keep_id, group_size`` as of the batch that brought it."""
+    """One entry a digest ever seen: ``digest, keep_id, group_size`` as of the batch that brought it.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+    An index that another session made is opened by its ``path``, with the ``buckets`` it was made with.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, path: str | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(self.name):
-            self.path = new_path(spark, self.name)
-            self._append(spark.createDataFrame([], ENTRY))
+            self.path = path or new_path(spark, self.name)
+            if path and self._held():
+                spark.sql(
+                    f"CREATE TABLE {self.name} ({ENTRY}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+                )
+            else:
+                self._append(spark.createDataFrame([], ENTRY))
         else:
             self.path = spark.sql(f"DESCRIBE FORMATTED {self.name}").where("col_name = 'Location'").first()["data_type"]
 
+    def _held(self) -> bool:
+        """Whether the path is there already."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def _append(self, entries: DataFrame) -> None:
         (
             entries.repartition(self.buckets, "digest")
@@ -55,7 +68,7 @@ class DigestIndex:
         """Append what is new of ``docs`` and return a decision for each of its rows.
 
         ``doc_id, keep_id, group_size, kept, digest``; ``group_size`` counts this batch's copies and, for a text
-        already known, the first batch's.
+        already known, the first batch's. A batch that is added again, as after a failure, gets its decisions again.
         """
         batch = written(digests(docs), "digests")
         groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -64,14 +77,14 @@ class DigestIndex:
         self._append(fresh)
         # Both sides below are shuffled, so that Spark can split the partition of a digest with very many rows.
         entries = self.spark.read.schema(ENTRY).parquet(self.path)
-        stale = groups.join(fresh.hint("merge"), "digest", "left_anti").select("digest", F.col("group_size").alias("more"))
+        stale = groups.join(fresh.hint("merge"), "digest", "left_anti").select("digest", F.col("group_size").alias("more"), F.col("keep_id").alias("own"))
         entries = entries.join(stale, "digest", "left").select(
-            "digest", "keep_id", (F.col("group_size") + F.coalesce("more", F.lit(0))).alias("group_size"),
+            "digest", "keep_id", (F.col("group_size") + F.when(F.col("own").eqNullSafe(F.col("keep_id")), 0).otherwise(F.coalesce("more", F.lit(0)))).alias("group_size"),
             F.col("more").isNull().alias("is_new"),
         )
         return batch.join(entries.hint("merge"), "digest").select(
             "doc_id", "keep_id", "group_size",
-            (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "digest",
+            F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("is_new") & F.col("doc_id").isNull() & F.col("keep_id").isNull()).alias("kept"), "digest",
         )
 
 

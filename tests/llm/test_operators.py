@@ -110,6 +110,12 @@ def test_exact(spark):
     later = {r.doc_id: (r.keep_id, r.kept) for r in index.add(docs(spark, ["a b", "new"], [100, 101])).collect()}
     assert later == {100: (9, False), 101: (101, True)}
     assert spark.table(index.name).count() == 5
+    again = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in index.add(docs(spark, ["a b", "new"], [100, 101])).collect()}
+    assert again[101] == (101, 1, True) and again[100][:1] + again[100][2:] == (9, False)
+    spark.sql(f"DROP TABLE {index.name}")
+    other = exact_dedup.DigestIndex(spark, buckets=index.buckets, path=index.path)
+    assert {r.doc_id: r.kept for r in other.add(docs(spark, ["new", "newer"], [200, 201])).collect()} == {200: False, 201: True}
+    assert spark.table(other.name).count() == 6
 
 
 def test_chat(spark):
@@ -267,6 +273,20 @@ def test_lines_of_interleaved_families(spark, monkeypatch):
     assert len(set(group)) == 40 and got == {i for i, g in enumerate(group) if g != i}
 
 
+def test_lines_of_rows_that_repeat_an_id(spark, monkeypatch):
+    """Rows with one doc_id and other texts keep their own lines; buckets of more than a few lines are split without loss."""
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    rng = random.Random(13)
+    line = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+    near = [" ".join([*line[:i], "changed", *line[i + 1 :]]) for i in range(12)]
+    first, second = " ".join(line), "this other text stands alone under the same number here"
+    texts, ids = [first, first, second, None, *near], [1, 7, 7, None, *range(10, 22)]
+    got = line_dedup.dedup_lines(docs(spark, [*texts, first], [*ids, None])).collect()
+    assert sorted(r.text for r in got if r.doc_id == 7) == ["", second]
+    assert [r.text for r in got if r.doc_id == 1] == [first] and {r.text for r in got if r.doc_id and r.doc_id >= 10} == {""}
+    assert sorted((r.text is None, r.n_removed) for r in got if r.doc_id is None) == [(False, 0), (True, 0)]
+
+
 def test_short_lines(spark, tmp_path):
     """The query drops every repeated line that has a letter or digit, and near lines of a script without spaces."""
     han = "".join(chr(0x4E00 + i * 7) for i in range(40))
