@@ -64,11 +64,12 @@ def write_json(spark: SparkSession, path: str, report: dict) -> None:
 def read_csv_strict(spark: SparkSession, path: str, kinds: dict[str, T.DataType]) -> DataFrame:
     """A headed CSV with declared types. A missing file or required column raises; other columns are kept as strings.
 
-    The header is read first, because Spark binds a declared schema by position.
+    The header is read first, because Spark binds a declared schema by position. Only tables with text columns are read with line breaks
+    inside quotes, which makes a file one task; files of numbers alone are split.
     """
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    quoted = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+    quoted = {"header": True, "quote": '"', "escape": '"', "multiLine": any(k == S for k in kinds.values())}
     header = spark.read.options(**quoted).csv(path).columns
     missing = sorted(set(kinds) - set(header))
     if missing:
