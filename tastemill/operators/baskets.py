@@ -45,7 +45,8 @@ def to_baskets(tokens: DataFrame) -> DataFrame:
 
 
 def to_tokens(baskets: DataFrame) -> DataFrame:
-    return baskets.select("userId", F.explode("items").alias("token")).where("token IS NOT NULL AND token <> ''")
+    """``userId, token``, each token of a basket once."""
+    return baskets.select("userId", F.explode(F.array_distinct("items")).alias("token")).where("token IS NOT NULL AND token <> ''")
 
 
 def transactions(ratings: DataFrame, movies: DataFrame, tags: DataFrame, **options) -> DataFrame:
@@ -54,7 +55,7 @@ def transactions(ratings: DataFrame, movies: DataFrame, tags: DataFrame, **optio
 
 def doc_freq(baskets: DataFrame) -> DataFrame:
     """``token, df``: baskets that hold each token."""
-    return to_tokens(baskets).distinct().groupBy("token").agg(F.count("*").alias("df"))
+    return to_tokens(baskets).groupBy("token").agg(F.count("*").alias("df"))
 
 
 def top_per_family(frequency: DataFrame, tops: dict[str, int | None]) -> DataFrame:
@@ -76,7 +77,7 @@ def reduce_baskets(
     min_items: int = 2, max_items: int | None = None, sample_frac: float | None = None, seed: int = 42,
 ) -> DataFrame:
     """Family filter, document frequency, top-K per family, minimum size, cap by global priority, exact-size sample."""
-    tokens = to_tokens(baskets).distinct().where(X.family(F.col("token")).isin(*families))
+    tokens = to_tokens(baskets).where(X.family(F.col("token")).isin(*families))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     kept = top_per_family(frequency, {"movie": top_movies, "tag": top_tags})
     rows = tokens.join(kept, "token")
@@ -94,9 +95,19 @@ def reduce_baskets(
 
 
 def exact_sample(baskets: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """round(fraction * n) baskets, the same for one seed."""
-    n = round(fraction * baskets.count())
-    return baskets.orderBy(F.xxhash64("userId", F.lit(seed)), "userId").limit(n)
+    """round(fraction * n) baskets (half to even): those with the smallest digests of user and seed, the same for one seed.
+
+    Counts of the digests' first four digits, 65,536 at most, tell which groups are in whole; only the last one is cut by rank.
+    """
+    rows = baskets.withColumn("_digest", F.md5(F.concat_ws(":", F.col("userId").cast("string"), F.lit(str(seed)))))
+    rows = rows.withColumn("_group", F.left("_digest", F.lit(4)))
+    every = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_c").over(every.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("_group").agg(F.count("*").alias("_c"))
+    sizes = sizes.select("_group", (F.bround(F.sum("_c").over(every) * F.lit(fraction)).cast("bigint") - before).alias("_left"))
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy("_digest", "userId"))
+    held = rows.join(F.broadcast(sizes.where("_left > 0")), "_group")  # 65,536 rows at most
+    return held.withColumn("_r", rank).where("_r <= _left").select(baskets.columns)
 
 
 def token_stats(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -164,7 +175,7 @@ def controlled(baskets: DataFrame, mode: str, tops: dict[str, int | None] | None
         raise ValueError(f"unknown mode {mode!r}; known: {sorted(MODES)}")
     frequency = doc_freq(baskets).withColumn("family", X.family(F.col("token"))).where(F.col("family").isin(*kinds)).drop("family")
     kept = top_per_family(frequency, {k: v for k, v in tops.items() if v and v > 0})
-    rows = to_tokens(baskets).distinct().join(kept, "token")
+    rows = to_tokens(baskets).join(kept, "token")
     cap = F.lit(None).cast("int")
     for kind, k in caps.items():
         if k and k > 0:

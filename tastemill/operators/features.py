@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+MOST_GENRES = 2000  # they become columns
 RATING_STATS = ("n_ratings", "rating_mean", "rating_std", "rating_min", "rating_max")
 
 
@@ -51,14 +52,22 @@ def _slug(text: str) -> str:
 
 
 def genre_values(movies: DataFrame) -> list[str]:
-    """The distinct genres of a catalogue, a small set that names columns."""
-    return [r.genre for r in exploded_genres(movies).select("genre").distinct().orderBy("genre").collect()]
+    """The distinct genres of a catalogue, which name columns; more than ``MOST_GENRES`` raise."""
+    found = [r.genre for r in exploded_genres(movies).select("genre").distinct().orderBy("genre").limit(MOST_GENRES + 1).collect()]
+    if len(found) > MOST_GENRES:
+        raise ValueError(f"more than {MOST_GENRES} genres")
+    return found
+
+
+def seen(train: DataFrame, movies: DataFrame) -> DataFrame:
+    """The movies that training has ratings of."""
+    return movies.join(train.select("movieId").distinct(), "movieId", "left_semi")
 
 
 def user_genre_prefs(train: DataFrame, movies: DataFrame) -> DataFrame:
     """Wide form: a column a genre seen in training, 0 where a user has no rating of it."""
     long = user_genre_means(train, movies)
-    names = _slugs([r.genre for r in long.select("genre").distinct().collect()], "genre_pref__")
+    names = _slugs(genre_values(seen(train, movies)), "genre_pref__")
     wide = long.groupBy("userId").pivot("genre", list(names)).agg(F.first("mean"))
     return wide.select("userId", *(F.coalesce(F.col(f"`{g}`"), F.lit(0.0)).cast("float").alias(n) for g, n in names.items()))
 

@@ -26,28 +26,39 @@ def frequent_tokens(baskets: DataFrame, support: float) -> DataFrame:
 
 def pruned(baskets: DataFrame, frequent: DataFrame) -> DataFrame:
     """Baskets with frequent tokens only; a vocabulary is joined by size, and empty baskets go."""
-    return B.to_baskets(B.to_tokens(baskets).distinct().join(frequent.select("token"), "token", "left_semi"))
+    return B.to_baskets(B.to_tokens(baskets).join(frequent.select("token"), "token", "left_semi"))
 
 
-def pair_counts(baskets: DataFrame) -> DataFrame:
-    """``a, b, c_ab`` with a < b, exploded within each sorted basket: one shuffle with map-side sums."""
+def pair_counts(baskets: DataFrame, families: tuple[str, str] | None = None) -> DataFrame:
+    """``a, b, c_ab`` with a < b, exploded within each sorted basket: one shuffle with map-side sums.
+
+    ``families`` makes only the pairs across two families.
+    """
+    if families:
+        u, v = (_of_family(kind).alias(name) for kind, name in zip(families, ("u", "v"), strict=True))
+        sides = baskets.select(u, v).select(F.explode("u").alias("x"), "v").select("x", F.explode("v").alias("y"))
+        return sides.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("c_ab"))
     pairs = F.flatten(
         F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     )
     return baskets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("c_ab"))
 
 
+def _of_family(kind: str) -> Column:
+    return F.filter("items", lambda t: X.family(t) == kind)
+
+
 def pair_counts_by_join(tokens: DataFrame) -> DataFrame:
     """The same from long form; a cross-check."""
     a, b = tokens.select("userId", F.col("token").alias("a")), tokens.select("userId", F.col("token").alias("b"))
     return a.join(b, "userId").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c_ab"))
 
 
-def itemsets(baskets: DataFrame, support: float) -> DataFrame:
-    """``items, length, count, support`` of one or two tokens. ``baskets`` are pruned ones."""
+def itemsets(baskets: DataFrame, support: float, families: tuple[str, str] | None = None) -> DataFrame:
+    """``items, length, count, support`` of one or two tokens, pairs only across ``families`` if given. ``baskets`` are pruned ones."""
     n = F.broadcast(n_baskets(baskets))  # one row
     one = B.doc_freq(baskets).select(F.array("token").alias("items"), F.lit(1).alias("length"), F.col("df").alias("count"))
-    two = pair_counts(baskets).select(F.array("a", "b").alias("items"), F.lit(2).alias("length"), F.col("c_ab").alias("count"))
+    two = pair_counts(baskets, families).select(F.array("a", "b").alias("items"), F.lit(2).alias("length"), F.col("c_ab").alias("count"))
     return one.unionByName(two).join(n).where(F.col("count") >= X.required_count(support, F.col("n"))).select(
         "items", "length", "count", (F.col("count") / F.col("n")).alias("support")
     )
@@ -58,9 +69,12 @@ def movie_tag_itemsets(baskets: DataFrame, support: float) -> DataFrame:
     kinds = {r.family for r in B.family_composition(baskets).select("family").collect()}
     if not {"movie", "tag"} <= kinds:
         raise ValueError(f"movie and tag tokens are needed; there are {sorted(kinds)}")
-    return itemsets(baskets, support).where(
-        (F.col("length") == 1) | (X.family(F.col("items")[0]) != X.family(F.get("items", F.lit(1))))
-    )
+    return itemsets(baskets, support, ("movie", "tag"))
+
+
+def top_itemsets(found: DataFrame, k: int = 10) -> DataFrame:
+    """A report of the itemsets with most support."""
+    return found.orderBy(F.desc("count"), F.array_join("items", ",")).limit(k)
 
 
 def high_support(found: DataFrame, support: float) -> DataFrame:
@@ -83,11 +97,7 @@ def rules(
     Confidence is inclusive, lift is strict. ``families`` keeps pairs across two families.
     """
     n = F.broadcast(n_baskets(baskets))  # one row
-    pairs = pair_counts(baskets).join(n).where(F.col("c_ab") >= X.required_count(support, F.col("n")))
-    if families:
-        fa, fb = X.family(F.col("a")), X.family(F.col("b"))
-        x, y = families
-        pairs = pairs.where(((fa == x) & (fb == y)) | ((fa == y) & (fb == x)))
+    pairs = pair_counts(baskets, families).join(n).where(F.col("c_ab") >= X.required_count(support, F.col("n")))
     sides = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
     both = pairs.select(sides.alias("s"), "c_ab", "n").select(F.col("s.x").alias("antecedent"), F.col("s.y").alias("consequent"), "c_ab", "n")
     singles = B.doc_freq(baskets)

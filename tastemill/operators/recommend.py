@@ -66,10 +66,11 @@ def genre_semantics(rules: DataFrame, genres: list[str], k: int = 10) -> DataFra
     wanted = F.array(*map(F.lit, genres)) if genres else F.array().cast("array<string>")
     order = (F.desc(F.round("lift", 9)), F.desc("confidence"), F.desc("support"), F.array_join("antecedent", ","), F.array_join("consequent", ","))
     names = ("antecedent", "consequent", *METRICS)
-    own = rules.where(F.arrays_overlap("antecedent", wanted) | F.arrays_overlap("consequent", wanted)).select(*names).orderBy(*order).limit(k)
-    found = F.broadcast(own.agg(F.count("*").alias("hits")))  # one row
-    rest = rules.select(*names).orderBy(*order).limit(k).join(found).where("hits = 0").select(*names, F.lit(True).alias("fallback"))
-    return own.withColumn("fallback", F.lit(False)).unionByName(rest)
+    own = F.coalesce(F.arrays_overlap("antecedent", wanted) | F.arrays_overlap("consequent", wanted), F.lit(False))
+    # Own rules come first, so that one of them among the first k says that there are some.
+    best = rules.select(*names, (~own).alias("fallback")).orderBy("fallback", *order).limit(k)
+    some = F.min("fallback").over(Window.partitionBy(F.lit(0)))  # k rows
+    return best.withColumn("_some", some).where(F.col("fallback") == F.col("_some")).drop("_some").orderBy(*order)
 
 
 def covered_seeds(rules: DataFrame) -> DataFrame:

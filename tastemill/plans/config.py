@@ -31,7 +31,7 @@ class PipelineConfig:
 
         need(0 < self.test_frac < 1, "test_frac must be between 0 and 1")
         need(self.split_policy in ("global", "per_user"), "split_policy must be global or per_user")
-        need(0.5 <= self.like_threshold <= 5, "like_threshold must be between 0.5 and 5")
+        need(self.like_threshold >= 0, "like_threshold must be 0 or more")
         need(self.min_tag_freq >= 1, "min_tag_freq must be 1 or more")
         need(self.min_token_df >= 1, "min_token_df must be 1 or more")
         need(self.min_items >= 1, "min_items must be 1 or more")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,11 +101,35 @@ def audit(gates: dict, split_report: dict, coverage: dict, rates: dict, config:
     return {"schema_version": config.schema_version, "gates": checks, "passed": all(checks.values()), "warnings": warnings}
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """A frame that several counts read, kept on the executors' disks from its first use; what a lost executor held is computed again.
+
+    Spark finds it again by its plan, so that later queries of the session share it until it is unpersisted.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def validation_summary(reports: dict[str, dict]) -> dict:
+    """Whether no table's report has an ``error``, and the errors and warnings by table."""
+    errors = [{"table": t, "error": r["error"]} for t, r in reports.items() if "error" in r]
+    warnings = [{"table": t, "warning": w} for t, r in reports.items() for w in r.get("warnings", [])]
+    return {"all_validations_passed": not errors, "errors": errors, "warnings": warnings}
+
+
+def value_at(report: dict, *path: str, default=None):
+    """The value at a path of nested reports, the default where a step is missing."""
+    for step in path:
+        if not isinstance(report, dict) or step not in report:
+            return default
+        report = report[step]
+    return report
+
+
 def mine(baskets: DataFrame, config: MiningConfig, held_out: DataFrame | None = None) -> dict[str, DataFrame]:
-    """``kept`` baskets, ``itemsets``, ``high`` itemsets and final ``rules``."""
-    own = B.controlled(baskets, config.mode, config.active_tops, config.active_caps)
+    """``own`` baskets of the mode, ``kept`` ones, ``itemsets``, ``high`` itemsets and final ``rules``; the first two are persisted."""
+    own = reused(B.controlled(baskets, config.mode, config.active_tops, config.active_caps))
     frequent = M.frequent_tokens(own, config.low_support)
-    kept = M.pruned(own, frequent)
+    kept = reused(M.pruned(own, frequent))
     find = M.movie_tag_itemsets if config.algorithm == "movie_tag" else M.itemsets
     found = find(kept, config.low_support)
     families = ("movie", "tag") if config.algorithm == "movie_tag" else None
@@ -118,7 +143,7 @@ def mine(baskets: DataFrame, config: MiningConfig, held_out: DataFrame | None =
         )
     if config.across:
         rules = M.across(rules, *config.across)
-    return {"kept": kept, "itemsets": found, "high": M.high_support(found, config.high_support), "rules": M.ranked(rules)}
+    return {"own": own, "kept": kept, "itemsets": found, "high": M.high_support(found, config.high_support), "rules": M.ranked(rules)}
 
 
 def run_mining(spark: SparkSession, run_dir: str, out_dir: str, config: MiningConfig, reduced_input: bool = True, movies: DataFrame | None = None) -> str:
@@ -134,6 +159,8 @@ def run_mining(spark: SparkSession, run_dir: str, out_dir: str, config: MiningCo
     itemsets = files.write_table(found["itemsets"], f"{to}/tables/frequent_itemsets")
     rules = files.write_table(found["rules"], f"{to}/tables/rules_with_evidence")
     exported = files.write_table(M.as_exported(rules), f"{to}/tables/association_rules")
+    for name in ("kept", "own"):
+        found[name].unpersist()
     files.write_table(P.readable(rules, movies), f"{to}/tables/rules_human_readable")
     counts = {"itemsets": itemsets.count(), "rules": exported.count(), "types": {r.rule_type: r.n for r in P.type_histogram(exported).collect()}}
     files.write_json(spark, f"{to}/reports/run_manifest.json", {"created_at": files.now(), "source": source, "config": config.__dict__, "counts": counts})

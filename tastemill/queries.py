@@ -20,8 +20,8 @@ from .operators import present as P
 from .operators import quality as Q
 from .operators import recommend as R
 from .operators import split as S
-from .plans.config import preset
-from .plans.pipeline import mine
+from .plans.config import PipelineConfig, preset
+from .plans.pipeline import audit, mine, reused
 from .sources.adapter import Star
 
 TIES = ("l_orderkey", "l_linenumber", "l_suppkey")
@@ -56,6 +56,10 @@ class Tables:
     def split(self) -> tuple[DataFrame, DataFrame]:
         return S.global_split(self.ratings)
 
+    def split_once(self) -> tuple[DataFrame, DataFrame]:
+        """The same for plans that read the ratings several times."""
+        return S.global_split(reused(self.ratings))
+
     def user_split(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return S.user_split(C.clean_ratings(self.raw.ratings(keys=True), *TIES), ties=TIES)
 
@@ -63,10 +67,10 @@ class Tables:
         return S.tags_before(self.tags, S.time_cutoff(self.ratings))
 
     def baskets(self, **options) -> DataFrame:
-        return B.transactions(self.split()[0], self.movies, self.tags_train(), **options)
+        return reused(B.transactions(self.split()[0], self.movies, self.tags_train(), **options))
 
     def test_baskets(self, **options) -> DataFrame:
-        return B.transactions(self.split()[1], self.movies, self.tags, **options)
+        return reused(B.transactions(self.split()[1], self.movies, self.tags, **options))
 
     def genre_tag(self) -> DataFrame:
         return self.baskets(families=("genre", "tag"))
@@ -188,10 +192,10 @@ two("null_profile", lambda t: Q.null_counts(t.movies, "movieId", "title", "year"
 two("rating_domain", lambda t: Q.rating_domain(t.ratings), sql("SELECT count(*) AS n_rows, count(*) FILTER (userId IS NULL) AS user_nulls, count(*) FILTER (movieId IS NULL) AS movie_nulls, count(*) FILTER (rating IS NULL) AS rating_nulls, min(rating) AS rating_min, max(rating) AS rating_max, count(DISTINCT rating) FILTER (rating * 2 <> floor(rating * 2) OR rating < 0.5 OR rating > 5) AS off_scale_values, count(*) FILTER (rating * 2 <> floor(rating * 2) OR rating < 0.5 OR rating > 5) AS off_scale_rows FROM ev"))
 two("duplicate_stats", lambda t: Q.duplicate_stats(t.ratings, "userId", "movieId", "timestamp"), sql("SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, count(*) AS unique_rows, round(CAST(sum(n) - count(*) AS DOUBLE) / sum(n), 6) AS duplicate_rate FROM (SELECT count(*) AS n FROM ev GROUP BY userId, movieId, ts)"))
 two(
-    "join_coverage", lambda t: Q.join_coverage(t.ratings, t.movies.where("movieId % 9 <> 0"), "movieId"),
-    sql("SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n) FILTER (movieId % 9 <> 0) AS BIGINT) AS matched_rows, CAST(coalesce(sum(n) FILTER (movieId % 9 = 0), 0) AS BIGINT) AS unmatched_rows, round(CAST(sum(n) FILTER (movieId % 9 <> 0) AS DOUBLE) / sum(n), 6) AS coverage, count(*) AS fact_keys, count(*) FILTER (movieId % 9 <> 0) AS matched_keys, count(*) FILTER (movieId % 9 = 0) AS unmatched_keys, CAST(0 AS BIGINT) AS null_key_rows FROM (SELECT movieId, count(*) AS n FROM ev GROUP BY 1)"),
+    "join_coverage", lambda t: Q.join_coverage(t.ratings, t.movies, "movieId"),
+    sql("SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(coalesce(sum(n) FILTER (hit), 0) AS BIGINT) AS matched_rows, CAST(coalesce(sum(n) FILTER (NOT hit), 0) AS BIGINT) AS unmatched_rows, round(CAST(coalesce(sum(n) FILTER (hit), 0) AS DOUBLE) / sum(n), 6) AS coverage, count(*) AS fact_keys, count(*) FILTER (hit) AS matched_keys, count(*) FILTER (NOT hit) AS unmatched_keys, CAST(0 AS BIGINT) AS null_key_rows FROM (SELECT movieId, count(*) AS n, movieId IN (SELECT movieId FROM mr) AS hit FROM ev GROUP BY 1)"),
 )
-two("unmatched_keys", lambda t: Q.unmatched_keys(t.ratings, t.movies.where("movieId % 9 <> 0"), "movieId"), sql("SELECT DISTINCT movieId FROM ev WHERE movieId % 9 = 0"))
+two("unmatched_keys", lambda t: Q.unmatched_keys(t.movies, t.split()[1], "movieId"), sql("SELECT DISTINCT movieId FROM mr WHERE movieId NOT IN (SELECT movieId FROM tst)"))
 two("matched_rows", lambda t: Q.matched_rows(t.tags, t.movies.where("year >= 2000"), "movieId").select("userId", "movieId", "tag_norm"), sql("SELECT userId, movieId, tag_norm FROM tc WHERE movieId IN (SELECT movieId FROM mc WHERE year >= 2000)"))
 two("movie_profile", lambda t: Q.movie_profile(t.movies), sql("SELECT count(*) AS n_rows, count(*) FILTER (year IS NULL) AS year_nulls, round(count(*) FILTER (year IS NULL) / CAST(count(*) AS DOUBLE), 6) AS year_null_share, min(year) AS year_min, max(year) AS year_max, count(*) FILTER (len(gl) = 0) AS no_genres, round(count(*) FILTER (len(gl) = 0) / CAST(count(*) AS DOUBLE), 6) AS no_genre_share FROM mc"))
 two("tag_profile", lambda t: Q.tag_profile(t.tags), sql("SELECT count(*) AS n_rows, count(DISTINCT tag_raw) AS unique_raw, count(DISTINCT tag_norm) AS unique_norm, count(DISTINCT tag_raw) - count(DISTINCT tag_norm) AS reduction, count(*) FILTER (tag_norm = '') AS empty_norm FROM tc"))
@@ -202,6 +206,7 @@ two("retention_stats", lambda t: Q.retention({"movies": t.raw.movies(), "tags":
 
 _RATING = "userId, movieId, rating, ts AS timestamp, us AS rating_dt_utc"
 two("global_cutoff", lambda t: S.time_cutoff(t.ratings), sql("SELECT cutoff FROM cut"))
+two("explicit_split_test", lambda t: S.global_split(t.ratings, cutoff="1997-06-01 00:00:00")[1], sql(f"SELECT {_RATING} FROM ev WHERE us >= epoch_us(TIMESTAMP '1997-06-01 00:00:00')"))
 two("global_split_train", lambda t: t.split()[0], sql(f"SELECT {_RATING} FROM trn"))
 two("global_split_test", lambda t: t.split()[1], sql(f"SELECT {_RATING} FROM tst"))
 two("per_user_split_train", lambda t: t.user_split()[0], sql(f"SELECT {_RATING}, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey FROM utrn"))
@@ -229,7 +234,7 @@ two("user_tag_counts", lambda t: FE.user_tag_counts(t.tags_train()), sql("SELECT
 
 
 def _wide_users(t: Tables) -> DataFrame:
-    wide = FE.user_features(t.split()[0], t.movies, t.tags_train())
+    wide = FE.user_features(t.split_once()[0], t.movies, t.tags_train())
     prefs = [c for c in wide.columns if c.startswith("genre_pref__")]
     total = reduce(lambda a, b: a + b, (F.col(c).cast("double") for c in prefs))
     return wide.select("userId", "n_ratings", "active_days", "n_tag_events", F.round(total, 2).alias("pref_sum"), F.lit(len(prefs)).alias("n_prefs"))
@@ -249,8 +254,17 @@ def _flag_counts(t: Tables) -> DataFrame:
 
 two("item_genre_flags", _flag_counts, sql("SELECT movieId, (SELECT count(*) FROM mg WHERE mg.movieId = mc.movieId) AS n_genres, (SELECT count(DISTINCT genre) FROM mg) AS n_flags FROM mc"))
 two("item_top_tags", lambda t: FE.item_tags(t.tags_train()), sql("SELECT movieId, n_tag_events, top_tags FROM tt", _TOP))
-two("item_features", lambda t: FE.item_features(t.split()[0], t.movies, t.tags_train()).select("movieId", "n_ratings", F.round("rating_mean", 4).alias("rating_mean"), F.round("polarization_score", 4).alias("polarization_score"), "n_tag_events", "top_tags"), sql("SELECT movieId, n_ratings, round(CAST(CAST(m AS FLOAT) AS DOUBLE), 4) AS rating_mean, round(CAST(CAST(greatest(s * (1 - e), 0) AS FLOAT) AS DOUBLE), 4) AS polarization_score, coalesce(n_tag_events, 0) AS n_tag_events, coalesce(top_tags, '') AS top_tags FROM (SELECT movieId, count(*) AS n_ratings, avg(rating) AS m, coalesce(stddev_samp(rating), 0) AS s FROM trn GROUP BY 1) JOIN en USING (movieId) LEFT JOIN tt USING (movieId)", _ENTROPY, _TOP))
-two("feature_coverage", lambda t: FE.feature_coverage(FE.user_base(t.split()[0].where("userId % 10 <> 0")), t.split()[0], "userId"), sql("SELECT count(*) AS keys, count(*) FILTER (userId % 10 <> 0) AS covered, round(count(*) FILTER (userId % 10 <> 0) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM (SELECT DISTINCT userId FROM trn)"))
+two("item_features", lambda t: FE.item_features(t.split_once()[0], t.movies, t.tags_train()).select("movieId", "n_ratings", F.round("rating_mean", 4).alias("rating_mean"), F.round("polarization_score", 4).alias("polarization_score"), "n_tag_events", "top_tags"), sql("SELECT movieId, n_ratings, round(CAST(CAST(m AS FLOAT) AS DOUBLE), 4) AS rating_mean, round(CAST(CAST(greatest(s * (1 - e), 0) AS FLOAT) AS DOUBLE), 4) AS polarization_score, coalesce(n_tag_events, 0) AS n_tag_events, coalesce(top_tags, '') AS top_tags FROM (SELECT movieId, count(*) AS n_ratings, avg(rating) AS m, coalesce(stddev_samp(rating), 0) AS s FROM trn GROUP BY 1) JOIN en USING (movieId) LEFT JOIN tt USING (movieId)", _ENTROPY, _TOP))
+two("feature_coverage", lambda t: FE.feature_coverage(FE.user_base(t.split()[1]), t.split()[0], "userId"), sql("SELECT count(*) AS keys, count(*) FILTER (hit) AS covered, round(count(*) FILTER (hit) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM (SELECT DISTINCT userId, userId IN (SELECT userId FROM tst) AS hit FROM trn)"))
+
+
+def _melted(wide: DataFrame, key: str, prefix: str) -> DataFrame:
+    names = [c for c in wide.columns if c.startswith(prefix)]
+    return wide.select(key, *(F.col(c).cast("double").alias(c) for c in names)).unpivot(key, names, "feature", "value")
+
+
+two("user_preferences_wide", lambda t: _melted(FE.user_features(t.split_once()[0], t.movies, t.tags_train()), "userId", "genre_pref__"), sql(f"SELECT u.userId, 'genre_pref__' || {_slug('g.genre')} AS feature, round(CAST(CAST(coalesce(m.m, 0) AS FLOAT) AS DOUBLE), 6) AS value FROM (SELECT DISTINCT userId FROM trn) u CROSS JOIN (SELECT DISTINCT genre FROM mg JOIN trn USING (movieId)) g LEFT JOIN (SELECT userId, genre, avg(rating) AS m FROM trn JOIN mg USING (movieId) GROUP BY 1, 2) m ON m.userId = u.userId AND m.genre = g.genre"))
+two("item_flags_wide", lambda t: _melted(FE.item_genre_flags(t.movies), "movieId", "genre_flag__"), sql(f"SELECT mc.movieId, 'genre_flag__' || {_slug('g.genre')} AS feature, CAST(CASE WHEN mg.movieId IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS value FROM mc CROSS JOIN (SELECT DISTINCT genre FROM mg) g LEFT JOIN mg ON mg.movieId = mc.movieId AND mg.genre = g.genre"))
 
 # --- Baskets ----------------------------------------------------------------------------------------------------------------
 
@@ -263,11 +277,12 @@ _REDUCED = dict(top_movies=800, top_tags=40)
 two("reduced_topk", lambda t: B.top_per_family(B.doc_freq(t.baskets()).where("df >= 5"), {"movie": 800, "tag": 40}), sql("SELECT token, df, family FROM rv", _RED))
 two("reduced_transactions", lambda t: B.reduce_baskets(t.baskets(), **_REDUCED), sql("SELECT userId, string_agg(token, ',' ORDER BY token) AS items, count(*) AS n_items FROM ra GROUP BY 1", _RED))
 two("reduced_capped", lambda t: B.reduce_baskets(t.baskets(), **_REDUCED, max_items=12), sql("SELECT userId, string_agg(token, ',' ORDER BY o, df DESC, token) AS items, count(*) AS n_items FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY o, df DESC, token) AS r FROM (SELECT *, CASE family WHEN 'genre' THEN 0 WHEN 'movie' THEN 1 ELSE 2 END AS o FROM ra)) WHERE r <= 12 GROUP BY 1 HAVING count(*) >= 2", _RED))
-two("reduced_sampled", lambda t: B.reduce_baskets(t.baskets(), **_REDUCED, sample_frac=0.25))
+two("reduced_sampled", lambda t: B.reduce_baskets(t.baskets(), **_REDUCED, sample_frac=0.25), sql("SELECT userId, string_agg(token, ',' ORDER BY token) AS items, count(*) AS n_items FROM ra WHERE userId IN (SELECT userId FROM (SELECT userId, row_number() OVER (ORDER BY md5(CAST(userId AS VARCHAR) || ':42'), userId) AS r FROM rb) WHERE r <= (SELECT round_even(count(*) * CAST(0.25 AS DOUBLE), 0) FROM rb)) GROUP BY 1", _RED))
 two("token_stats", lambda t: B.token_stats(b := t.baskets(), B.reduce_baskets(b, **_REDUCED)), sql("SELECT token, family, df AS df_before, coalesce(n, 0) AS df_after, n IS NOT NULL AS kept FROM df LEFT JOIN ad USING (token)", _RED))
 _SIZES = "s1 AS (SELECT userId, count(*) AS n FROM tok GROUP BY 1), s2 AS (SELECT userId, count(*) AS n FROM ra GROUP BY 1)"
 two("basket_stats", lambda t: B.basket_stats(b := t.baskets(), B.reduce_baskets(b, **_REDUCED)), sql("SELECT *, round(1 - after_baskets / CAST(before_baskets AS DOUBLE), 6) AS basket_reduction, round(1 - after_tokens / CAST(before_tokens AS DOUBLE), 6) AS token_reduction FROM (SELECT count(*) AS before_baskets, round(avg(n), 6) AS before_mean, median(n) AS before_median, CAST(sum(n) AS BIGINT) AS before_tokens FROM s1), (SELECT count(*) AS after_baskets, round(avg(n), 6) AS after_mean, median(n) AS after_median, CAST(sum(n) AS BIGINT) AS after_tokens FROM s2)", _RED, _SIZES))
 two("removed_vocab", lambda t: B.removed_vocabulary(B.token_stats(b := t.baskets(), B.reduce_baskets(b, **_REDUCED))), sql("SELECT token FROM df WHERE token NOT IN (SELECT token FROM ad) ORDER BY token LIMIT 200", _RED))
+two("baskets_displayed", lambda t: t.baskets().select("userId", X.join_display(F.filter("items", lambda x: X.family(x) == "tag")).alias("shown")), sql("SELECT userId, coalesce(string_agg(token, ' + ' ORDER BY token) FILTER (family = 'tag'), '[]') AS shown FROM tk GROUP BY 1"))
 two("family_composition", lambda t: B.family_composition(t.baskets()), sql("SELECT family, count(DISTINCT token) AS vocabulary, count(*) AS tokens FROM tk GROUP BY 1"))
 two("matrix_density", lambda t: B.matrix_density(t.baskets()), sql("SELECT count(DISTINCT userId) AS n_baskets, count(*) AS cells_set, count(DISTINCT token) AS vocabulary, round(count(*) / CAST(count(DISTINCT userId) * count(DISTINCT token) AS DOUBLE), 6) AS density FROM tok"))
 for _mode, _kinds in B.MODES.items():
@@ -291,7 +306,7 @@ _TYPE = "CASE WHEN split_part(antecedent, ':', 1) <> split_part(consequent, ':',
 
 
 def _kept(t: Tables, baskets: DataFrame, support: float) -> DataFrame:
-    return M.pruned(baskets, M.frequent_tokens(baskets, support))
+    return reused(M.pruned(baskets, M.frequent_tokens(baskets, support)))
 
 
 def _rules_c(t: Tables, confidence: float = 0.25, lift: float = 1.2) -> DataFrame:
@@ -300,6 +315,7 @@ def _rules_c(t: Tables, confidence: float = 0.25, lift: float = 1.2) -> DataFram
 
 two("singleton_prune", lambda t: M.frequent_tokens(t.movie_tag(), 0.001), sql("SELECT token, c FROM k0", *_B))
 two("itemsets_low", lambda t: M.itemsets(_kept(t, t.genre_tag(), 0.005), 0.005), sql("SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count, round(c / CAST(n AS DOUBLE), 6) AS support FROM k1, kn UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf", *_C))
+two("itemsets_top", lambda t: M.top_itemsets(M.itemsets(_kept(t, t.genre_tag(), 0.005), 0.005)), sql("SELECT * FROM (SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count, round(c / CAST(n AS DOUBLE), 6) AS support FROM k1, kn UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf) ORDER BY count DESC, items LIMIT 10", *_C))
 two("itemsets_high", lambda t: M.high_support(M.itemsets(_kept(t, t.genre_tag(), 0.005), 0.005), 0.1), sql("SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count, round(c / CAST(n AS DOUBLE), 6) AS support FROM k1, kn WHERE c / CAST(n AS DOUBLE) >= 0.1 UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf WHERE c_ab / CAST(n AS DOUBLE) >= 0.1", *_C))
 two("itemset_lengths", lambda t: M.length_histogram(M.itemsets(_kept(t, t.genre_tag(), 0.005), 0.005)), sql("SELECT CAST(1 AS BIGINT) AS length, count(*) AS n FROM k1 UNION ALL SELECT 2, count(*) FROM pf", *_C))
 two("pairs_movie_tag", lambda t: M.movie_tag_itemsets(_kept(t, t.movie_tag(), 0.001), 0.001).where("length = 2"), sql("SELECT a || ',' || b AS items, CAST(2 AS BIGINT) AS length, c_ab AS count, round(c_ab / CAST(n AS DOUBLE), 6) AS support FROM pf", *_B))
@@ -333,6 +349,27 @@ two("metric_ranges", lambda t: M.metric_ranges(_rules_c(t)), sql("SELECT min(sup
 two("metric_histogram", lambda t: M.metric_histogram(_rules_c(t), "support"), sql("SELECT CAST(least(floor((s - lo) / (hi - lo) * 40) + 1, 40) AS BIGINT) AS bin, count(*) AS n FROM (SELECT c_ab / CAST(n AS DOUBLE) AS s FROM ru), (SELECT min(c_ab / CAST(n AS DOUBLE)) AS lo, max(c_ab / CAST(n AS DOUBLE)) AS hi FROM ru) GROUP BY 1", *_C))
 two("mine_preset_c", lambda t: mine(t.baskets(), preset("C"))["rules"].select("antecedent", "consequent", "lift"), sql(f"SELECT antecedent, consequent, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift FROM ru WHERE {_GENRE_TAG}", *_C))
 
+
+
+def capped(kinds: str, top: int, cap: int) -> str:
+    return f"SELECT userId, token FROM (SELECT *, row_number() OVER (PARTITION BY userId, family ORDER BY df DESC, token) AS p FROM (SELECT tk.userId, tk.token, tk.family, q.df FROM tk JOIN (SELECT *, row_number() OVER (PARTITION BY family ORDER BY df DESC, token) AS r FROM df) q USING (token) WHERE tk.family IN ({kinds}) AND r <= {top})) WHERE p <= {cap}"
+
+
+_PA = mined(capped("'movie'", 600, 39), 0.001, 0.3, 1.5)
+_PB = mined(capped("'movie', 'tag'", 600, 60), 0.001, 0.4, 1.5, _CROSS_MT)
+for _p, _ctes in (("A", _PA), ("B", _PB)):
+    two(f"mine_preset_{_p.lower()}", lambda t, p=_p: mine(t.baskets(), preset(p))["rules"].drop("leverage", "conviction"), sql("SELECT antecedent, consequent, c_ab AS count_ab, c_a AS count_a, c_b AS count_b, n, round(c_ab / CAST(n AS DOUBLE), 6) AS support, round(c_ab / CAST(c_a AS DOUBLE), 6) AS confidence, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift FROM ru", *_ctes))
+
+
+def _single(t: Tables) -> DataFrame:
+    """Rules of one token a side, told from the same rules with a longer antecedent."""
+    one = M.as_exported(_rules_c(t))
+    longer = one.withColumn("antecedent", F.concat("antecedent", "consequent"))
+    return M.single_sided(one.unionByName(longer)).select("antecedent", "consequent", "support")
+
+
+two("rules_single_sided", _single, sql("SELECT antecedent, consequent, round(c_ab / CAST(n AS DOUBLE), 6) AS support FROM ru", *_C))
+
 # --- Recommendations --------------------------------------------------------------------------------------------------------
 
 
@@ -355,10 +392,61 @@ def _c_lists(t: Tables) -> DataFrame:
 two("genre_semantics", lambda t: R.genre_semantics(_c_lists(t), ["genre:economy"]).select("antecedent", "consequent", "lift", "fallback"), sql("SELECT antecedent, consequent, round(lift, 6) AS lift, NOT own AS fallback FROM (SELECT *, row_number() OVER (ORDER BY own DESC, round(lift, 9) DESC, conf DESC, sup DESC, antecedent, consequent) AS r, max(own) OVER () AS any_own FROM (SELECT *, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) AS lift, c_ab / CAST(c_a AS DOUBLE) AS conf, c_ab / CAST(n AS DOUBLE) AS sup, 'genre:economy' IN (antecedent, consequent) AS own FROM ru)) WHERE r <= 10 AND own = any_own", *_C))
 two("seed_coverage", lambda t: R.seed_coverage(t.movies, _movie_rules(t)), sql("SELECT (SELECT count(*) FROM mc) AS movies, (SELECT count(DISTINCT antecedent) FROM ru WHERE antecedent LIKE 'movie:%') AS covered, round(100.0 * CAST((SELECT count(DISTINCT antecedent) FROM ru WHERE antecedent LIKE 'movie:%') AS DOUBLE) / (SELECT count(*) FROM mc), 6) AS coverage_percent", *_M))
 two("seed_options", lambda t: R.seed_options(t.movies, _movie_rules(t)), sql("SELECT 'movie:' || CAST(movieId AS VARCHAR) AS token, title FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) IN (SELECT antecedent FROM ru)", *_M))
+two("default_seed", lambda t: t.spark.createDataFrame([(R.default_seed(R.seed_options(t.movies, _movie_rules(t)), ["movie:-1"]),)], "token string"), sql("SELECT 'movie:' || CAST(movieId AS VARCHAR) AS token FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) IN (SELECT antecedent FROM ru) ORDER BY title, 'movie:' || CAST(movieId AS VARCHAR) LIMIT 1", *_M))
+two("rule_evidence", lambda t: R.rule_evidence(_movie_rules(t), t.movies, SEED, min_confidence=0.01), sql(f"SELECT antecedent AS seed_movie_token, (SELECT title FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) = '{SEED}') AS seed_title, consequent AS rec_movie_token, mc.title AS rec_title, antecedent, consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM fs JOIN mc ON 'movie:' || CAST(mc.movieId AS VARCHAR) = consequent WHERE consequent IN (SELECT rec_token FROM rc)", *_M, _SEEDED))
+two("seed_genre_tokens", lambda t: FE.exploded_genres(t.movies).select("genre").distinct().select("genre", X.seed_genre_token(F.col("genre")).alias("token")), sql("SELECT DISTINCT genre, 'genre:' || regexp_replace(lower(trim(genre)), '[ -]', '_', 'g') AS token FROM mg"))
+two(
+    "tokens_displayed",
+    lambda t: P.with_titles(B.doc_freq(t.baskets()), t.movies, "token").select("token", X.decode_display(F.col("token"), F.col("token_title")).alias("shown")),
+    sql("SELECT token, CASE family WHEN 'movie' THEN coalesce(title, token) WHEN 'tag' THEN split_part(token, ':', 2) WHEN 'genre' THEN (SELECT string_agg(CASE WHEN i = 1 OR NOT regexp_matches(v[i - 1], '[a-z]') THEN upper(v[i]) ELSE v[i] END, '' ORDER BY i) FROM range(1, length(v) + 1) r(i)) ELSE token END AS shown FROM (SELECT token, family, replace(split_part(token, ':', 2), '_', ' ') AS v FROM df) LEFT JOIN (SELECT 'movie:' || CAST(movieId AS VARCHAR) AS token, title FROM mc) USING (token)"),
+)
 two("rule_vocabulary", lambda t: R.vocabulary(_c_lists(t)), sql("SELECT antecedent AS token FROM ru UNION SELECT consequent FROM ru", *_C))
 two("audit_gates", lambda t: Q.join_coverage(t.ratings, t.movies, "movieId").select(F.lit("integrity").alias("gate"), (F.col("coverage") >= 0.95).alias("passed")).unionByName(S.split_sizes(*t.split()).select(F.lit("split").alias("gate"), ((F.col("train_rows") > 0) & (F.col("test_rows") > 0)).alias("passed"))), sql("SELECT 'integrity' AS gate, (SELECT count(*) FROM ev WHERE movieId IN (SELECT movieId FROM mc)) >= CAST(0.95 AS DOUBLE) * (SELECT count(*) FROM ev) AS passed UNION ALL SELECT 'split', (SELECT count(*) FROM trn) > 0 AND (SELECT count(*) FROM tst) > 0"))
 
 
+def _passes(gate: Callable, *args) -> bool:
+    try:
+        gate(*args)
+    except Q.GateError:
+        return False
+    return True
+
+
+def _gates(t: Tables) -> DataFrame:
+    """Each hard gate on the tables, and on tables that it must refuse."""
+    late = t.movies.where("year >= 2000")
+    found = {
+        "movies": _passes(Q.gate_movies, t.movies), "movies_repeated": _passes(Q.gate_movies, t.movies.unionByName(t.movies)),
+        "movies_without_title": _passes(Q.gate_movies, t.movies.drop("title")), "ratings": _passes(Q.gate_ratings, t.ratings),
+        "tags": _passes(Q.gate_tags, t.tags), "links": _passes(Q.gate_links, t.links),
+        "ratings_to_movies": _passes(Q.gate_coverage, t.ratings, t.movies, "movieId"), "ratings_to_late_movies": _passes(Q.gate_coverage, t.ratings, late, "movieId"),
+        "tags_to_movies": _passes(Q.gate_coverage, t.tags, t.movies, "movieId"),
+    }
+    return t.spark.createDataFrame(list(found.items()), "gate string, passed boolean")
+
+
+def _share(facts: str, dims: str) -> str:
+    return f"(SELECT count(*) FILTER (movieId IN (SELECT movieId FROM {dims})) >= CAST(0.95 AS DOUBLE) * count(*) FROM {facts})"
+
+
+two("hard_gates", _gates, sql("SELECT 'movies' AS gate, (SELECT count(*) = count(DISTINCT movieId) FROM mc) AS passed UNION ALL SELECT 'movies_repeated', (SELECT 2 * count(*) = count(DISTINCT movieId) FROM mc) UNION ALL SELECT 'movies_without_title', false UNION ALL SELECT 'ratings', (SELECT count(*) = count(userId) AND count(*) = count(movieId) FROM ev) UNION ALL SELECT 'tags', (SELECT count(*) = count(userId) AND count(*) = count(movieId) AND count(*) = count(nullif(tag_norm, '')) FROM tc) UNION ALL SELECT 'links', (SELECT count(*) = count(DISTINCT movieId) FROM lc) UNION ALL SELECT 'ratings_to_movies', " + _share("ev", "mc") + " UNION ALL SELECT 'ratings_to_late_movies', " + _share("ev", "(SELECT * FROM mc WHERE year >= 2000)") + " UNION ALL SELECT 'tags_to_movies', " + _share("tc", "mc")))
+
+
+def _audit(t: Tables) -> DataFrame:
+    """The four gates of a whole run."""
+    train, test = t.split_once()
+    gates = {k: Q.gate_coverage(f, t.movies, "movieId") for k, f in (("ratings_to_movies", t.ratings), ("tags_to_movies", t.tags))}
+    users, items = FE.user_base(train), FE.item_base(train)
+    coverage = {k: FE.feature_coverage(f, train, k).first().asDict() for k, f in (("userId", users), ("movieId", items))}
+    baskets = t.baskets()
+    rates = B.basket_stats(baskets, B.reduce_baskets(baskets, **_REDUCED)).first().asDict()
+    report = audit(gates, S.validate_split(train, test), coverage, rates, PipelineConfig())
+    return t.spark.createDataFrame(list(report["gates"].items()), "gate string, passed boolean")
+
+
+two("audit_run", _audit, sql("SELECT 'integrity' AS gate, " + _share("ev", "mc") + " AND " + _share("tc", "mc") + " AS passed UNION ALL SELECT 'split', (SELECT count(*) FROM trn) > 0 AND (SELECT count(*) FROM tst) > 0 AND (SELECT max(us) FROM trn) < (SELECT min(us) FROM tst) UNION ALL SELECT 'features', (SELECT count(DISTINCT userId) FROM trn) > 0 UNION ALL SELECT 'readiness', (SELECT count(*) FROM ra) > 0", _RED))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -189,7 +189,8 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """One file; only the writing is one task, not the work before it."""
+    df.repartition(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def checklist(spark: SparkSession, run_dir: str, tables: list[str], reports: list[str]) -> dict[str, int | bool]:

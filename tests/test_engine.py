@@ -9,7 +9,7 @@ from tastemill.operators import recommend as R
 from tastemill.operators import split as S
 from tastemill.operators.clean import clean_ratings, clean_tags
 from tastemill.plans.config import PipelineConfig, clamp, preset
-from tastemill.plans.pipeline import mine
+from tastemill.plans.pipeline import mine, validation_summary, value_at
 
 
 def rated(spark, rows):
@@ -127,3 +127,39 @@ def test_recommend(spark):
     assert not R.genre_semantics(rules, ["genre:a"]).first().fallback and R.genre_semantics(rules, ["genre:zz"]).first().fallback
     with pytest.raises(ValueError):
         R.adapt_rules(spark.createDataFrame([(1,)], "x int"))
+
+
+def test_sample_is_exact(spark):
+    b = baskets(spark, *[["genre:a"]] * 50)
+    for fraction, n in ((0.05, 2), (0.5, 25), (0.99, 50), (1.0, 50)):
+        rows = B.exact_sample(b, fraction).collect()
+        assert len(rows) == n and len({r.userId for r in rows}) == n
+    assert B.exact_sample(b.limit(0), 0.5).count() == 0
+
+
+def test_pairs_across_families(spark):
+    b = baskets(spark, ["movie:1", "movie:2", "tag:a"], ["movie:1", "tag:a", "tag:b"], ["genre:x", "movie:1"], ["tag:a"])
+    every = {(r.a, r.b): r.c_ab for r in M.pair_counts(b).collect()}
+    want = {k: n for k, n in every.items() if {t.split(":")[0] for t in k} == {"movie", "tag"}}
+    assert want and {(r.a, r.b): r.c_ab for r in M.pair_counts(b, ("movie", "tag")).collect()} == want
+    assert {(r.a, r.b): r.c_ab for r in M.pair_counts(b, ("tag", "movie")).collect()} == want
+
+
+def test_genres_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(FE, "MOST_GENRES", 1)
+    movies = spark.createDataFrame([(1, ["a", "b"])], "movieId int, genres_list array<string>")
+    with pytest.raises(ValueError):
+        FE.genre_values(movies)
+
+
+def test_default_seed(spark):
+    options = spark.createDataFrame([("movie:1", "a"), ("movie:2", "b")], "token string, title string")
+    assert R.default_seed(options, ["movie:9", "movie:2"]) == "movie:2" and R.default_seed(options, []) == "movie:1"
+    assert R.default_seed(options.limit(0), ["movie:1"]) is None
+
+
+def test_reports():
+    found = validation_summary({"a": {"warnings": ["w"]}, "b": {"error": "e"}, "c": {}})
+    assert found == {"all_validations_passed": False, "errors": [{"table": "b", "error": "e"}], "warnings": [{"table": "a", "warning": "w"}]}
+    assert validation_summary({})["all_validations_passed"]
+    assert value_at({"a": {"b": 1}}, "a", "b") == 1 and value_at({"a": 1}, "a", "b", default=0) == 0 and value_at({}, "x") is None

@@ -5,9 +5,10 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tastemill import queries as engine
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["clean_movies", "clean_tags", "per_user_split_train", "item_top_tags", "reduced_capped", "rules_preset_c", "rules_gate2", "recommend_seed"]
+NAMES = sorted(engine.oracle_sql())
 
 
 def test_contract():

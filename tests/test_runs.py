@@ -71,3 +71,14 @@ def test_stream(spark, raw, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("likes").count() == ratings.where("rating >= 4").count()
+
+
+def test_command_lines(spark, raw, tmp_path):
+    from tastemill.__main__ import main
+
+    staged = main(["stage", str(raw), str(tmp_path / "staging")])
+    run = main(["run", staged, str(tmp_path / "runs"), "--options", '{"min_token_df": 1, "min_tag_freq": 1}'])
+    mined = main(["mine", run, str(tmp_path / "mined"), "--options", '{"min_confidence": 0.0, "min_lift": 0.0}'])
+    assert spark.read.parquet(f"{mined}/tables/association_rules").count() > 0
+    with pytest.raises(SystemExit):
+        main(["stage"])
