@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, line_dedup, minhash_dedup, packing, pii, piece_fst, substring_dedup, toxicity
+from . import ann, chat, divergence, exact_dedup, line_dedup, minhash_dedup, packing, pii, piece_fst, prefix_trie, simhash_dedup, substring_dedup, toxicity
 from .store import table, tokenizer
 
 
@@ -74,13 +74,28 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = (
         op1_ann, op2_substring_dedup, op3_packing, op4_pii, op5_line_dedup, op6_exact_dedup, op7_piece_fst, op8_chat, op9_toxicity,
-        op10_minhash_dedup,
+        op10_minhash_dedup, op11_divergence, op12_prefix_trie, op13_simhash_dedup,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat.ORACLE, "op10_minhash_dedup": minhash_dedup.ORACLE}
+    return {
+        "op2_substring_dedup": substring_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_chat": chat.ORACLE, "op10_minhash_dedup": minhash_dedup.ORACLE,
+        "op11_divergence": divergence.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE,
+    }
