@@ -129,14 +129,16 @@ def links(nodes: DataFrame, errors: int = ERRORS) -> DataFrame:
     if errors > ERRORS:
         raise ValueError(f"the keys cover {ERRORS} differing bits, not {errors}")
     keyed = nodes.select("print").mapInArrow(_keyed, "print bigint, key bigint, home boolean")
-    shared = keyed.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.max("home").alias("met"))
-    buckets = written(keyed.join(shared.where("met AND low < high").select("key"), "key", "left_semi"), "buckets")
+    # A node has a key once. Both sides are shuffled at every size, so that the work stays in proportion to the nodes.
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("met")).where("met AND n > 1").select("key")
+    buckets = written(keyed.join(shared.hint("merge"), "key", "left_semi"), "buckets")
     known = buckets.select("print").distinct()
-    groups, found = known.withColumn("component", F.col("print")), None
+    active, groups, found = buckets.withColumn("component", F.col("print")), None, None
     for round_, pivots in enumerate((*PIVOTS, None)):
-        placed = written(buckets.join(groups, "print"), "placed")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        active = placed.join(mixed.select("key"), "key", "left_semi")
+        if groups is not None:  # keys whose nodes are all of one group are done
+            placed = written(active.drop("component").join(groups, "print"), "placed")
+            mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+            active = placed.join(mixed.select("key"), "key", "left_semi")
         others = active.where("home")
         if pivots:
             slot = F.pmod(F.xxhash64("print", F.lit(round_)), F.lit(pivots)).alias("slot")
