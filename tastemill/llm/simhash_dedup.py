@@ -128,7 +128,9 @@ def links(nodes: DataFrame, errors: int = ERRORS) -> DataFrame:
     """Pairs ``a, b`` of distinct fingerprints within ``errors`` bits whose connected groups are those of all such pairs."""
     if errors > ERRORS:
         raise ValueError(f"the keys cover {ERRORS} differing bits, not {errors}")
-    keyed = nodes.select("print").mapInArrow(_keyed, "print bigint, key bigint, home boolean")
+    # A node makes about a hundred rows: small files of nodes are dealt to all tasks first.
+    dealt = nodes.select("print").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = dealt.mapInArrow(_keyed, "print bigint, key bigint, home boolean")
     # A node has a key once. Both sides are shuffled at every size, so that the work stays in proportion to the nodes.
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("met")).where("met AND n > 1").select("key")
     buckets = written(keyed.join(shared.hint("merge"), "key", "left_semi"), "buckets")
