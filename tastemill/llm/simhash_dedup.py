@@ -39,7 +39,7 @@ from .store import small_batches, written
 SHINGLE, SEED, ERRORS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR, CHECKS, LENGTH, RADIUS = 0xC75, 11, 23, 4
-PIVOTS = (1, 4)
+PIVOTS = (4,)
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -140,7 +140,7 @@ def links(nodes: DataFrame, errors: int = ERRORS) -> DataFrame:
         if groups is not None:  # keys whose nodes are all of one group are done
             placed = written(active.drop("component").join(groups, "print"), "placed")
             mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-            active = placed.join(mixed.select("key"), "key", "left_semi")
+            active = written(placed.join(mixed.select("key"), "key", "left_semi"), "active")
         others = active.where("home")
         if pivots:
             slot = F.pmod(F.xxhash64("print", F.lit(round_)), F.lit(pivots)).alias("slot")
