@@ -8,11 +8,11 @@ that symbol's name whatever its length, so that windows inside runs of different
 Every symbol carries its context: the words that determine that it occurs. A window of ``WINDOW`` words is served by one symbol of
 the highest level whose context lies inside it, the same wherever the window occurs. Spark finds the serving symbols (named with
 their context) that several documents share; only windows they serve are hashed themselves, and the smallest document of
-each window decides. Windows are named by 64 bits, as are symbols; a wrong match takes a collision of both.
+each window decides. Equal windows are told by 64-bit hashes of their words, among those that such symbols serve.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of whole texts. A word goes if a window that covers it also starts in a document with a smaller
 ``doc_id``; windows are those of the input. Of equal texts only the first is searched; the others lose all their words. Null and empty texts have no words. Documents of under ``WINDOW`` words keep all. Rows
-that share a ``doc_id`` don't remove from each other; rows with a null ``doc_id`` neither lose words nor make others
+that share a ``doc_id`` don't remove from each other, and each loses only what its own text repeats; rows with a null ``doc_id`` neither lose words nor make others
 lose them. An empty table gives no rows; other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,8 +113,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([as_long(names[once]), pa.array(ids[doc[once]])], ["name", "doc_id"])
 
 
+def _tags(texts: pa.Array) -> np.ndarray:
+    """31 bits that tell rows of one ``doc_id`` apart."""
+    return np.array([xxhash.xxh3_64_intdigest(x or b"") >> 33 for x in texts.cast(pa.binary()).to_pylist()], np.int64)
+
+
 def _windows(role: str):
-    """The windows that the symbols listed in column ``role`` serve."""
+    """The windows that the symbols listed in column ``role`` serve; ``at`` is the first word with the row's tag above it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +138,7 @@ def _windows(role: str):
                 name = mix(name + symbols[at + k] + np.uint64(k))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [as_long(name), pa.array(ids[doc]), pa.array((at - bounds[doc]).astype(np.int32))], ["name", "doc_id", "at"]
+                [as_long(name), pa.array(ids[doc]), pa.array(_tags(batch.column("text"))[doc] << 32 | at - bounds[doc])], ["name", "doc_id", "at"]
             )
 
     return run
@@ -143,7 +149,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, bounds, words = split(batch.column("text"))
         held = batch.column("starts")
         counts = np.nan_to_num(held.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        at = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(bounds[:-1], counts)
+        at = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        own = at >> 32 == np.repeat(_tags(batch.column("text")), counts)
+        at = ((at & 0xFFFFFFFF) + np.repeat(bounds[:-1], counts))[own]
         gone = _covered(at, at + WINDOW, len(codes)) if len(codes) else np.zeros(0, bool)
         totals = np.diff(bounds)
         copy = pc.fill_null(batch.column("copy"), False).to_numpy(zero_copy_only=False) & (totals >= WINDOW)
@@ -164,8 +172,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").repartition("doc_id")
     digests = docs.select(F.col("doc_id").cast("bigint"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = digests.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.lit(True).alias("copy"))
-    marked = texts.join(copies, "doc_id", "left").select("doc_id", "text", "copy")
+    copies = digests.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copies"))
+    same = F.array_contains("copies", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    marked = texts.join(copies, "doc_id", "left").select("doc_id", "text", F.when(F.col("copies").isNotNull(), same).alias("copy"))
     anchors = marked.mapInArrow(_anchors, "name bigint, doc_id bigint")
     shared = anchors.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     # The last document that holds a symbol has no later one to take words from, the first has none before it.
@@ -174,7 +183,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("doc_id") > F.col("low"), F.col("name"))).alias("targets"),
     )
     served = texts.join(per_doc, "doc_id", "left").select("doc_id", "text", "sources", "targets")
-    schema = "name bigint, doc_id bigint, at int"
+    schema = "name bigint, doc_id bigint, at bigint"
     owners = served.drop("targets").mapInArrow(_windows("sources"), schema).groupBy("name").agg(F.min("doc_id").alias("low"))
     targets = served.drop("sources").mapInArrow(_windows("targets"), schema)
     starts = targets.join(owners, "name").where("doc_id > low").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))

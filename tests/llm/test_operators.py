@@ -76,6 +76,16 @@ def test_substring(spark):
     assert substring_dedup.substring_dedup(docs(spark, texts).limit(0)).count() == 0
     odd = substring_dedup.substring_dedup(docs(spark, [texts[3]] * 3, [None, 7, 7])).collect()
     assert all(r.n_removed == 0 for r in odd)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    for rows in ([(1, a), (7, a), (7, b)], [(1, a + " x"), (7, c + " " + a + " " + c), (7, "short text here")], [(7, a), (7, b), (9, b + " " + a), (9, c), (9, b)]):
+        found = substring_dedup.substring_dedup(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+        starts = [(i, tuple(w[k : k + 13])) for i, t in rows for w in [t.split()] for k in range(len(w) - 12)]
+        want = []
+        for i, t in rows:
+            w = t.split()
+            gone = {j for k in range(len(w) - 12) if any(o < i and s == tuple(w[k : k + 13]) for o, s in starts) for j in range(k, k + 13)}
+            want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+        assert sorted(map(tuple, found)) == sorted(want)
 
 
 def test_minhash(spark):
