@@ -78,15 +78,15 @@ def _signed(width: int, permutations: int, rows: int):
             sizes = np.diff(bounds)
             full = np.flatnonzero(sizes)
             values = min_max(name, bounds[:-1][full], permutations) if len(full) else np.zeros((0, 2 * permutations), np.uint64)
-            banded = values.reshape(len(full), -1, rows)
+            banded = values.reshape(len(full), values.shape[1] // rows, rows)
             keys = np.broadcast_to(np.arange(banded.shape[1], dtype=np.uint64), banded.shape[:2]).copy()
             for r in range(rows):
                 keys = mix(keys + banded[:, :, r] + np.uint64(r))
-            nibbles = (mix(values) & np.uint64(15))[:, : values.shape[1] // 16 * 16].reshape(len(full), -1, 16)
+            nibbles = (mix(values) & np.uint64(15))[:, : values.shape[1] // 16 * 16].reshape(len(full), values.shape[1] // 16, 16)
             sketch = np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
             doc = np.repeat(np.arange(len(full)), sizes[full])
             odd = np.bincount(doc * PARITIES + (name >> np.uint64(54)).astype(np.int64), minlength=len(full) * PARITIES) & 1
-            odd = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(full), -1)
+            odd = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(full), PARITIES // 64)
             sketch = np.concatenate([sketch, odd], 1)
             digests = [None] * len(sizes)
             for j in full:
@@ -94,9 +94,9 @@ def _signed(width: int, permutations: int, rows: int):
             counts, longs = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
             counts[full], longs[full] = keys.shape[1], sketch.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), lists(sketch.ravel().view(np.int64), longs),
+                [batch.column("doc_id"), batch.column("version"), pa.array(sizes), pa.array(digests, pa.binary()), lists(sketch.ravel().view(np.int64), longs),
                  lists(keys.ravel().view(np.int64), counts)],
-                ["doc_id", "n_shingles", "digest", "sketch", "bands"],
+                ["doc_id", "version", "n_shingles", "digest", "sketch", "bands"],
             )
 
     return run
@@ -150,10 +150,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row; ``component_id`` is the smallest linked ``doc_id``."""
+    """``doc_id, n_shingles, component_id, kept, version`` of each row; ``component_id`` is the smallest linked ``doc_id``.
+
+    ``version`` is the text's ``xxhash64``, by which rows that repeat a ``doc_id`` are found again.
+    """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text")
-    schema = "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>, bands array<bigint>"
+    texts = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("version"))
+    schema = "doc_id bigint, version bigint, n_shingles bigint, digest binary, sketch array<bigint>, bands array<bigint>"
     signed = written(texts.mapInArrow(_signed(width, permutations, rows), schema), "signatures")
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
@@ -212,7 +215,7 @@ def near_duplicates(
     labels = placed.join(low, "component").select("digest", "component_id")
     return signed.join(labels, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"), "version",
     )
 
 
