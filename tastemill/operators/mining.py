@@ -139,18 +139,10 @@ def gate_held_out(
 
     Without held-out baskets the rules stay as they are.
     """
-    own = pruned(B.controlled(test, mode, tops, caps), keep)
-    n = n_baskets(own).withColumnRenamed("n", "n_test")
-    low, high = F.least("antecedent", "consequent"), F.greatest("antecedent", "consequent")
-    pairs = pair_counts(own).withColumnRenamed("c_ab", "count_ab_test")
-    singles = B.doc_freq(own).select(F.col("token").alias("antecedent"), F.col("df").alias("count_a_test"))
-    both = found.withColumn("a", low).withColumn("b", high).join(pairs, ["a", "b"], "left").drop("a", "b").join(singles, "antecedent", "left")
-    zero = F.lit(0)
-    both = both.join(F.broadcast(n)).withColumn("count_ab_test", F.coalesce("count_ab_test", zero)).withColumn("count_a_test", F.coalesce("count_a_test", zero))
-    confidence = F.when(F.col("count_a_test") == 0, 0.0).otherwise(F.col("count_ab_test") / F.col("count_a_test"))
-    both = both.withColumn("confidence_test", confidence).withColumn("conf_ratio", F.col("confidence_test") / F.col("confidence"))
-    good = (F.col("confidence_test") >= min_confidence) & (F.col("conf_ratio") >= min_ratio) & (F.col("count_ab_test") >= min_ab)
-    return both.where((F.col("n_test") == 0) | good)
+    from . import itemsets as I
+
+    own = I.coded_by(B.to_tokens(B.controlled(test, mode, tops, caps)), I.dictionary(keep))
+    return I.stable(found, own, min_confidence, min_ratio, min_ab)
 
 
 def across(found: DataFrame, x: str = "genre", y: str = "tag") -> DataFrame:

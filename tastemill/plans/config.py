@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from ..operators.itemsets import MOST_ITEMS
+
 
 @dataclass(frozen=True)
 class PipelineConfig:
@@ -65,13 +67,21 @@ class MiningConfig:
     gate2_min_ab: int = 50
     across: tuple[str, str] | None = None
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.max_len <= MOST_ITEMS:
+            raise ValueError(f"max_len must be 1 to {MOST_ITEMS}")
+
+    def _on(self, switch: bool) -> bool:
+        """The movie-tag miner has limits and caps in controlled modes only."""
+        return self.mode.startswith("controlled_") or (switch and self.algorithm != "movie_tag")
+
     @property
     def active_tops(self) -> dict:
-        return self.tops if self.limits or self.mode.startswith("controlled_") else {}
+        return self.tops if self._on(self.limits) else {}
 
     @property
     def active_caps(self) -> dict:
-        return self.caps if self.caps_on or self.mode.startswith("controlled_") else {}
+        return self.caps if self._on(self.caps_on) else {}
 
 
 # The presets' parameters.

@@ -15,13 +15,15 @@ from .functions import text as X
 from .operators import baskets as B
 from .operators import clean as C
 from .operators import features as FE
+from .operators import itemsets as I
 from .operators import mining as M
 from .operators import present as P
 from .operators import quality as Q
 from .operators import recommend as R
 from .operators import split as S
 from .plans.config import PipelineConfig, preset
-from .plans.pipeline import audit, mine, reused
+from .plans.leases import Scope
+from .plans.pipeline import audit, mine
 from .sources.adapter import Star
 
 TIES = ("l_orderkey", "l_linenumber", "l_suppkey")
@@ -45,10 +47,12 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """The adapter's tables and what the pipeline makes of them, as lazy frames."""
+    """The adapter's tables and what the pipeline makes of them, as lazy frames; ``keep`` leases a frame until the query's result is gone."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.raw = spark, Star(spark, sf_dir)
+        self.scope = Scope(spark, [f"{sf_dir}/{name}.parquet" for name in ("orders", "lineitem", "part")])
+        self.keep = self.scope.keep
         self.movies, self.links = C.clean_movies(self.raw.movies()), C.clean_links(self.raw.links())
         self.ratings = C.clean_ratings(self.raw.ratings())
         self.tags = C.clean_tags(self.raw.tags())
@@ -58,7 +62,7 @@ class Tables:
 
     def split_once(self) -> tuple[DataFrame, DataFrame]:
         """The same for plans that read the ratings several times."""
-        return S.global_split(reused(self.ratings))
+        return S.global_split(self.keep(self.ratings))
 
     def user_split(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return S.user_split(C.clean_ratings(self.raw.ratings(keys=True), *TIES), ties=TIES)
@@ -66,17 +70,23 @@ class Tables:
     def tags_train(self) -> DataFrame:
         return S.tags_before(self.tags, S.time_cutoff(self.ratings))
 
+    def tokens(self, **options) -> DataFrame:
+        return self.keep(B.basket_tokens(self.split_once()[0], self.movies, self.tags_train(), **options))
+
+    def test_tokens(self, **options) -> DataFrame:
+        return B.basket_tokens(self.split_once()[1], self.movies, self.tags, **options)
+
     def baskets(self, **options) -> DataFrame:
-        return reused(B.transactions(self.split()[0], self.movies, self.tags_train(), **options))
+        return self.keep(B.transactions(self.split_once()[0], self.movies, self.tags_train(), **options))
 
-    def test_baskets(self, **options) -> DataFrame:
-        return reused(B.transactions(self.split()[1], self.movies, self.tags, **options))
+    def coded(self, support: float, *families: str) -> I.Coded:
+        return I.coded(self.tokens(families=families), support, self.keep)
 
-    def genre_tag(self) -> DataFrame:
-        return self.baskets(families=("genre", "tag"))
+    def genre_tag(self, support: float = 0.005) -> I.Coded:
+        return self.coded(support, "genre", "tag")
 
-    def movie_tag(self) -> DataFrame:
-        return self.baskets(families=("movie", "tag"))
+    def movie_tag(self, support: float = 0.001) -> I.Coded:
+        return self.coded(support, "movie", "tag")
 
 
 # --- SQL of the same tables -------------------------------------------------------------------------------------------------
@@ -158,7 +168,11 @@ SQL: dict[str, str] = {}
 
 def query(name: str, text: str | None = None):
     def put(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: plain(f(Tables(spark, sf_dir)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tables = Tables(spark, sf_dir)
+            return tables.scope.bind(plain(f(tables)))
+
+        QUERIES[name] = run
         if text:
             SQL[name] = text
         return f
@@ -305,41 +319,72 @@ _GENRE_TAG = "((antecedent LIKE 'genre:%' AND consequent LIKE 'tag:%') OR (antec
 _TYPE = "CASE WHEN split_part(antecedent, ':', 1) <> split_part(consequent, ':', 1) THEN 'cross_type' ELSE split_part(antecedent, ':', 1) || '_only' END"
 
 
-def _kept(t: Tables, baskets: DataFrame, support: float) -> DataFrame:
-    return reused(M.pruned(baskets, M.frequent_tokens(baskets, support)))
+def _rules_c(t: Tables, confidence: float = 0.25, lift: float = 1.2) -> DataFrame:
+    return I.pair_rules(t.genre_tag(), 0.005, confidence, lift)
 
 
-def _rules_c(t: Tables, confidence: float = 0.25, lift: float = 1.2) -> DataFrame:
-    return M.rules(_kept(t, t.genre_tag(), 0.005), 0.005, confidence, lift)
-
-
-two("singleton_prune", lambda t: M.frequent_tokens(t.movie_tag(), 0.001), sql("SELECT token, c FROM k0", *_B))
-two("itemsets_low", lambda t: M.itemsets(_kept(t, t.genre_tag(), 0.005), 0.005), sql("SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count, round(c / CAST(n AS DOUBLE), 6) AS support FROM k1, kn UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf", *_C))
-two("itemsets_top", lambda t: M.top_itemsets(M.itemsets(_kept(t, t.genre_tag(), 0.005), 0.005)), sql("SELECT * FROM (SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count, round(c / CAST(n AS DOUBLE), 6) AS support FROM k1, kn UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf) ORDER BY count DESC, items LIMIT 10", *_C))
-two("itemsets_high", lambda t: M.high_support(M.itemsets(_kept(t, t.genre_tag(), 0.005), 0.005), 0.1), sql("SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count, round(c / CAST(n AS DOUBLE), 6) AS support FROM k1, kn WHERE c / CAST(n AS DOUBLE) >= 0.1 UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf WHERE c_ab / CAST(n AS DOUBLE) >= 0.1", *_C))
-two("itemset_lengths", lambda t: M.length_histogram(M.itemsets(_kept(t, t.genre_tag(), 0.005), 0.005)), sql("SELECT CAST(1 AS BIGINT) AS length, count(*) AS n FROM k1 UNION ALL SELECT 2, count(*) FROM pf", *_C))
-two("pairs_movie_tag", lambda t: M.movie_tag_itemsets(_kept(t, t.movie_tag(), 0.001), 0.001).where("length = 2"), sql("SELECT a || ',' || b AS items, CAST(2 AS BIGINT) AS length, c_ab AS count, round(c_ab / CAST(n AS DOUBLE), 6) AS support FROM pf", *_B))
-two("pairs_self_join", lambda t: M.pair_counts_by_join(B.to_tokens(t.genre_tag())), sql("SELECT x.token AS a, y.token AS b, count(*) AS c_ab FROM (" + _GT + ") x JOIN (" + _GT + ") y ON x.userId = y.userId AND x.token < y.token GROUP BY 1, 2"))
-two("rules_preset_a", lambda t: M.rules(_kept(t, t.baskets(families=("movie",)), 0.0013), 0.0013, 0.0, 1.5), sql(f"SELECT {_RULE} FROM ru", *_A))
-two("rules_preset_b", lambda t: M.rules(_kept(t, t.movie_tag(), 0.001), 0.001, 0.4, 1.5, ("movie", "tag")), sql(f"SELECT {_RULE} FROM ru", *_B))
+def _sets_c(t: Tables) -> DataFrame:
+    return I.frequent_sets(t.genre_tag(), 0.005)
+
+
+_ONE = "SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count, round(c / CAST(n AS DOUBLE), 6) AS support FROM k1, kn"
+_SORTED = "SELECT items, length, count, round(count / CAST(n AS DOUBLE), 6) AS support FROM sets, kn"
+two("singleton_prune", lambda t: t.movie_tag().dictionary.select("token", "c"), sql("SELECT token, c FROM k0", *_B))
+two("token_codes", lambda t: t.genre_tag().dictionary, sql("SELECT token, (row_number() OVER (ORDER BY c, token) - 1) * 4 + CASE WHEN token LIKE 'genre:%' THEN 0 ELSE 2 END AS code, c FROM k0", *_C))
+two("itemsets_low", _sets_c, sql(_ONE + " UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf", *_C))
+two("itemsets_top", lambda t: M.top_itemsets(_sets_c(t)), sql("SELECT * FROM (" + _ONE + " UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf) ORDER BY count DESC, items LIMIT 10", *_C))
+two("itemsets_high", lambda t: M.high_support(_sets_c(t), 0.1), sql(_ONE + " WHERE c / CAST(n AS DOUBLE) >= 0.1 UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf WHERE c_ab / CAST(n AS DOUBLE) >= 0.1", *_C))
+two("itemset_lengths", lambda t: M.length_histogram(_sets_c(t)), sql("SELECT CAST(1 AS BIGINT) AS length, count(*) AS n FROM k1 UNION ALL SELECT 2, count(*) FROM pf", *_C))
+two("pairs_movie_tag", lambda t: I.frequent_sets(t.movie_tag(), 0.001, families=("movie", "tag")), sql(_ONE + " UNION ALL SELECT a || ',' || b AS items, CAST(2 AS BIGINT) AS length, c_ab AS count, round(c_ab / CAST(n AS DOUBLE), 6) AS support FROM pf", *_B))
+two("pairs_self_join", lambda t: M.pair_counts_by_join(t.tokens(families=("genre", "tag"))), sql("SELECT x.token AS a, y.token AS b, count(*) AS c_ab FROM (" + _GT + ") x JOIN (" + _GT + ") y ON x.userId = y.userId AND x.token < y.token GROUP BY 1, 2"))
+two("rules_preset_a", lambda t: I.pair_rules(t.coded(0.0013, "movie"), 0.0013, 0.0, 1.5), sql(f"SELECT {_RULE} FROM ru", *_A))
+two("rules_preset_b", lambda t: I.pair_rules(t.movie_tag(), 0.001, 0.4, 1.5, ("movie", "tag")), sql(f"SELECT {_RULE} FROM ru", *_B))
 two("rules_preset_c", lambda t: M.across(_rules_c(t)), sql(f"SELECT {_RULE} FROM ru WHERE {_GENRE_TAG}", *_C))
 two("rules_gate1", lambda t: M.gate_evidence(_rules_c(t, 0.02, 1.1), 50, 100, 0.20), sql(f"SELECT {_RULE} FROM ru WHERE c_ab >= 50 AND c_a >= 100 AND c_b / CAST(n AS DOUBLE) <= 0.2", *_G))
 
+# Sets of three: SQL joins the kept tokens three times.
+_THREE = (
+    f"p3 AS (SELECT x.token AS a, y.token AS b, z.token AS c, count(*) AS c_abc FROM kt x JOIN kt y ON x.userId = y.userId AND x.token < y.token JOIN kt z ON x.userId = z.userId AND y.token < z.token GROUP BY 1, 2, 3)",
+    "sets AS (SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count FROM k1 UNION ALL SELECT a || ',' || b, 2, c_ab FROM pf UNION ALL SELECT a || ',' || b || ',' || c, 3, c_abc FROM p3, kn WHERE c_abc >= ceil(CAST({s} AS DOUBLE) * n))",
+)
+
+
+def _three(support: float) -> tuple[str, ...]:
+    return tuple(x.replace("{s}", str(support)) for x in _THREE)
+
+
+_SIDES = "sr AS (" + " UNION ALL ".join(
+    f"SELECT {a} AS antecedent, {b} AS consequent, c_abc AS c_ab FROM p3, kn WHERE c_abc >= ceil(CAST(0.05 AS DOUBLE) * n)"
+    for x, y, z in (("a", "b", "c"), ("b", "a", "c"), ("c", "a", "b")) for a, b in ((x, f"{y} || ',' || {z}"), (f"{y} || ',' || {z}", x))
+) + " UNION ALL SELECT antecedent, consequent, c_ab FROM pd)"
+_S = (*mined(_GT, 0.05, 0.0), *_three(0.05), _SIDES, "sm AS (SELECT sr.antecedent, sr.consequent, sr.c_ab, x.count AS c_a, y.count AS c_b, n FROM sr JOIN sets x ON x.items = sr.antecedent JOIN sets y ON y.items = sr.consequent, kn WHERE sr.c_ab / CAST(x.count AS DOUBLE) >= CAST(0.3 AS DOUBLE) AND sr.c_ab * CAST(n AS DOUBLE) / (x.count * y.count) > CAST(1.05 AS DOUBLE))")
+
+
+def _set_rules(t: Tables) -> DataFrame:
+    own = t.genre_tag(0.05)
+    return I.set_rules(I.frequent_sets(own, 0.05, 3), own.n, 0.3, 1.05)
+
+
+two("itemsets_three", lambda t: I.frequent_sets(t.genre_tag(0.02), 0.02, 3), sql(_SORTED, *mined(_GT, 0.02, 0.0), *_three(0.02)))
+two("rules_many_sided", _set_rules, sql(f"SELECT {_RULE} FROM sm", *_S))
+two("rules_one_sided_of_three", lambda t: M.single_sided(_set_rules(t)), sql(f"SELECT {_RULE} FROM sm WHERE NOT contains(antecedent, ',') AND NOT contains(consequent, ',')", *_S))
+
 
 def _gate2(t: Tables) -> DataFrame:
     own = t.genre_tag()
-    keep = M.frequent_tokens(own, 0.005)
-    found = M.rules(M.pruned(own, keep), 0.005, 0.02, 1.1)
-    out = M.gate_held_out(found, t.test_baskets(families=("genre", "tag")), "genre_tag", keep, 0.02, 0.5, 5)
-    return out.select("antecedent", "consequent", "count_ab", "count_ab_test", "confidence", "confidence_test", "conf_ratio", "n_test")
+    test = I.coded_by(t.test_tokens(families=("genre", "tag")), own.dictionary, t.keep)
+    return I.stable(I.pair_rules(own, 0.005, 0.02, 1.1), test, 0.02, 0.5, 5).select(
+        "antecedent", "consequent", "count_ab", "count_ab_test", "count_b_test", "support_b_test", "confidence", "confidence_test", "lift_test", "conf_ratio", "n_test"
+    )
 
 
 _H = (
     "h0 AS (SELECT userId, token FROM tk2 WHERE token IN (SELECT token FROM k0))", "h1 AS (SELECT token, count(*) AS c FROM h0 GROUP BY 1)",
     "h2 AS (SELECT x.token AS a, y.token AS b, count(*) AS c FROM h0 x JOIN h0 y ON x.userId = y.userId AND x.token < y.token GROUP BY 1, 2)",
-    "h3 AS (SELECT ru.antecedent, ru.consequent, c_ab, c_ab / CAST(c_a AS DOUBLE) AS conf, coalesce(h2.c, 0) AS t_ab, coalesce(h2.c, 0) / CAST(h1.c AS DOUBLE) AS conf_t FROM ru JOIN h1 ON h1.token = antecedent LEFT JOIN h2 ON h2.a = least(antecedent, consequent) AND h2.b = greatest(antecedent, consequent))",
+    "hn AS (SELECT count(DISTINCT userId) AS m FROM h0)",
+    "h3 AS (SELECT ru.antecedent, ru.consequent, c_ab, c_ab / CAST(c_a AS DOUBLE) AS conf, coalesce(h2.c, 0) AS t_ab, coalesce(h4.c, 0) AS t_b, coalesce(h2.c, 0) / CAST(h1.c AS DOUBLE) AS conf_t FROM ru JOIN h1 ON h1.token = antecedent LEFT JOIN h1 h4 ON h4.token = consequent LEFT JOIN h2 ON h2.a = least(antecedent, consequent) AND h2.b = greatest(antecedent, consequent))",
 )
-two("rules_gate2", _gate2, sql("SELECT antecedent, consequent, c_ab AS count_ab, t_ab AS count_ab_test, round(conf, 6) AS confidence, round(conf_t, 6) AS confidence_test, round(conf_t / conf, 6) AS conf_ratio, (SELECT count(DISTINCT userId) FROM h0) AS n_test FROM h3 WHERE conf_t >= CAST(0.02 AS DOUBLE) AND conf_t / conf >= 0.5 AND t_ab >= 5", *_G, *_H))
+two("rules_gate2", _gate2, sql("SELECT antecedent, consequent, c_ab AS count_ab, t_ab AS count_ab_test, t_b AS count_b_test, round(t_b / CAST(m AS DOUBLE), 6) AS support_b_test, round(conf, 6) AS confidence, round(conf_t, 6) AS confidence_test, round(conf_t / (t_b / CAST(m AS DOUBLE)), 6) AS lift_test, round(conf_t / conf, 6) AS conf_ratio, m AS n_test FROM h3, hn WHERE conf_t >= CAST(0.02 AS DOUBLE) AND conf_t / conf >= 0.5 AND t_ab >= 5", *_G, *_H))
 two("rule_types", lambda t: P.type_histogram(M.as_exported(_rules_c(t))), sql(f"SELECT {_TYPE} AS rule_type, count(*) AS n FROM ru GROUP BY 1", *_C))
 _NICE = "CASE WHEN {x} LIKE 'genre:%' THEN '[G] ' ELSE '[T] ' END || (SELECT string_agg(CASE WHEN i = 1 OR NOT regexp_matches(v[i - 1], '[a-z]') THEN upper(v[i]) ELSE v[i] END, '' ORDER BY i) FROM (SELECT split_part({x}, ':', 2) AS v), range(1, length(split_part({x}, ':', 2)) + 1) r(i))"
 _RD = f"rd AS (SELECT antecedent, consequent, {_NICE.format(x='antecedent')} AS antecedent_decoded, {_NICE.format(x='consequent')} AS consequent_decoded, {METRICS}, {_TYPE} AS rule_type FROM ru)"
@@ -347,7 +392,7 @@ two("rules_decoded", lambda t: P.readable(_rules_c(t), t.movies), sql("SELECT an
 two("cross_genre_rules", lambda t: P.cross_rules(P.readable(_rules_c(t), t.movies)).select("antecedent", "consequent", "lift", "rule_type"), sql(f"SELECT antecedent, consequent, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift, {_TYPE} AS rule_type FROM ru WHERE {_TYPE} IN ('genre_only', 'cross_type') ORDER BY round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 9) DESC, antecedent, consequent LIMIT 10", *_C))
 two("metric_ranges", lambda t: M.metric_ranges(_rules_c(t)), sql("SELECT min(support) AS support_min, max(support) AS support_max, min(confidence) AS confidence_min, max(confidence) AS confidence_max, min(lift) AS lift_min, max(lift) AS lift_max, min(leverage) AS leverage_min, max(leverage) AS leverage_max FROM (SELECT " + METRICS + " FROM ru)", *_C))
 two("metric_histogram", lambda t: M.metric_histogram(_rules_c(t), "support"), sql("SELECT CAST(least(floor((s - lo) / (hi - lo) * 40) + 1, 40) AS BIGINT) AS bin, count(*) AS n FROM (SELECT c_ab / CAST(n AS DOUBLE) AS s FROM ru), (SELECT min(c_ab / CAST(n AS DOUBLE)) AS lo, max(c_ab / CAST(n AS DOUBLE)) AS hi FROM ru) GROUP BY 1", *_C))
-two("mine_preset_c", lambda t: mine(t.baskets(), preset("C"))["rules"].select("antecedent", "consequent", "lift"), sql(f"SELECT antecedent, consequent, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift FROM ru WHERE {_GENRE_TAG}", *_C))
+two("mine_preset_c", lambda t: mine(t.baskets(), preset("C"), keep=t.keep)["rules"].select("antecedent", "consequent", "lift"), sql(f"SELECT antecedent, consequent, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift FROM ru WHERE {_GENRE_TAG}", *_C))
 
 
 
@@ -358,7 +403,7 @@ def capped(kinds: str, top: int, cap: int) -> str:
 _PA = mined(capped("'movie'", 600, 39), 0.001, 0.3, 1.5)
 _PB = mined(capped("'movie', 'tag'", 600, 60), 0.001, 0.4, 1.5, _CROSS_MT)
 for _p, _ctes in (("A", _PA), ("B", _PB)):
-    two(f"mine_preset_{_p.lower()}", lambda t, p=_p: mine(t.baskets(), preset(p))["rules"].drop("leverage", "conviction"), sql("SELECT antecedent, consequent, c_ab AS count_ab, c_a AS count_a, c_b AS count_b, n, round(c_ab / CAST(n AS DOUBLE), 6) AS support, round(c_ab / CAST(c_a AS DOUBLE), 6) AS confidence, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift FROM ru", *_ctes))
+    two(f"mine_preset_{_p.lower()}", lambda t, p=_p: mine(t.baskets(), preset(p), keep=t.keep)["rules"].drop("leverage", "conviction"), sql("SELECT antecedent, consequent, c_ab AS count_ab, c_a AS count_a, c_b AS count_b, n, round(c_ab / CAST(n AS DOUBLE), 6) AS support, round(c_ab / CAST(c_a AS DOUBLE), 6) AS confidence, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift FROM ru", *_ctes))
 
 
 def _single(t: Tables) -> DataFrame:
@@ -374,7 +419,7 @@ two("rules_single_sided", _single, sql("SELECT antecedent, consequent, round(c_a
 
 
 def _movie_rules(t: Tables) -> DataFrame:
-    found = M.rules(_kept(t, t.baskets(families=("movie", "tag")), 0.0013), 0.0013, 0.0, None)
+    found = I.pair_rules(t.movie_tag(0.0013), 0.0013, 0.0, None)
     return R.adapt_rules(found.select(F.array("antecedent").alias("antecedents"), F.array("consequent").alias("consequents"), "support", "confidence", "lift"))
 
 
