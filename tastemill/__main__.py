@@ -1,4 +1,4 @@
-"""Command lines: ``python -m tastemill stage|run|mine``."""
+"""Command lines: ``python -m tastemill stage|run|mine|recommend``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 import json
 
 from .plans.config import PipelineConfig, preset
-from .plans.pipeline import run_mining, run_pipeline
+from .plans.pipeline import recommend_from, run_mining, run_pipeline
 from .session import build
 from .sources import files
 
@@ -28,6 +28,12 @@ def parser() -> argparse.ArgumentParser:
     mined.add_argument("--preset", default="C")
     mined.add_argument("--full", action="store_true", help="the full baskets instead of the reduced ones")
     mined.add_argument("--options", type=json.loads, default={}, help="changes of the preset as a JSON object")
+    advised = sub.add_parser("recommend", help="recommendations, tag DNA and genre semantics of a movie, from the latest runs of presets A, B and C")
+    advised.add_argument("mined_dir")
+    advised.add_argument("run_dir")
+    advised.add_argument("out_dir")
+    advised.add_argument("--seed", help="a movie token; the first covered movie without it")
+    advised.add_argument("--options", type=json.loads, default={}, help="k, evidence, tags, min_lift, min_confidence as a JSON object")
     return top
 
 
@@ -40,6 +46,8 @@ def main(given: list[str] | None = None) -> str:
         done = args.staging_dir
     elif args.what == "run":
         done = run_pipeline(spark, args.staging_dir, args.out_dir, PipelineConfig(**args.options))
+    elif args.what == "recommend":
+        done = recommend_from(spark, args.mined_dir, args.run_dir, args.out_dir, args.seed, **args.options)
     else:
         done = run_mining(spark, args.run_dir, args.out_dir, preset(args.preset, **args.options), not args.full)
     print(done)

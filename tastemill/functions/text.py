@@ -119,13 +119,46 @@ def short_label(text: Column, most: int = 80) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text)
 
 
+# The literals of a list cell.
+_QUOTED = r"""'(?:[^'\\\n]++|\\.)*+'|"(?:[^"\\\n]++|\\.)*+\""""
+_NUMBER = r"[+-]?(?:[0-9]+\.[0-9]*|\.[0-9]+|0|[1-9][0-9]*)"
+_ITEM = rf"(?:{_QUOTED}|{_NUMBER}|True|False|None)"
+_ITEMS = rf"{_ITEM}(?:\s*,\s*{_ITEM})*+"
+_LIST = rf"^\[\s*(?:{_ITEMS}\s*,?)?\s*\]$"
+_TUPLE = rf"^\(\s*(?:{_ITEM}\s*,\s*(?:{_ITEMS}\s*,?)?)?\s*\)$"
+_SET = rf"^\{{\s*{_ITEMS}\s*,?\s*\}}$"
+
+
+def _json_string(item: Column) -> Column:
+    """A literal as a JSON string: quotes and escapes as JSON has them, other backslashes doubled."""
+    inner = F.substring(item, F.lit(2), F.length(item) - 2)
+
+    def part(x: Column) -> Column:
+        x = F.replace(F.replace(x, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"'))
+        x = F.regexp_replace(x, r"\\(?![nrtbfu])", r"\\\\")
+        return F.replace(F.replace(x, F.lit('"'), F.lit('\\"')), F.lit("\t"), F.lit("\\t"))
+
+    text = F.array_join(F.transform(F.split(inner, r"\\\\", -1), part), "\\\\")
+    number = item.try_cast("double")
+    plain = F.abs(number).between(1e-3, 1e7) | (number == 0)
+    shown = F.when(item.contains(".") & plain, number.cast("string")).otherwise(F.regexp_replace(item, r"^\+", ""))
+    return F.concat(F.lit('"'), F.when(F.left(item, F.lit(1)).isin("'", '"'), text).otherwise(shown), F.lit('"'))
+
+
 def token_list(cell: Column) -> Column:
-    """A list cell given as text: a JSON-like or Python-like list, a bare scalar, or null."""
-    listed = F.from_json(F.replace(cell, F.lit("'"), F.lit('"')), "array<string>")
-    bare = F.when(F.trim(cell) == "", F.array().cast("array<string>")).otherwise(F.array(F.trim(cell)))
-    return F.when(cell.isNull(), F.array().cast("array<string>")).otherwise(
-        F.when(F.trim(cell).startswith("["), F.coalesce(listed, bare)).otherwise(bare)
-    )
+    """A list cell given as text: a list, tuple or set of quoted strings, numbers, True, False and None, as their texts; null and blank are empty.
+
+    Any other text is one token, also a bracketed one that is no such literal: a dictionary, nested lists, ``('a')`` without a comma. A set keeps each
+    token once, in the order of its text. Escapes that JSON lacks (``\\x``, ``\\v``, octal ones) stay as written.
+    """
+    raw = F.trim(F.regexp_replace(cell, r"^\s+|\s+$", ""))
+    listed = F.regexp_like(raw, F.lit(_LIST)) | F.regexp_like(raw, F.lit(_TUPLE)) | F.regexp_like(raw, F.lit(_SET))
+    items = F.transform(F.regexp_extract_all(raw, F.lit(_ITEM), F.lit(0)), _json_string)
+    found = F.from_json(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")), "array<string>")
+    found = F.when(raw.startswith("{"), F.array_distinct(found)).otherwise(found)
+    none = F.array().cast("array<string>")
+    bare = F.when(raw == "", none).otherwise(F.array(raw))
+    return F.when(cell.isNull(), none).when(listed, F.coalesce(found, bare)).otherwise(bare)
 
 
 def required_count(support: float, n: Column) -> Column:

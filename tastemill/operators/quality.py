@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 HALF_STARS = [i / 2 for i in range(1, 11)]
@@ -26,19 +28,30 @@ def _rate(part: Column, whole: Column, none: float = 0.0) -> Column:
     return F.when(whole == 0, F.lit(none)).otherwise(part / whole)
 
 
+def _nulls(*columns: str) -> list[Column]:
+    return [F.count("*").alias("n_rows"), *(_n(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns)]
+
+
 def null_counts(df: DataFrame, *columns: str) -> DataFrame:
-    return df.agg(F.count("*").alias("n_rows"), *(_n(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns or df.columns))
+    return df.agg(*_nulls(*(columns or df.columns)))
 
 
-def rating_domain(ratings: DataFrame) -> DataFrame:
-    """Nulls, range and the distinct values off the half-star scale."""
+def _off_scale() -> Column:
     value = F.col("rating").cast("double")
-    off = value.isNotNull() & ~value.isin(*HALF_STARS)
-    return ratings.agg(
+    return value.isNotNull() & ~value.isin(*HALF_STARS)
+
+
+def _domain() -> list[Column]:
+    value = F.col("rating").cast("double")
+    return [
         F.count("*").alias("n_rows"), _n(F.col("userId").isNull()).alias("user_nulls"), _n(F.col("movieId").isNull()).alias("movie_nulls"),
-        _n(value.isNull()).alias("rating_nulls"), F.min(value).alias("rating_min"), F.max(value).alias("rating_max"),
-        F.countDistinct(F.when(off, value)).alias("off_scale_values"), _n(off).alias("off_scale_rows"),
-    )
+        _n(value.isNull()).alias("rating_nulls"), F.min(value).alias("rating_min"), F.max(value).alias("rating_max"), _n(_off_scale()).alias("off_scale_rows"),
+    ]
+
+
+def rating_domain(ratings: DataFrame) -> DataFrame:
+    """Nulls, range and the distinct values off the half-star scale."""
+    return ratings.agg(*_domain(), F.countDistinct(F.when(_off_scale(), F.col("rating").cast("double"))).alias("off_scale_values"))
 
 
 def duplicate_stats(df: DataFrame, *keys: str) -> DataFrame:
@@ -71,27 +84,60 @@ def matched_rows(facts: DataFrame, dims: DataFrame, key: str) -> DataFrame:
     return facts.join(dims.select(key), key, "left_semi")
 
 
-def movie_profile(movies: DataFrame) -> DataFrame:
+def _movie_profile() -> list[Column]:
     n, none, bare = F.count("*"), _n(F.col("year").isNull()), _n(F.size("genres_list") == 0)
-    return movies.agg(
+    return [
         n.alias("n_rows"), none.alias("year_nulls"), _rate(none, n).alias("year_null_share"), F.min("year").alias("year_min"),
         F.max("year").alias("year_max"), bare.alias("no_genres"), _rate(bare, n).alias("no_genre_share"),
-    )
+    ]
+
+
+def movie_profile(movies: DataFrame) -> DataFrame:
+    return movies.agg(*_movie_profile())
 
 
 def tag_profile(tags: DataFrame) -> DataFrame:
     raw, norm = F.countDistinct("tag_raw"), F.countDistinct("tag_norm")
-    return tags.agg(
-        F.count("*").alias("n_rows"), raw.alias("unique_raw"), norm.alias("unique_norm"), (raw - norm).alias("reduction"),
-        _n(F.col("tag_norm").isNull() | (F.col("tag_norm") == "")).alias("empty_norm"),
-    )
+    return tags.agg(F.count("*").alias("n_rows"), raw.alias("unique_raw"), norm.alias("unique_norm"), (raw - norm).alias("reduction"), _empty_tags())
 
 
-def link_coverage(links: DataFrame) -> DataFrame:
+def _empty_tags() -> Column:
+    return _n(F.col("tag_norm").isNull() | (F.col("tag_norm") == "")).alias("empty_norm")
+
+
+def _link_coverage() -> list[Column]:
     n, imdb, tmdb = F.count("*"), _n(F.col("imdbId").isNull()), _n(F.col("tmdbId").isNull())
-    return links.agg(
-        n.alias("n_rows"), imdb.alias("imdb_missing"), _rate(n - imdb, n).alias("imdb_coverage"), tmdb.alias("tmdb_missing"), _rate(n - tmdb, n).alias("tmdb_coverage")
-    )
+    return [n.alias("n_rows"), imdb.alias("imdb_missing"), _rate(n - imdb, n).alias("imdb_coverage"), tmdb.alias("tmdb_missing"), _rate(n - tmdb, n).alias("tmdb_coverage")]
+
+
+def link_coverage(links: DataFrame) -> DataFrame:
+    return links.agg(*_link_coverage())
+
+
+def _once(*lists: list[Column]) -> list[Column]:
+    """Metrics of several reports without those that come twice."""
+    return list({str(c).rsplit(" AS ", 1)[-1]: c for part in lists for c in part}.values())
+
+
+def watched(table: str) -> list[Column]:
+    """The metrics of a clean table's gate that Spark can take while the table is written: all but those that need its distinct values."""
+    return {
+        "movies": _once(_nulls("movieId"), _movie_profile()), "ratings": _domain(), "tags": _once(_nulls("userId", "movieId"), [_empty_tags()]),
+        "links": _once(_nulls("movieId"), _link_coverage()),
+    }.get(table, [F.count("*").alias("n_rows")])
+
+
+def watch(raw: DataFrame, clean, table: str) -> tuple[DataFrame, Callable[[], dict]]:
+    """``clean(raw)``, whose writing also takes the metrics of its gate and ``raw_rows``; the second result gives them when it is written."""
+    before, after = Observation(), Observation()
+    df = clean(raw.observe(before, F.count("*").alias("raw_rows"))).observe(after, *watched(table))
+    return df, lambda: {**before.get, **after.get}
+
+
+def retained(seen: dict[str, dict]) -> list[dict]:
+    """The rows of ``retention`` from what was seen while tables were written."""
+    rate = lambda m: round(m["n_rows"] / m["raw_rows"], 6) if m["raw_rows"] else 0.0
+    return [{"table": k, "raw_rows": m["raw_rows"], "clean_rows": m["n_rows"], "retention": rate(m)} for k, m in seen.items()]
 
 
 def retention(raw: dict[str, DataFrame], clean: dict[str, DataFrame]) -> DataFrame:
@@ -110,38 +156,45 @@ def _first(df: DataFrame) -> dict:
     return df.first().asDict()
 
 
-def gate_movies(movies: DataFrame) -> dict:
+# Each gate takes what was seen while its table was written; without that it takes the same metrics from the table.
+
+
+def gate_movies(movies: DataFrame, seen: dict | None = None) -> dict:
     require_columns(movies, ("movieId", "title", "year", "genres_list"))
-    report = _first(null_counts(movies, "movieId")) | _first(duplicate_stats(movies, "movieId"))
+    report = (seen or _first(movies.agg(*watched("movies")))) | _first(duplicate_stats(movies, "movieId"))
     if report["movieId_nulls"] or report["duplicates"]:
         raise GateError(f"movies: {report['movieId_nulls']} null and {report['duplicates']} repeated ids")
-    return report | _first(movie_profile(movies))
+    return report
 
 
-def gate_ratings(ratings: DataFrame) -> dict:
+def gate_ratings(ratings: DataFrame, seen: dict | None = None) -> dict:
     require_columns(ratings, ("userId", "movieId", "rating", "timestamp"))
-    report = _first(rating_domain(ratings)) | _first(duplicate_stats(ratings, "userId", "movieId", "timestamp"))
+    report = dict(seen or _first(ratings.agg(*watched("ratings"))))
     if report["user_nulls"] or report["movie_nulls"]:
         raise GateError("ratings: null user or movie ids")
+    off = ratings.where(_off_scale()).agg(F.count_distinct(F.col("rating").cast("double")).alias("off_scale_values"))
+    report |= {"off_scale_values": 0} if not report["off_scale_rows"] else _first(off)
+    report |= _first(duplicate_stats(ratings, "userId", "movieId", "timestamp"))
     report["warnings"] = ["ratings off the half-star scale"] if report["off_scale_rows"] else []
     return report
 
 
-def gate_tags(tags: DataFrame) -> dict:
+def gate_tags(tags: DataFrame, seen: dict | None = None) -> dict:
     require_columns(tags, ("userId", "movieId", "tag_norm"))
-    report = _first(null_counts(tags, "userId", "movieId")) | _first(tag_profile(tags)) | _first(duplicate_stats(tags, "userId", "movieId", "tag_norm", "timestamp"))
+    report = dict(seen or _first(tags.agg(*watched("tags"))))
     if report["userId_nulls"] or report["movieId_nulls"] or report["empty_norm"]:
         raise GateError("tags: null keys or empty tags")
+    report |= _first(tag_profile(tags)) | _first(duplicate_stats(tags, "userId", "movieId", "tag_norm", "timestamp"))
     report["warnings"] = ["repeated tag events"] if report["duplicates"] else []
     return report
 
 
-def gate_links(links: DataFrame) -> dict:
+def gate_links(links: DataFrame, seen: dict | None = None) -> dict:
     require_columns(links, ("movieId", "imdbId", "tmdbId"))
-    report = _first(null_counts(links, "movieId")) | _first(duplicate_stats(links, "movieId"))
+    report = (seen or _first(links.agg(*watched("links")))) | _first(duplicate_stats(links, "movieId"))
     if report["movieId_nulls"] or report["duplicates"]:
         raise GateError("links: null or repeated ids")
-    return report | _first(link_coverage(links))
+    return report
 
 
 def gate_coverage(facts: DataFrame, dims: DataFrame, key: str, least: float = 0.95) -> dict:

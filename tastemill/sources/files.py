@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 import json
 import math
 import subprocess
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .provenance import EMPTY, provenance
+
 I, L, S, D = T.IntegerType(), T.LongType(), T.StringType(), T.FloatType()
 #: Column types of the raw CSV files; every column is required.
 RAW = {
@@ -113,35 +114,24 @@ def read_staged(spark: SparkSession, staging_dir: str) -> dict[str, DataFrame |
 
 
 def file_provenance(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size, sha256, rows`` of files under 2 GiB; rows are physical lines less the header, 0 at least."""
-    files = spark.read.format("binaryFile").load(path)
-    lines = F.length("content") - F.length(F.regexp_replace(F.decode("content", "iso-8859-1"), "\n", ""))
-    ragged = (F.length("content") > 0) & (F.right(F.decode("content", "iso-8859-1"), F.lit(1)) != "\n")
-    return files.select(
-        "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
-        F.greatest(lines + ragged.cast("int") - 1, F.lit(0)).cast("bigint").alias("rows"),
-    )
-
-
-def file_meta(spark: SparkSession, path: str, chunk: int = 1 << 20) -> dict:
-    """Size, SHA-256 by chunks and line count of one file of any size."""
-    if not exists(spark, path):
-        return {"missing": True}
-    fs, p = _fs(spark, path)
-    digest, stream = hashlib.sha256(), fs.open(p)
-    try:
-        while data := stream.readNBytes(chunk):
-            digest.update(bytes(data))
-    finally:
-        stream.close()
-    rows = max(spark.read.text(path).count() - 1, 0)
-    return {"size_bytes": fs.getFileStatus(p).getLen(), "sha256": digest.hexdigest(), "rows": rows}
+    """``path, size, sha256, rows`` of files; rows are physical lines less the header, 0 at least."""
+    return provenance(spark, path).withColumnRenamed("size_bytes", "size")
+
+
+def file_meta(spark: SparkSession, *paths: str) -> dict:
+    """Size, SHA-256 and rows of a file of any size, of several by path; an absent one is ``{"missing": True}``."""
+    there = [p for p in paths if exists(spark, p)]
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in provenance(spark, *there).collect()} if there else {}  # a row a file
+    found = {p: {"missing": True} for p in paths}
+    for p in there:
+        r = rows.get(p.rsplit("/", 1)[-1])
+        found[p] = {"size_bytes": r.size_bytes, "sha256": r.sha256, "rows": r.rows} if r else {"size_bytes": 0, "sha256": EMPTY, "rows": 0}
+    return found if len(paths) > 1 else found[paths[0]]
 
 
 def raw_metadata(spark: SparkSession, raw_dir: str) -> dict:
-    return {
-        "created_at": now(), "pipeline_version": git_version(), "files": {n: file_meta(spark, f"{raw_dir}/{n}.csv") for n in RAW},
-    }
+    found = file_meta(spark, *(f"{raw_dir}/{n}.csv" for n in RAW))
+    return {"created_at": now(), "pipeline_version": git_version(), "files": {n: found[f"{raw_dir}/{n}.csv"] for n in RAW}}
 
 
 def git_version() -> str | None:
@@ -160,8 +150,41 @@ def new_run(out_dir: str, tag: str | None = None) -> str:
     return f"{out_dir}/{tag or moment.strftime('run_%Y%m%d_%H%M%S_') + f'{moment.microsecond // 1000:03d}'}"
 
 
+def rows_in(spark: SparkSession, path: str) -> int:
+    """Rows of a table by its footers; a partitioned one without rows has no files."""
+    return spark.read.parquet(path).count() if any(n[:1] not in "_." for n in names_in(spark, path)) else 0
+
+
+class Run:
+    """A run's folder, open until all of it is written: ``with Run(...) as run`` writes to ``run.path``, and the end of the block makes it ``run.final``.
+
+    The open folder's name is none that listings find. At the end a manifest with the rows of each table, from the Parquet footers, is added and the folder is
+    renamed, at once where the file system can. A block that raises leaves nothing; what a killed driver leaves stays open and unlisted.
+    """
+
+    def __init__(self, spark: SparkSession, out_dir: str, tag: str | None = None):
+        self.spark, self.final = spark, new_run(out_dir, tag)
+        self.path = f"{out_dir}/open_{self.final.rsplit('/', 1)[-1]}"
+
+    def __enter__(self) -> Run:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        fs, open_ = _fs(self.spark, self.path)
+        if kind is not None:
+            fs.delete(open_, True)
+            return
+        found = [n for n in names_in(self.spark, f"{self.path}/tables") if not n.endswith("_csv")]
+        tables = {n: rows_in(self.spark, f"{self.path}/tables/{n}") for n in found}
+        write_json(self.spark, f"{self.path}/manifest.json", {"created_at": now(), "pipeline_version": git_version(), "tables": tables})
+        final = self.spark._jvm.org.apache.hadoop.fs.Path(self.final)
+        fs.delete(final, True)  # a tag that is used again
+        if not fs.rename(open_, final):
+            raise OSError(f"{self.path} cannot become {self.final}")
+
+
 def runs(spark: SparkSession, out_dir: str) -> list[str]:
-    """Runs with generated names, oldest first; tagged ones are not listed."""
+    """Runs with generated names, oldest first; tagged and open ones are not listed."""
     return [n for n in names_in(spark, out_dir) if n.startswith("run_")]
 
 
@@ -170,12 +193,15 @@ def latest_run(spark: SparkSession, out_dir: str) -> str | None:
     return f"{out_dir}/{found[-1]}" if found else None
 
 
-def preset_run(spark: SparkSession, dirs: list[str], table: str = "association_rules") -> str | None:
-    """The latest run with a rules table in the first directory that has runs."""
+def preset_run(spark: SparkSession, dirs: list[str], table: str = "association_rules", preset: str | None = None) -> str | None:
+    """The latest run with a rules table in the first directory that has some, in itself or in its folders ``preset_<preset>_...``, of any preset if none is given."""
     for d in dirs:
-        found = [n for n in reversed(runs(spark, d)) if exists(spark, f"{d}/{n}/tables/{table}")]
+        start = f"preset_{preset}_" if preset else "preset_"
+        folders = [f"{d}/{n}" for n in names_in(spark, d) if n.startswith(start)] + ([] if preset else [d])
+        found = [(n, f) for f in folders for n in runs(spark, f) if exists(spark, f"{f}/{n}/tables/{table}")]
         if found:
-            return f"{d}/{found[0]}"
+            name, folder = max(found)
+            return f"{folder}/{name}"
     return None
 
 

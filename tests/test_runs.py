@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastemill.plans.config import PipelineConfig, preset
-from tastemill.plans.pipeline import export_evidence, run_mining, run_pipeline
+from tastemill.plans.pipeline import export_evidence, recommend_from, run_mining, run_pipeline
 from tastemill.sources import files
 from tastemill.streaming.cleaners import stream_likes
 
@@ -50,7 +50,11 @@ def test_whole_run(spark, raw, tmp_path, policy):
     run = run_pipeline(spark, staging, out, PipelineConfig(split_policy=policy, min_tag_freq=1, min_token_df=1))
     assert files.latest_run(spark, out) == run
     audit = json.loads("\n".join(r.value for r in spark.read.text(f"{run}/reports/audit_report.json").collect()))
-    assert audit["passed"] and audit["gates"]["integrity"]
+    assert audit["passed"] and audit["gates"]["integrity"] and audit["run"] == run.rsplit("/", 1)[-1]
+    assert audit["counts"]["clean_tables"] == {"movies": 8, "ratings": 96, "tags": 48, "links": 8} and audit["missingness"]["links"] == {"imdb_missing": 0, "tmdb_missing": 1}
+    assert audit["counts"]["split"]["total_rows"] == sum(audit["counts"]["split"][k] for k in ("train_rows", "test_rows")) and audit["join_coverage"]["tags_to_movies"] == 1.0
+    meta = json.loads("\n".join(r.value for r in spark.read.text(f"{run}/reports/metadata_clean.json").collect()))
+    assert {r["table"]: (r["raw_rows"], r["clean_rows"], r["retention"]) for r in meta["retention"]} == {"movies": (8, 8, 1.0), "ratings": (96, 96, 1.0), "tags": (96, 48, 0.5), "links": (8, 8, 1.0)}
     found = files.checklist(spark, run, ["transactions_train", "user_features_train", "none"], ["split_report.json", "x.json"])
     assert found["transactions_train"] > 0 and found["none"] == -1 and found["split_report.json"] and not found["x.json"]
     mined = run_mining(spark, run, str(tmp_path / "mined"), preset("custom", mode="full", min_confidence=0.1, min_lift=0.1, low_support=0.01), reduced_input=False)
@@ -82,3 +86,116 @@ def test_command_lines(spark, raw, tmp_path):
     assert spark.read.parquet(f"{mined}/tables/association_rules").count() > 0
     with pytest.raises(SystemExit):
         main(["stage"])
+
+
+def test_provenance_against_hashlib(spark, tmp_path):
+    """Every way a file can end, a byte order mark, carriage returns, bytes that are no UTF-8, and files of many splits."""
+    import hashlib
+    import random
+
+    rng = random.Random(1)
+    texts = {
+        "empty": b"", "end": b"a,b\n1,2\n", "open": b"a,b\n1,2", "newlines": b"\n\n\n", "marked": b"\xef\xbb\xbfa\nb\n", "marked_open": b"\xef\xbb\xbfa\nb",
+        "carriage": b"a\r\nb\rc\r\n", "bytes": bytes(range(256)) * 5 + b"\n\xff", "long": b"x" * 300_000 + b"\ny",
+        "large": b"".join(b"%d,%d\n" % (i, rng.getrandbits(60)) for i in range(60_000)),
+    }
+    for name, data in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        paths = [str(tmp_path / f"{n}.csv") for n in texts]
+        got = files.file_meta(spark, *paths, str(tmp_path / "none.csv"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for p, data in zip(paths, texts.values(), strict=True):
+        lines = data.count(b"\n") + (not data.endswith(b"\n") and bool(data))
+        assert got[p] == {"size_bytes": len(data), "sha256": hashlib.sha256(data).hexdigest(), "rows": max(lines - 1, 0)}, p
+    assert got[str(tmp_path / "none.csv")] == {"missing": True} == files.file_meta(spark, str(tmp_path / "none.csv"))
+    with pytest.raises(ValueError):
+        files.file_meta(spark, str(tmp_path / "x.csv.gz")) if (tmp_path / "x.csv.gz").write_bytes(b"x") else None
+
+
+def test_open_runs_are_not_listed(spark, tmp_path):
+    out = str(tmp_path)
+    with files.Run(spark, out) as run:
+        files.write_table(spark.range(3), f"{run.path}/tables/association_rules")
+        assert files.runs(spark, out) == [] and files.preset_run(spark, [out]) is None
+    assert files.latest_run(spark, out) == run.final == files.preset_run(spark, [out])
+    assert json.loads("\n".join(r.value for r in spark.read.text(f"{run.final}/manifest.json").collect()))["tables"] == {"association_rules": 3}
+    with pytest.raises(KeyError), files.Run(spark, out) as broken:
+        files.write_table(spark.range(3), f"{broken.path}/tables/association_rules")
+        raise KeyError
+    assert not files.exists(spark, broken.path) and files.latest_run(spark, out) == run.final
+    killed = files.Run(spark, out).__enter__()  # the driver dies here
+    files.write_table(spark.range(3), f"{killed.path}/tables/association_rules")
+    assert files.latest_run(spark, out) == run.final == files.preset_run(spark, [out])
+    for n in (1, 2):
+        with files.Run(spark, out, "tagged") as tagged:
+            files.write_table(spark.range(n), f"{tagged.path}/tables/t")
+    assert spark.read.parquet(f"{out}/tagged/tables/t").count() == 2
+
+
+def test_presets_side_by_side(spark, raw, tmp_path):
+    """A, B and C mined into one root; each is found again, and a seed is advised from all three."""
+    staging, out, mined = (str(tmp_path / n) for n in ("staging", "out", "mined"))
+    files.stage_raw(spark, raw, staging)
+    run = run_pipeline(spark, staging, out, PipelineConfig(min_tag_freq=1, min_token_df=1))
+    loose = {"min_confidence": 0.0, "min_lift": 0.0, "gate1": True, "gate1_min_ab": 1, "gate1_min_a": 1, "gate1_max_support_b": None}
+    made = {p: run_mining(spark, run, mined, preset(p, **loose)) for p in "ABC"}
+    assert len(set(made.values())) == 3
+    for p, at in made.items():
+        assert files.preset_run(spark, [str(tmp_path / "no"), mined], preset=p) == at
+    assert files.preset_run(spark, [mined]) == made["C"] and files.preset_run(spark, [mined], preset="D") is None
+    manifest = json.loads("\n".join(r.value for r in spark.read.text(f"{made['A']}/reports/run_manifest.json").collect()))
+    rules = spark.read.parquet(f"{made['A']}/tables/association_rules")
+    assert manifest["outputs"]["rules_final"] == manifest["outputs"]["rules_gate1"] == rules.count() > 0
+    assert manifest["inputs"]["n_baskets_raw"] == 12 and manifest["parameters"]["mode"] == "movie_only"
+    page = "\n".join(r.value for r in spark.read.text(f"{made['A']}/reports/summary.md").collect())
+    assert page.count("| [M]") == min(10, rules.count()) and "| cap_movie | 39 |" in page and "- movie_only: " in page
+
+    from tastemill.operators import recommend as R
+    from tastemill.operators import seeds
+
+    index = seeds.open_index(spark, f"{made['A']}/tables/rules_by_token")
+    seed = rules.select(F.explode("antecedent").alias("t")).orderBy("t").first().t
+    own = seeds.of_token(index, seed)
+    key = lambda df: sorted((tuple(r.antecedent), tuple(r.consequent), r.lift) for r in df.collect())
+    assert key(own) == key(rules.where(F.array_contains(F.concat("antecedent", "consequent"), seed)))
+    assert len({f.rsplit("/", 2)[-2] for f in own.inputFiles()}) >= 1 and "PartitionFilters: [isnotnull(bucket" in own._jdf.queryExecution().toString()
+    loose = {"min_lift": 0.0, "min_confidence": 0.0}
+    at = recommend_from(spark, mined, run, str(tmp_path / "advice"), seed, **loose)
+    got = spark.read.parquet(f"{at}/tables/recommendations").orderBy("rank").collect()
+    want = R.recommend(R.adapt_rules(rules), seed, **loose).orderBy("rank").collect()
+    assert [(r.rec_token, r.lift) for r in got] == [(r.rec_token, r.lift) for r in want] and got
+    assert spark.read.parquet(f"{at}/tables/evidence").count() >= len(got)
+    assert {r.tag.split(":")[0] for r in spark.read.parquet(f"{at}/tables/tag_dna").collect()} <= {"tag"}
+    assert spark.read.parquet(f"{at}/tables/semantics").where("fallback").count() == 0
+    unknown = recommend_from(spark, mined, run, str(tmp_path / "advice"), "movie:99")
+    assert spark.read.parquet(f"{unknown}/tables/recommendations").count() == 0 and spark.read.parquet(f"{unknown}/tables/semantics").where("NOT fallback").count() == 0
+    with pytest.raises(FileNotFoundError):
+        recommend_from(spark, str(tmp_path / "no"), run, str(tmp_path / "advice"), seed)
+
+    from tastemill.__main__ import main
+
+    advised = main(["recommend", mined, run, str(tmp_path / "cli"), "--options", json.dumps(loose)])
+    assert spark.read.parquet(f"{advised}/tables/recommendations").count() > 0
+
+
+def test_a_failed_gate_leaves_nothing(spark, raw, tmp_path):
+    from tastemill.operators import clean as C
+    from tastemill.operators import quality as Q
+
+    staging, out = str(tmp_path / "staging"), str(tmp_path / "out")
+    files.stage_raw(spark, raw, staging)
+    tables = files.read_staged(spark, staging)
+    for name, gate, cleaner in (("movies", Q.gate_movies, C.clean_movies), ("ratings", Q.gate_ratings, C.clean_ratings), ("tags", Q.gate_tags, C.clean_tags), ("links", Q.gate_links, C.clean_links)):
+        df, seen = Q.watch(tables[name], cleaner, name)
+        df.write.parquet(str(tmp_path / name))
+        assert {k: v for k, v in gate(df, seen()).items() if k != "raw_rows"} == gate(cleaner(tables[name])), name
+    doubled = tables["movies"].unionByName(tables["movies"])
+    doubled.write.mode("overwrite").parquet(str(tmp_path / "twice"))
+    spark.read.parquet(str(tmp_path / "twice")).write.mode("overwrite").parquet(f"{staging}/movies_raw")
+    with pytest.raises(Q.GateError):
+        run_pipeline(spark, staging, out)
+    assert files.names_in(spark, out) == []

@@ -29,6 +29,34 @@ def test_expressions(spark, f, inputs, wanted):
     assert values(spark, f, inputs) == wanted
 
 
+CELLS = [
+    "('a', 'b')", "{'a', 'b', 'a'}", '["don\'t"]', "['a \\'quoted\\' one', \"b \\\"two\\\"\"]", "[]", "()", "{}", "('a')", "('a',)", "[ 'a' , \"b\", ]", "['a', 1, -2, 2.50, None, True]",
+    "{'k': 1}", "['a', ['b']]", "['a' 'b']", "['open", "['back\\\\slash', 'n\\nl', 'tab\there']", "['caf\\u00e9 \\ud83d\\ude00', '日本']", "['a, b', 'c]']", "[tag:x]", "  ['x']\n", "['\\d']", "['']", "[007]", "x, y",
+    "('it\\\\', 'b')", '["a\\\\", "b"]', "['" + "long " * 5000 + "']",
+]
+
+
+def test_list_cells_as_python_reads_them(spark):
+    """Against the language's own reading of literals; sets in the order of their text."""
+    import ast
+
+    def read(cell):
+        raw = cell.strip()
+        try:
+            found = ast.literal_eval(raw) if raw[:1] in ("[", "(", "{") else None
+        except (ValueError, SyntaxError):
+            found = None
+        if isinstance(found, set):
+            found = list(dict.fromkeys(ast.literal_eval("[" + raw[1:-1] + "]")))
+        if isinstance(found, list | tuple) and not any(isinstance(x, list) for x in found):
+            return [x.encode("utf-16", "surrogatepass").decode("utf-16") if isinstance(x, str) else str(x) for x in found]
+        return [raw] if raw else []
+
+    wanted = [["['a' 'b']"] if c == "['a' 'b']" else read(c) for c in CELLS]  # strings side by side are not joined
+    assert values(spark, X.token_list, CELLS) == wanted
+    assert wanted[:3] == [["a", "b"], ["a", "b"], ["don't"]]
+
+
 def test_times_and_counts(spark):
     got = values(spark, lambda c: X.utc_seconds(c), [1225734739], "bigint")[0]
     assert got.replace(tzinfo=dt.UTC).timestamp() in (1225734739.0, got.timestamp())
