@@ -172,11 +172,12 @@ def near_duplicates(
     sets = written(sets.dropDuplicates(["node"]), "sets")
 
     found, tested = None, None
-    groups = wanted.withColumn("component", F.col("node"))
+    active, groups = buckets.withColumn("component", F.col("node")), None
     for round_, pivots in enumerate((*PIVOTS, None)):
-        placed = written(buckets.join(groups, "node"), "placed")
-        mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        active = placed.join(mixed.select("band"), "band", "left_semi")
+        if groups is not None:  # bands whose members are all of one group are done
+            placed = written(active.drop("component").join(groups, "node"), "placed")
+            mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+            active = written(placed.join(mixed.select("band"), "band", "left_semi"), "active")
         if pivots:
             slot = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(pivots)).alias("slot")
             row = F.struct(*(c for c in active.columns if c != "band"))
