@@ -20,6 +20,7 @@ from .operators import mining as M
 from .operators import present as P
 from .operators import quality as Q
 from .operators import recommend as R
+from .operators import seeds
 from .operators import split as S
 from .plans.config import PipelineConfig, preset
 from .plans.leases import Scope
@@ -342,22 +343,21 @@ two("rules_preset_b", lambda t: I.pair_rules(t.movie_tag(), 0.001, 0.4, 1.5, ("m
 two("rules_preset_c", lambda t: M.across(_rules_c(t)), sql(f"SELECT {_RULE} FROM ru WHERE {_GENRE_TAG}", *_C))
 two("rules_gate1", lambda t: M.gate_evidence(_rules_c(t, 0.02, 1.1), 50, 100, 0.20), sql(f"SELECT {_RULE} FROM ru WHERE c_ab >= 50 AND c_a >= 100 AND c_b / CAST(n AS DOUBLE) <= 0.2", *_G))
 
-# Sets of three: SQL joins the kept tokens three times.
-_THREE = (
-    f"p3 AS (SELECT x.token AS a, y.token AS b, z.token AS c, count(*) AS c_abc FROM kt x JOIN kt y ON x.userId = y.userId AND x.token < y.token JOIN kt z ON x.userId = z.userId AND y.token < z.token GROUP BY 1, 2, 3)",
-    "sets AS (SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count FROM k1 UNION ALL SELECT a || ',' || b, 2, c_ab FROM pf UNION ALL SELECT a || ',' || b || ',' || c, 3, c_abc FROM p3, kn WHERE c_abc >= ceil(CAST({s} AS DOUBLE) * n))",
-)
-
-
-def _three(support: float) -> tuple[str, ...]:
-    return tuple(x.replace("{s}", str(support)) for x in _THREE)
+def many_sided(tokens: str, support: float, confidence: float, lift: float) -> tuple[str, ...]:
+    """CTEs of sets of up to three tokens, which SQL finds by joining the kept tokens three times, and ``sm``, their rules with any number of tokens a side."""
+    s = f"CAST({support} AS DOUBLE)"
+    ways = [(x, f"{y} || ',' || {z}") for x, y, z in (("a", "b", "c"), ("b", "a", "c"), ("c", "a", "b"))]
+    parted = (f"SELECT {x} AS antecedent, {y} AS consequent, c_abc AS c_ab FROM p3" for pair in ways for x, y in (pair, pair[::-1]))
+    return (
+        *mined(tokens, support, 0.0),
+        f"p3 AS (SELECT x.token AS a, y.token AS b, z.token AS c, count(*) AS c_abc FROM kt x JOIN kt y ON x.userId = y.userId AND x.token < y.token JOIN kt z ON x.userId = z.userId AND y.token < z.token GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT ceil({s} * n) FROM kn))",
+        "sets AS (SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count FROM k1 UNION ALL SELECT a || ',' || b, 2, c_ab FROM pf UNION ALL SELECT a || ',' || b || ',' || c, 3, c_abc FROM p3)",
+        "sr AS (" + " UNION ALL ".join(parted) + " UNION ALL SELECT antecedent, consequent, c_ab FROM pd)",
+        f"sm AS (SELECT sr.antecedent, sr.consequent, sr.c_ab, x.count AS c_a, y.count AS c_b, n FROM sr JOIN sets x ON x.items = sr.antecedent JOIN sets y ON y.items = sr.consequent, kn WHERE sr.c_ab / CAST(x.count AS DOUBLE) >= CAST({confidence} AS DOUBLE) AND sr.c_ab * CAST(n AS DOUBLE) / (x.count * y.count) > CAST({lift} AS DOUBLE))",
+    )
 
 
-_SIDES = "sr AS (" + " UNION ALL ".join(
-    f"SELECT {a} AS antecedent, {b} AS consequent, c_abc AS c_ab FROM p3, kn WHERE c_abc >= ceil(CAST(0.05 AS DOUBLE) * n)"
-    for x, y, z in (("a", "b", "c"), ("b", "a", "c"), ("c", "a", "b")) for a, b in ((x, f"{y} || ',' || {z}"), (f"{y} || ',' || {z}", x))
-) + " UNION ALL SELECT antecedent, consequent, c_ab FROM pd)"
-_S = (*mined(_GT, 0.05, 0.0), *_three(0.05), _SIDES, "sm AS (SELECT sr.antecedent, sr.consequent, sr.c_ab, x.count AS c_a, y.count AS c_b, n FROM sr JOIN sets x ON x.items = sr.antecedent JOIN sets y ON y.items = sr.consequent, kn WHERE sr.c_ab / CAST(x.count AS DOUBLE) >= CAST(0.3 AS DOUBLE) AND sr.c_ab * CAST(n AS DOUBLE) / (x.count * y.count) > CAST(1.05 AS DOUBLE))")
+_S = many_sided(_GT, 0.05, 0.3, 1.05)
 
 
 def _set_rules(t: Tables) -> DataFrame:
@@ -365,7 +365,7 @@ def _set_rules(t: Tables) -> DataFrame:
     return I.set_rules(I.frequent_sets(own, 0.05, 3), own.n, 0.3, 1.05)
 
 
-two("itemsets_three", lambda t: I.frequent_sets(t.genre_tag(0.02), 0.02, 3), sql(_SORTED, *mined(_GT, 0.02, 0.0), *_three(0.02)))
+two("itemsets_three", lambda t: I.frequent_sets(t.genre_tag(0.02), 0.02, 3), sql(_SORTED, *many_sided(_GT, 0.02, 0.0, 0.0)))
 two("rules_many_sided", _set_rules, sql(f"SELECT {_RULE} FROM sm", *_S))
 two("rules_one_sided_of_three", lambda t: M.single_sided(_set_rules(t)), sql(f"SELECT {_RULE} FROM sm WHERE NOT contains(antecedent, ',') AND NOT contains(consequent, ',')", *_S))
 
@@ -430,6 +430,27 @@ two("recommend_evidence", lambda t: R.evidence(_movie_rules(t), SEED, min_confid
 two("item_tag_dna", lambda t: R.tag_dna(_movie_rules(t), SEED), sql(f"SELECT tag, round(max(support), 6) AS support, round(max(confidence), 6) AS confidence, round(max(lift), 6) AS lift FROM (SELECT CASE WHEN antecedent = '{SEED}' THEN consequent ELSE antecedent END AS tag, * FROM fr WHERE '{SEED}' IN (antecedent, consequent)) WHERE tag LIKE 'tag:%' GROUP BY 1 ORDER BY round(max(fr_lift), 9) DESC LIMIT 5".replace("max(fr_lift), 9) DESC", "max(lift), 9) DESC, max(confidence) DESC, max(support) DESC, tag"), *_M, _SEEDED))
 
 
+# Rules of up to three tokens lead from a genre to its movies: many recommendations, with several rules each.
+GENRE_SEED = "genre:brand_12"
+_GM = "SELECT userId, token FROM tk WHERE family IN ('genre', 'movie')"
+_ORDER = "round(lift, 9) DESC, confidence DESC, support DESC"
+_WHY = (
+    *many_sided(_GM, 0.008, 0.0, 0.0),
+    f"fs AS (SELECT antecedent, consequent, regexp_extract(consequent, 'movie:[0-9]+') AS rec_token, c_ab / CAST(n AS DOUBLE) AS support, c_ab / CAST(c_a AS DOUBLE) AS confidence, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) AS lift FROM sm WHERE list_contains(string_split(antecedent, ','), '{GENRE_SEED}') AND contains(consequent, 'movie:'))",
+    "fw AS (SELECT * FROM fs WHERE lift >= CAST(1.1 AS DOUBLE) AND confidence >= CAST(0.02 AS DOUBLE))",
+    f"rc AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}, rec_token) AS rank FROM (SELECT rec_token, max(lift) AS lift, max(confidence) AS confidence, max(support) AS support, count(*) AS evidence_count FROM fw GROUP BY 1))",
+)
+
+
+def _genre_rules(t: Tables) -> DataFrame:
+    own = t.coded(0.008, "genre", "movie")
+    return I.set_rules(I.frequent_sets(own, 0.008, 3), own.n, 0.0, 0.0).withColumn("rec_token", X.first_movie(F.col("consequent")))
+
+
+two("recommend_many", lambda t: R.recommend(_genre_rules(t), GENRE_SEED, 12, min_confidence=0.02), sql("SELECT rec_token, round(lift, 6) AS lift, round(confidence, 6) AS confidence, round(support, 6) AS support, evidence_count, rank FROM rc WHERE rank <= 12", *_WHY))
+two("evidence_many", lambda t: R.evidence(_genre_rules(t), GENRE_SEED, 12, 3, min_confidence=0.02).select("rec_token", "rank", "antecedent", "consequent", "lift", "evidence_rank"), sql("SELECT rec_token, rank, antecedent, consequent, round(lift, 6) AS lift, r AS evidence_rank FROM (SELECT fw.*, rc.rank, row_number() OVER (PARTITION BY fw.rec_token ORDER BY round(fw.lift, 9) DESC, fw.confidence DESC, fw.support DESC, antecedent, consequent) AS r FROM fw JOIN rc ON rc.rec_token = fw.rec_token WHERE rank <= 12) WHERE r <= 3", *_WHY))
+
+
 def _c_lists(t: Tables) -> DataFrame:
     return M.as_exported(_rules_c(t))
 
@@ -445,6 +466,35 @@ two(
     lambda t: P.with_titles(B.doc_freq(t.baskets()), t.movies, "token").select("token", X.decode_display(F.col("token"), F.col("token_title")).alias("shown")),
     sql("SELECT token, CASE family WHEN 'movie' THEN coalesce(title, token) WHEN 'tag' THEN split_part(token, ':', 2) WHEN 'genre' THEN (SELECT string_agg(CASE WHEN i = 1 OR NOT regexp_matches(v[i - 1], '[a-z]') THEN upper(v[i]) ELSE v[i] END, '' ORDER BY i) FROM range(1, length(v) + 1) r(i)) ELSE token END AS shown FROM (SELECT token, family, replace(split_part(token, ':', 2), '_', ' ') AS v FROM df) LEFT JOIN (SELECT 'movie:' || CAST(movieId AS VARCHAR) AS token, title FROM mc) USING (token)"),
 )
+two("rules_by_token", lambda t: seeds.seed_index(_c_lists(t)).groupBy("token").agg(F.count("*").alias("n"), F.round(F.max("lift"), 6).alias("lift"), F.count_distinct("bucket").alias("buckets")), sql("SELECT token, count(*) AS n, round(max(lift), 6) AS lift, CAST(1 AS BIGINT) AS buckets FROM (SELECT antecedent AS token, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) AS lift FROM ru UNION ALL SELECT consequent, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) FROM ru) GROUP BY 1", *_C))
+
+
+def _preferred(t: Tables) -> DataFrame:
+    """The second preferred movie is covered, the first one is not."""
+    options = R.seed_options(t.movies, _movie_rules(t))
+    last = options.agg(F.max("token")).first()[0]
+    return t.spark.createDataFrame([(R.default_seed(options, ["movie:-1", last]),)], "token string")
+
+
+two("preferred_seed", _preferred, sql("SELECT max('movie:' || CAST(movieId AS VARCHAR)) AS token FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) IN (SELECT antecedent FROM ru)", *_M))
+
+
+def _cells(t: Tables) -> DataFrame:
+    """List cells of each kind as text, read back."""
+    name, brand, key = (F.col(c) for c in ("p_name", "p_brand", "p_partkey"))
+    q = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
+    kinds = [
+        F.concat(F.lit("["), q(name), F.lit(", "), q(brand), F.lit("]")), F.concat(F.lit('("'), name, F.lit('", '), q(F.concat(F.lit("it\\'s "), brand)), F.lit(",)")),
+        F.concat(F.lit("{"), q(name), F.lit(","), q(brand), F.lit(","), q(name), F.lit("}")), name, F.concat(F.lit("("), q(name), F.lit(")")),
+    ]
+    cell = F.lit(None).cast("string")
+    for i, kind in enumerate(kinds):
+        cell = F.when(key % 6 == i, kind).otherwise(cell)
+    tokens = X.token_list(cell)
+    return t.raw.read("part").select(key.alias("movieId"), F.size(tokens).alias("n"), F.array_join(tokens, "|").alias("tokens"))
+
+
+two("list_cells", _cells, "SELECT p_partkey AS movieId, CAST(CASE p_partkey % 6 WHEN 5 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 2 END AS BIGINT) AS n, CASE p_partkey % 6 WHEN 0 THEN p_name || '|' || p_brand WHEN 1 THEN p_name || '|it' || chr(39) || 's ' || p_brand WHEN 2 THEN p_name || '|' || p_brand WHEN 3 THEN p_name WHEN 4 THEN '(' || chr(39) || p_name || chr(39) || ')' ELSE '' END AS tokens FROM part")
 two("rule_vocabulary", lambda t: R.vocabulary(_c_lists(t)), sql("SELECT antecedent AS token FROM ru UNION SELECT consequent FROM ru", *_C))
 two("audit_gates", lambda t: Q.join_coverage(t.ratings, t.movies, "movieId").select(F.lit("integrity").alias("gate"), (F.col("coverage") >= 0.95).alias("passed")).unionByName(S.split_sizes(*t.split()).select(F.lit("split").alias("gate"), ((F.col("train_rows") > 0) & (F.col("test_rows") > 0)).alias("passed"))), sql("SELECT 'integrity' AS gate, (SELECT count(*) FROM ev WHERE movieId IN (SELECT movieId FROM mc)) >= CAST(0.95 AS DOUBLE) * (SELECT count(*) FROM ev) AS passed UNION ALL SELECT 'split', (SELECT count(*) FROM trn) > 0 AND (SELECT count(*) FROM tst) > 0"))
 
