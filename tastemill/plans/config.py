@@ -25,6 +25,7 @@ class PipelineConfig:
     schema_version: str = "1.0"
     run_tag: str | None = None
     min_coverage: float = 0.95
+    buckets: int | None = None
 
     def __post_init__(self) -> None:
         def need(good: bool, what: str) -> None:
@@ -39,6 +40,7 @@ class PipelineConfig:
         need(self.min_items >= 1, "min_items must be 1 or more")
         need(self.max_items is None or self.max_items >= self.min_items, "max_items must be min_items or more")
         need(self.sample_frac is None or 0 < self.sample_frac <= 1, "sample_frac must be above 0 and at most 1")
+        need(self.buckets is None or self.buckets >= 1, "buckets must be 1 or more")
         for k in (self.top_k_movies, self.top_k_tags):
             need(k is None or k >= 1, "top_k must be 1 or more")
 

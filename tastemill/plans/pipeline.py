@@ -52,17 +52,24 @@ def run_pipeline(spark: SparkSession, staging_dir: str, out_dir: str, config: Pi
     is listed when all of it is there.
     """
     config = config or PipelineConfig()
-    with files.Run(spark, out_dir, config.run_tag) as run:
-        _phases(spark, staging_dir, run.path, config)
+    tables = files.Bucketed(spark, config.buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        with files.Run(spark, out_dir, config.run_tag) as run:
+            _phases(spark, staging_dir, run.path, config, tables)
+    finally:
+        tables.forget()
     return run.final
 
 
-def _phases(spark: SparkSession, staging_dir: str, run_dir: str, config: PipelineConfig) -> None:
+def _phases(spark: SparkSession, staging_dir: str, run_dir: str, config: PipelineConfig, tables: files.Bucketed) -> None:
     raw = {k: v for k, v in files.read_staged(spark, staging_dir).items() if v is not None}
 
     def save(df: DataFrame, name: str) -> DataFrame:
         return files.write_table(df, f"{run_dir}/tables/{name}")
 
+    def save_by_user(df: DataFrame, name: str) -> DataFrame:
+        return tables.write(df, f"{run_dir}/tables/{name}", "userId")
+
     def report(name: str, content: dict) -> None:
         files.write_json(spark, f"{run_dir}/reports/{name}", content)
 
@@ -77,11 +84,12 @@ def _phases(spark: SparkSession, staging_dir: str, run_dir: str, config: Pipelin
     report("metadata_clean.json", {"created_at": files.now(), "retention": Q.retained(seen), "gates": gates, "schema_version": config.schema_version})
 
     train, test, cutoff = split(clean["ratings"], config)
-    train, test = save(train, "interactions_train"), save(test, "interactions_test")
+    # Users' features and baskets are made from these in the buckets they are written in.
+    train, test = save_by_user(train, "interactions_train"), save_by_user(test, "interactions_test")
     split_report = S.validate_split(train, test, config.split_policy == "per_user")
     report("split_report.json", split_report | {"policy": config.split_policy, "test_frac": config.test_frac})
 
-    tags = save(S.tags_before(clean["tags"], cutoff), "tags_train")
+    tags = save_by_user(S.tags_before(clean["tags"], cutoff), "tags_train")
     users = save(FE.user_features(train, clean["movies"], tags), "user_features_train")
     items = save(FE.item_features(train, clean["movies"], tags, config.min_tag_freq), "movie_features_train")
     options = {"like_threshold": config.like_threshold, "min_tag_freq": config.min_tag_freq}

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 def build(app: str = "tastemill", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    # Tables in buckets of users are joined by (user, item) where they are.
+    builder = builder.config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

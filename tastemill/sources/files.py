@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import math
 import subprocess
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,6 +215,40 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Bucketed:
+    """Tables written in buckets of a key, so that what groups and joins by it reads them without a shuffle.
+
+    Parquet files do not tell their buckets; Spark's catalogue does, so each table has a name there until ``forget``, which leaves the files.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets, self.names = spark, buckets, []
+
+    def write(self, df: DataFrame, path: str, key: str) -> DataFrame:
+        """``df`` at ``path``, a file a bucket, sorted by ``key``: the one shuffle by it."""
+        name = self._name()
+        rows = df.repartition(self.buckets, key).sortWithinPartitions(key)
+        rows.write.mode("overwrite").format("parquet").bucketBy(self.buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
+    def read(self, path: str, key: str) -> DataFrame:
+        """A table that ``write`` left at ``path``, in this or another session."""
+        columns = ", ".join(f"`{n}` {k}" for n, k in self.spark.read.parquet(path).dtypes)
+        name = self._name()
+        place = path.replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+        return self.spark.table(name)
+
+    def _name(self) -> str:
+        self.names.append(f"tastemill_{uuid.uuid4().hex}")
+        return self.names[-1]
+
+    def forget(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = []
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One file; only the writing is one task, not the work before it."""
     df.repartition(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

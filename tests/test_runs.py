@@ -199,3 +199,48 @@ def test_a_failed_gate_leaves_nothing(spark, raw, tmp_path):
     with pytest.raises(Q.GateError):
         run_pipeline(spark, staging, out)
     assert files.names_in(spark, out) == []
+
+
+def shuffled_by(df):
+    """The keys of the plan's exchanges."""
+    import re
+
+    return re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_user_tables_stay_in_their_buckets(spark, tmp_path):
+    """Features and baskets of users read bucketed ratings and tags without a shuffle of either; the results are those of plain tables."""
+    import random
+
+    from tastemill.operators import baskets as B
+    from tastemill.operators import features as FE
+
+    rng = random.Random(3)
+    rows = [(u, rng.randrange(1, 40), float(rng.choice([2, 4, 5])), i, f"tag {rng.randrange(4)}") for i, u in enumerate(rng.choices(range(30), k=600))]
+    df = spark.createDataFrame(rows, "userId int, movieId int, rating float, timestamp bigint, tag_norm string").withColumn("rating_dt_utc", F.timestamp_seconds("timestamp"))
+    ratings, tags = df.drop("tag_norm"), df.select("userId", "movieId", "tag_norm")
+    movies = spark.createDataFrame([(i, ["A", "B"][: i % 3]) for i in range(1, 40)], "movieId int, genres_list array<string>")
+    movies = files.write_table(movies.coalesce(1), str(tmp_path / "movies"))  # the smaller side of its join by size
+    tables = files.Bucketed(spark, 4)
+    own, marks = tables.write(ratings, str(tmp_path / "ratings"), "userId"), tables.write(tags, str(tmp_path / "tags"), "userId")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.sources.bucketing.autoBucketedScan.enabled")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = {"features": (FE.user_features, (own, movies, marks), (ratings, movies, tags)), "baskets": (B.transactions, (own, movies, marks), (ratings, movies, tags))}
+        key = lambda d: sorted(map(repr, d.collect()))
+        for name, (make, given, plain) in made.items():
+            kept, moved = make(*given), make(*plain)
+            assert key(kept) == key(moved)
+            # Tokens of several kinds meet in one shuffle; ratings and tags are not shuffled.
+            stay, go = ([k for k in shuffled_by(x) if "userId" in k] for x in (kept, moved))
+            assert len(stay) == (name == "baskets") < len(go), name
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        both = own.join(marks, ["userId", "movieId"])
+        assert not shuffled_by(both) and both.count() == ratings.join(tags, ["userId", "movieId"]).count()
+        again = tables.read(str(tmp_path / "ratings"), "userId").groupBy("userId").count()
+        assert not shuffled_by(again) and key(again) == key(ratings.groupBy("userId").count())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        tables.forget()
+    assert spark.read.parquet(str(tmp_path / "ratings")).count() == 600
