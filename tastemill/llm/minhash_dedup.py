@@ -164,11 +164,12 @@ def near_duplicates(
     nodes = written(nodes.dropDuplicates(["node"]), "nodes")
     banded = nodes.select(F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = nodes.select("node", F.explode("bands").alias("band")).join(shared.select("band"), "band", "left_semi")
+    buckets = nodes.select("node", F.explode("bands").alias("band")).join(shared.select("band").hint("merge"), "band", "left_semi")
     buckets = written(buckets.join(nodes, "node"), "buckets")
     wanted = buckets.select("node").distinct()
     first = classes.join(wanted.withColumnRenamed("node", "digest"), "digest", "left_semi")
-    sets = texts.join(first.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "node binary, members binary")
+    # Both sides are shuffled at every size, so that the work stays in proportion to the documents.
+    sets = texts.join(first.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(width), "node binary, members binary")
     sets = written(sets.dropDuplicates(["node"]), "sets")
 
     found, tested = None, None
