@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 MOST_GENRES = 2000  # they become columns
+SIDE_BY_SIDE = 100
 RATING_STATS = ("n_ratings", "rating_mean", "rating_std", "rating_min", "rating_max")
 
 
@@ -65,9 +66,16 @@ def seen(train: DataFrame, movies: DataFrame) -> DataFrame:
 
 
 def user_genre_prefs(train: DataFrame, movies: DataFrame) -> DataFrame:
-    """Wide form: a column a genre seen in training, 0 where a user has no rating of it."""
-    long = user_genre_means(train, movies)
+    """Wide form: a column a genre seen in training, 0 where a user has no rating of it.
+
+    Few genres are averaged side by side, in one grouping of the users; many are pivoted from the long form.
+    """
     names = _slugs(genre_values(seen(train, movies)), "genre_pref__")
+    if len(names) <= SIDE_BY_SIDE:
+        rows = train.select("userId", "movieId", "rating").join(exploded_genres(movies), "movieId")
+        mean = lambda g: F.avg(F.when(F.col("genre") == g, F.col("rating").cast("double")))
+        return rows.groupBy("userId").agg(*(F.coalesce(mean(g), F.lit(0.0)).cast("float").alias(n) for g, n in names.items()))
+    long = user_genre_means(train, movies)
     wide = long.groupBy("userId").pivot("genre", list(names)).agg(F.first("mean"))
     return wide.select("userId", *(F.coalesce(F.col(f"`{g}`"), F.lit(0.0)).cast("float").alias(n) for g, n in names.items()))
 

@@ -163,3 +163,14 @@ def test_reports():
     assert found == {"all_validations_passed": False, "errors": [{"table": "b", "error": "e"}], "warnings": [{"table": "a", "warning": "w"}]}
     assert validation_summary({})["all_validations_passed"]
     assert value_at({"a": {"b": 1}}, "a", "b") == 1 and value_at({"a": 1}, "a", "b", default=0) == 0 and value_at({}, "x") is None
+
+
+def test_genres_side_by_side_or_pivoted(spark, monkeypatch):
+    train = rated(spark, [(1, 7, 4.0, 1), (2, 7, 3.0, 2), (1, 8, 5.0, 3), (1, 9, 1.0, 4), (3, 9, 2.0, 5)])
+    movies = spark.createDataFrame([(7, ["A", "B", "A"]), (8, ["A"]), (9, []), (10, ["C"])], "movieId int, genres_list array<string>")
+    key = lambda df: sorted((r.userId, r.genre_pref__a, r.genre_pref__b) for r in df.collect())
+    wanted = [(1, 4.5, 4.0), (2, 3.0, 3.0)]
+    side = FE.user_genre_prefs(train, movies)
+    assert key(side) == wanted and side.columns == ["userId", "genre_pref__a", "genre_pref__b"]
+    monkeypatch.setattr(FE, "SIDE_BY_SIDE", 0)
+    assert key(FE.user_genre_prefs(train, movies)) == wanted

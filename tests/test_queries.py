@@ -11,13 +11,25 @@ SF = "/root/testdata/sf0.001"
 NAMES = sorted(engine.oracle_sql())
 
 
+@pytest.fixture(scope="module")
+def frames(spark):
+    """What many queries read is kept for all of them: their own leases join these."""
+    t = engine.Tables(spark, SF)
+    t.split_once()
+    t.baskets()
+    for families in (("genre", "tag"), ("movie", "tag"), ("movie",), ("genre", "movie")):
+        t.tokens(families=families)
+    yield
+    t.scope.release()
+
+
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 @pytest.mark.parametrize("name", NAMES)
-def test_against_sql(spark, name):
+def test_against_sql(spark, frames, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for t in ("part", "orders", "lineitem"):
