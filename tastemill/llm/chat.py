@@ -1,6 +1,6 @@
 """Chat formatting by schema fingerprint.
 
-The nested field paths of a record layout are hashed; the hash selects a declarative mapping from that layout to
+The nested field paths of a record that mappings know are hashed; each hash seen selects a declarative mapping to
 canonical turns ``array<struct<role, text>>``. Turns are then rendered with a template whose marks cannot occur in a
 text, because ``&``, ``<`` and ``>`` of roles and texts are escaped as entities, which is reversible.
 
@@ -14,8 +14,6 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,16 +53,21 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-BY_FINGERPRINT = {fingerprint(m.paths): m for m in LAYOUTS}
 # Layouts with more paths first among those that are told by lists or rows, and then the flat ones: a record has the first whose paths it holds.
 RANKED = sorted(LAYOUTS, key=lambda m: (m.turns != (), -len(m.paths)))
+MOST_PRINTS = 10_000
+
+
+def mappings(seen: dict[str, list[str]]) -> dict[str, Mapping]:
+    """The mapping of each fingerprint, given with the known paths that it was made from; those of no layout have none."""
+    found = {key: next((m for m in RANKED if set(paths).issuperset(m.paths)), None) for key, paths in seen.items()}
+    return {key: m for key, m in found.items() if m}
 
 
 def mapping_of(paths) -> Mapping | None:
-    """The mapping of the fingerprint that the record's own layout paths give; its further fields don't count."""
-    held = set(paths)
-    own = next((m.paths for m in RANKED if held.issuperset(m.paths)), None)
-    return BY_FINGERPRINT[fingerprint(own)] if own else None
+    """The mapping of the fingerprint of a record's known paths; its further fields are not hashed."""
+    known = sorted(set(paths).intersection(KNOWN_PATHS))
+    return mappings({fingerprint(known): known}).get(fingerprint(known))
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -105,20 +108,24 @@ def canonical_turns_json(records: DataFrame, json_column: str, id_column: str =
     """``id, layout, turns`` of JSON records that may each have another layout."""
     value = F.try_parse_json(json_column)
 
-    def at(path: str) -> str:
-        return "$." + path.replace("[]", "[0]")
-
     df = records.select(id_column, value.alias("v"))
-    held = {p: F.try_variant_get("v", at(p), "variant").isNotNull() for p in KNOWN_PATHS}
-    # An empty list has no fields, but tells its layout.
-    empty = {m.list_path: F.coalesce(F.size(F.try_variant_get("v", f"$.{m.list_path}", "array<variant>")) == 0, F.lit(False)) for m in LAYOUTS if m.list_path}
-    own = F.lit(None).cast("string")
-    for m in reversed(RANKED):
-        has = reduce(and_, (held[p] for p in m.paths))
-        own = F.when(has | empty[m.list_path] if m.list_path else has, fingerprint(m.paths)).otherwise(own)
-    df = df.withColumn("print", own)
+
+    def held(path: str) -> Column:
+        if "[]" not in path:
+            return F.try_variant_get("v", f"$.{path}", "variant").isNotNull()
+        at, field = path.split("[].")
+        items = F.try_variant_get("v", f"$.{at}", "array<variant>")
+        # An empty list has no fields, but tells its layout.
+        return (F.size(items) == 0) | F.exists(items, lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull())
+
+    paths = F.array_compact(F.array(*(F.when(held(p), p) for p in KNOWN_PATHS)))
+    df = df.withColumn("paths", paths).withColumn("print", F.sha2(F.array_join("paths", "\n").cast("binary"), 256))
+    # Fingerprints of known paths are few; each one seen gets its mapping.
+    seen = df.select("print", "paths").distinct().limit(MOST_PRINTS + 1).collect()
+    if len(seen) > MOST_PRINTS:
+        raise ValueError(f"more than {MOST_PRINTS} layouts")
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for key, m in BY_FINGERPRINT.items():
+    for key, m in mappings({r["print"]: r["paths"] for r in seen}).items():
         if m.list_path:
             kind = f"array<struct<`{m.role}`:string,`{m.text}`:string>>"
             role, text = m.role, m.text

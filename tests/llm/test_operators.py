@@ -148,6 +148,14 @@ def test_chat(spark):
     made = chat.canonical_turns_json(spark.createDataFrame(list(enumerate(raw)), "conv_id int, j string"), "j").orderBy("conv_id").collect()
     assert [r.layout for r in made] == ["messages", "messages", "prompt_system", "prompt"]
     assert [(x.role, x.text) for x in made[0].turns] == [("user", "a")] and made[1].turns == []
+    # A changed path changes the print and the outcome; known paths of no mapping change the print only; any element of a list tells its fields.
+    paths = ["prompt", "response"]
+    assert chat.mapping_of(paths).name == "prompt" and chat.mapping_of(["prompt", "respons"]) is None and chat.mapping_of(["z", *paths]).name == "prompt"
+    assert chat.fingerprint(paths) != chat.fingerprint(["prompt", "completion"]) and chat.mapping_of(["prompt", "completion"]).name == "completion"
+    raw = ['{"messages":[{"content":"a"},{"role":"user","content":"b"}]}', '{"messages":[{"rol":"user","content":"b"}]}', '{"prompt":"p","response":"r","output":"o"}', '{"prompt":"p","respons":"r"}']
+    made = chat.canonical_turns_json(spark.createDataFrame(list(enumerate(raw)), "conv_id int, j string"), "j").orderBy("conv_id").collect()
+    assert [r.layout for r in made] == ["messages", None, "prompt", None]
+    assert [(x.role, x.text) for x in made[0].turns] == [("", "a"), ("user", "b")]
 
 
 def test_ann(spark):
