@@ -156,7 +156,3 @@ def feature_coverage(features: DataFrame, train: DataFrame, key: str) -> DataFra
     rows = train.select(key).distinct().join(known, key, "left")
     n = F.count("*")
     return rows.agg(n.alias("keys"), F.count("known").alias("covered"), F.when(n == 0, 0.0).otherwise(F.count("known") / n).alias("coverage"))
-
-
-def slugged(column: str):
-    return X.slug(F.col(column))

@@ -181,21 +181,21 @@ def query(name: str, text: str | None = None):
     return put
 
 
-def two(name: str, make: Callable[[Tables], DataFrame], text: str | None = None) -> None:
+def register(name: str, make: Callable[[Tables], DataFrame], text: str | None = None) -> None:
     query(name, text)(make)
 
 
 # --- Cleaning and scalar functions ------------------------------------------------------------------------------------------
 
-two("clean_movies", lambda t: t.movies.na.fill({"year": -1}), sql("SELECT movieId, title, coalesce(year, -1) AS year, genres, array_to_string(gl, ',') AS genres_list FROM mc"))
-two("clean_ratings", lambda t: t.ratings, sql("SELECT userId, movieId, rating, ts AS timestamp, us AS rating_dt_utc FROM ev"))
-two("clean_tags", lambda t: t.tags, sql("SELECT userId, movieId, tag_raw, tag_norm, ts AS timestamp, us AS tag_dt_utc FROM tc"))
-two("clean_links", lambda t: t.links.na.fill({"tmdbId": -1}), sql("SELECT movieId, imdbId, coalesce(tmdbId, -1) AS tmdbId FROM lc"))
-two("clean_genome_tags", lambda t: C.clean_genome_tags(t.raw.genome_tags()), "SELECT DISTINCT CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) AS tagId, p_brand AS tag FROM part")
-two("clean_genome_scores", lambda t: C.clean_genome_scores(t.raw.genome_scores()), "SELECT CAST(p_partkey AS BIGINT) AS movieId, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) AS tagId, round(CAST(CAST(p_retailprice / 4000 AS FLOAT) AS DOUBLE), 6) AS relevance FROM part")
-two("genre_split", lambda t: FE.exploded_genres(t.movies), sql("SELECT movieId, genre FROM mg"))
-two("title_year", lambda t: t.movies.na.fill({"year": -1}).groupBy("year").agg(F.count("*").alias("n")), sql("SELECT coalesce(year, -1) AS year, count(*) AS n FROM mc GROUP BY 1"))
-two(
+register("clean_movies", lambda t: t.movies.na.fill({"year": -1}), sql("SELECT movieId, title, coalesce(year, -1) AS year, genres, array_to_string(gl, ',') AS genres_list FROM mc"))
+register("clean_ratings", lambda t: t.ratings, sql("SELECT userId, movieId, rating, ts AS timestamp, us AS rating_dt_utc FROM ev"))
+register("clean_tags", lambda t: t.tags, sql("SELECT userId, movieId, tag_raw, tag_norm, ts AS timestamp, us AS tag_dt_utc FROM tc"))
+register("clean_links", lambda t: t.links.na.fill({"tmdbId": -1}), sql("SELECT movieId, imdbId, coalesce(tmdbId, -1) AS tmdbId FROM lc"))
+register("clean_genome_tags", lambda t: C.clean_genome_tags(t.raw.genome_tags()), "SELECT DISTINCT CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) AS tagId, p_brand AS tag FROM part")
+register("clean_genome_scores", lambda t: C.clean_genome_scores(t.raw.genome_scores()), "SELECT CAST(p_partkey AS BIGINT) AS movieId, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) AS tagId, round(CAST(CAST(p_retailprice / 4000 AS FLOAT) AS DOUBLE), 6) AS relevance FROM part")
+register("genre_split", lambda t: FE.exploded_genres(t.movies), sql("SELECT movieId, genre FROM mg"))
+register("title_year", lambda t: t.movies.na.fill({"year": -1}).groupBy("year").agg(F.count("*").alias("n")), sql("SELECT coalesce(year, -1) AS year, count(*) AS n FROM mc GROUP BY 1"))
+register(
     "slugify_tokens",
     lambda t: t.tags.select(X.tag_token(F.col("tag_norm")).alias("token")).distinct().select("token", X.family(F.col("token")).alias("family"), X.title_case(F.col("token")).alias("titled")),
     sql(f"SELECT token, {_family('token')} AS family, (SELECT string_agg(CASE WHEN i = 1 OR NOT regexp_matches(token[i - 1], '[a-z]') THEN upper(token[i]) ELSE token[i] END, '' ORDER BY i) FROM range(1, length(token) + 1) r(i)) AS titled FROM (SELECT DISTINCT 'tag:' || {_slug('tag_norm')} AS token FROM tc)"),
@@ -203,49 +203,49 @@ two(
 
 # --- Quality ----------------------------------------------------------------------------------------------------------------
 
-two("null_profile", lambda t: Q.null_counts(t.movies, "movieId", "title", "year"), sql("SELECT count(*) AS n_rows, count(*) FILTER (movieId IS NULL) AS movieId_nulls, count(*) FILTER (title IS NULL) AS title_nulls, count(*) FILTER (year IS NULL) AS year_nulls FROM mc"))
-two("rating_domain", lambda t: Q.rating_domain(t.ratings), sql("SELECT count(*) AS n_rows, count(*) FILTER (userId IS NULL) AS user_nulls, count(*) FILTER (movieId IS NULL) AS movie_nulls, count(*) FILTER (rating IS NULL) AS rating_nulls, min(rating) AS rating_min, max(rating) AS rating_max, count(DISTINCT rating) FILTER (rating * 2 <> floor(rating * 2) OR rating < 0.5 OR rating > 5) AS off_scale_values, count(*) FILTER (rating * 2 <> floor(rating * 2) OR rating < 0.5 OR rating > 5) AS off_scale_rows FROM ev"))
-two("duplicate_stats", lambda t: Q.duplicate_stats(t.ratings, "userId", "movieId", "timestamp"), sql("SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, count(*) AS unique_rows, round(CAST(sum(n) - count(*) AS DOUBLE) / sum(n), 6) AS duplicate_rate FROM (SELECT count(*) AS n FROM ev GROUP BY userId, movieId, ts)"))
-two(
+register("null_profile", lambda t: Q.null_counts(t.movies, "movieId", "title", "year"), sql("SELECT count(*) AS n_rows, count(*) FILTER (movieId IS NULL) AS movieId_nulls, count(*) FILTER (title IS NULL) AS title_nulls, count(*) FILTER (year IS NULL) AS year_nulls FROM mc"))
+register("rating_domain", lambda t: Q.rating_domain(t.ratings), sql("SELECT count(*) AS n_rows, count(*) FILTER (userId IS NULL) AS user_nulls, count(*) FILTER (movieId IS NULL) AS movie_nulls, count(*) FILTER (rating IS NULL) AS rating_nulls, min(rating) AS rating_min, max(rating) AS rating_max, count(DISTINCT rating) FILTER (rating * 2 <> floor(rating * 2) OR rating < 0.5 OR rating > 5) AS off_scale_values, count(*) FILTER (rating * 2 <> floor(rating * 2) OR rating < 0.5 OR rating > 5) AS off_scale_rows FROM ev"))
+register("duplicate_stats", lambda t: Q.duplicate_stats(t.ratings, "userId", "movieId", "timestamp"), sql("SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, count(*) AS unique_rows, round(CAST(sum(n) - count(*) AS DOUBLE) / sum(n), 6) AS duplicate_rate FROM (SELECT count(*) AS n FROM ev GROUP BY userId, movieId, ts)"))
+register(
     "join_coverage", lambda t: Q.join_coverage(t.ratings, t.movies, "movieId"),
     sql("SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(coalesce(sum(n) FILTER (hit), 0) AS BIGINT) AS matched_rows, CAST(coalesce(sum(n) FILTER (NOT hit), 0) AS BIGINT) AS unmatched_rows, round(CAST(coalesce(sum(n) FILTER (hit), 0) AS DOUBLE) / sum(n), 6) AS coverage, count(*) AS fact_keys, count(*) FILTER (hit) AS matched_keys, count(*) FILTER (NOT hit) AS unmatched_keys, CAST(0 AS BIGINT) AS null_key_rows FROM (SELECT movieId, count(*) AS n, movieId IN (SELECT movieId FROM mr) AS hit FROM ev GROUP BY 1)"),
 )
-two("unmatched_keys", lambda t: Q.unmatched_keys(t.movies, t.split()[1], "movieId"), sql("SELECT DISTINCT movieId FROM mr WHERE movieId NOT IN (SELECT movieId FROM tst)"))
-two("matched_rows", lambda t: Q.matched_rows(t.tags, t.movies.where("year >= 2000"), "movieId").select("userId", "movieId", "tag_norm"), sql("SELECT userId, movieId, tag_norm FROM tc WHERE movieId IN (SELECT movieId FROM mc WHERE year >= 2000)"))
-two("movie_profile", lambda t: Q.movie_profile(t.movies), sql("SELECT count(*) AS n_rows, count(*) FILTER (year IS NULL) AS year_nulls, round(count(*) FILTER (year IS NULL) / CAST(count(*) AS DOUBLE), 6) AS year_null_share, min(year) AS year_min, max(year) AS year_max, count(*) FILTER (len(gl) = 0) AS no_genres, round(count(*) FILTER (len(gl) = 0) / CAST(count(*) AS DOUBLE), 6) AS no_genre_share FROM mc"))
-two("tag_profile", lambda t: Q.tag_profile(t.tags), sql("SELECT count(*) AS n_rows, count(DISTINCT tag_raw) AS unique_raw, count(DISTINCT tag_norm) AS unique_norm, count(DISTINCT tag_raw) - count(DISTINCT tag_norm) AS reduction, count(*) FILTER (tag_norm = '') AS empty_norm FROM tc"))
-two("link_coverage", lambda t: Q.link_coverage(t.links), sql("SELECT count(*) AS n_rows, count(*) FILTER (imdbId IS NULL) AS imdb_missing, round(count(imdbId) / CAST(count(*) AS DOUBLE), 6) AS imdb_coverage, count(*) FILTER (tmdbId IS NULL) AS tmdb_missing, round(count(tmdbId) / CAST(count(*) AS DOUBLE), 6) AS tmdb_coverage FROM lc"))
-two("retention_stats", lambda t: Q.retention({"movies": t.raw.movies(), "tags": t.raw.tags()}, {"movies": t.movies, "tags": t.tags}), sql("SELECT 'movies' AS \"table\", (SELECT count(*) FROM mr) AS raw_rows, (SELECT count(*) FROM mc) AS clean_rows, round((SELECT count(*) FROM mc) / CAST((SELECT count(*) FROM mr) AS DOUBLE), 6) AS retention UNION ALL SELECT 'tags', (SELECT count(*) FROM tr), (SELECT count(*) FROM tc), round((SELECT count(*) FROM tc) / CAST((SELECT count(*) FROM tr) AS DOUBLE), 6)"))
+register("unmatched_keys", lambda t: Q.unmatched_keys(t.movies, t.split()[1], "movieId"), sql("SELECT DISTINCT movieId FROM mr WHERE movieId NOT IN (SELECT movieId FROM tst)"))
+register("matched_rows", lambda t: Q.matched_rows(t.tags, t.movies.where("year >= 2000"), "movieId").select("userId", "movieId", "tag_norm"), sql("SELECT userId, movieId, tag_norm FROM tc WHERE movieId IN (SELECT movieId FROM mc WHERE year >= 2000)"))
+register("movie_profile", lambda t: Q.movie_profile(t.movies), sql("SELECT count(*) AS n_rows, count(*) FILTER (year IS NULL) AS year_nulls, round(count(*) FILTER (year IS NULL) / CAST(count(*) AS DOUBLE), 6) AS year_null_share, min(year) AS year_min, max(year) AS year_max, count(*) FILTER (len(gl) = 0) AS no_genres, round(count(*) FILTER (len(gl) = 0) / CAST(count(*) AS DOUBLE), 6) AS no_genre_share FROM mc"))
+register("tag_profile", lambda t: Q.tag_profile(t.tags), sql("SELECT count(*) AS n_rows, count(DISTINCT tag_raw) AS unique_raw, count(DISTINCT tag_norm) AS unique_norm, count(DISTINCT tag_raw) - count(DISTINCT tag_norm) AS reduction, count(*) FILTER (tag_norm = '') AS empty_norm FROM tc"))
+register("link_coverage", lambda t: Q.link_coverage(t.links), sql("SELECT count(*) AS n_rows, count(*) FILTER (imdbId IS NULL) AS imdb_missing, round(count(imdbId) / CAST(count(*) AS DOUBLE), 6) AS imdb_coverage, count(*) FILTER (tmdbId IS NULL) AS tmdb_missing, round(count(tmdbId) / CAST(count(*) AS DOUBLE), 6) AS tmdb_coverage FROM lc"))
+register("retention_stats", lambda t: Q.retention({"movies": t.raw.movies(), "tags": t.raw.tags()}, {"movies": t.movies, "tags": t.tags}), sql("SELECT 'movies' AS \"table\", (SELECT count(*) FROM mr) AS raw_rows, (SELECT count(*) FROM mc) AS clean_rows, round((SELECT count(*) FROM mc) / CAST((SELECT count(*) FROM mr) AS DOUBLE), 6) AS retention UNION ALL SELECT 'tags', (SELECT count(*) FROM tr), (SELECT count(*) FROM tc), round((SELECT count(*) FROM tc) / CAST((SELECT count(*) FROM tr) AS DOUBLE), 6)"))
 
 # --- Splits -----------------------------------------------------------------------------------------------------------------
 
 _RATING = "userId, movieId, rating, ts AS timestamp, us AS rating_dt_utc"
-two("global_cutoff", lambda t: S.time_cutoff(t.ratings), sql("SELECT cutoff FROM cut"))
-two("explicit_split_test", lambda t: S.global_split(t.ratings, cutoff="1997-06-01 00:00:00")[1], sql(f"SELECT {_RATING} FROM ev WHERE us >= epoch_us(TIMESTAMP '1997-06-01 00:00:00')"))
-two("global_split_train", lambda t: t.split()[0], sql(f"SELECT {_RATING} FROM trn"))
-two("global_split_test", lambda t: t.split()[1], sql(f"SELECT {_RATING} FROM tst"))
-two("per_user_split_train", lambda t: t.user_split()[0], sql(f"SELECT {_RATING}, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey FROM utrn"))
-two("per_user_split_test", lambda t: t.user_split()[1], sql(f"SELECT {_RATING}, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey FROM utst"))
-two("user_cutoffs", lambda t: t.user_split()[2], sql("SELECT userId, cutoff FROM ucut"))
-two("tags_train_global", lambda t: t.tags_train().select("userId", "movieId", "tag_norm", "timestamp"), sql("SELECT userId, movieId, tag_norm, ts AS timestamp FROM tg"))
-two("tags_train_per_user", lambda t: S.tags_before(t.tags, t.user_split()[2]).select("userId", "movieId", "tag_norm", "timestamp"), sql("SELECT tc.userId, movieId, tag_norm, ts AS timestamp FROM tc LEFT JOIN ucut ON tc.userId = ucut.userId WHERE cutoff IS NULL OR us < cutoff"))
-two("split_overlap", lambda t: S.overlap(*t.user_split()[:2]).agg(F.count("*").alias("n")), sql("SELECT count(*) AS n FROM (SELECT userId, movieId, ts FROM utrn INTERSECT SELECT userId, movieId, ts FROM utst)"))
-two("temporal_violations", lambda t: S.order_violations(*t.user_split()[:2]).agg(F.count("*").alias("n")), sql("SELECT count(*) AS n FROM (SELECT userId, max(us) AS a FROM utrn GROUP BY 1) x JOIN (SELECT userId, min(us) AS b FROM utst GROUP BY 1) y USING (userId) WHERE a > b"))
+register("global_cutoff", lambda t: S.time_cutoff(t.ratings), sql("SELECT cutoff FROM cut"))
+register("explicit_split_test", lambda t: S.global_split(t.ratings, cutoff="1997-06-01 00:00:00")[1], sql(f"SELECT {_RATING} FROM ev WHERE us >= epoch_us(TIMESTAMP '1997-06-01 00:00:00')"))
+register("global_split_train", lambda t: t.split()[0], sql(f"SELECT {_RATING} FROM trn"))
+register("global_split_test", lambda t: t.split()[1], sql(f"SELECT {_RATING} FROM tst"))
+register("per_user_split_train", lambda t: t.user_split()[0], sql(f"SELECT {_RATING}, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey FROM utrn"))
+register("per_user_split_test", lambda t: t.user_split()[1], sql(f"SELECT {_RATING}, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey FROM utst"))
+register("user_cutoffs", lambda t: t.user_split()[2], sql("SELECT userId, cutoff FROM ucut"))
+register("tags_train_global", lambda t: t.tags_train().select("userId", "movieId", "tag_norm", "timestamp"), sql("SELECT userId, movieId, tag_norm, ts AS timestamp FROM tg"))
+register("tags_train_per_user", lambda t: S.tags_before(t.tags, t.user_split()[2]).select("userId", "movieId", "tag_norm", "timestamp"), sql("SELECT tc.userId, movieId, tag_norm, ts AS timestamp FROM tc LEFT JOIN ucut ON tc.userId = ucut.userId WHERE cutoff IS NULL OR us < cutoff"))
+register("split_overlap", lambda t: S.overlap(*t.user_split()[:2]).agg(F.count("*").alias("n")), sql("SELECT count(*) AS n FROM (SELECT userId, movieId, ts FROM utrn INTERSECT SELECT userId, movieId, ts FROM utst)"))
+register("temporal_violations", lambda t: S.order_violations(*t.user_split()[:2]).agg(F.count("*").alias("n")), sql("SELECT count(*) AS n FROM (SELECT userId, max(us) AS a FROM utrn GROUP BY 1) x JOIN (SELECT userId, min(us) AS b FROM utst GROUP BY 1) y USING (userId) WHERE a > b"))
 for _key, _name in (("userId", "cold_start_users"), ("movieId", "cold_start_items")):
-    two(_name, lambda t, k=_key: S.cold_start(*t.split(), k), sql(f"SELECT count(*) AS test_keys, count(*) FILTER (NOT known) AS cold_keys, round(count(*) FILTER (NOT known) / CAST(count(*) AS DOUBLE), 6) AS cold_rate FROM (SELECT DISTINCT {_key}, {_key} IN (SELECT {_key} FROM trn) AS known FROM tst)"))
-two("split_sizes", lambda t: S.split_sizes(*t.split()), sql("SELECT (SELECT count(*) FROM trn) AS train_rows, (SELECT count(*) FROM tst) AS test_rows, round((SELECT count(*) FROM tst) / CAST((SELECT count(*) FROM ev) AS DOUBLE), 6) AS test_fraction"))
+    register(_name, lambda t, k=_key: S.cold_start(*t.split(), k), sql(f"SELECT count(*) AS test_keys, count(*) FILTER (NOT known) AS cold_keys, round(count(*) FILTER (NOT known) / CAST(count(*) AS DOUBLE), 6) AS cold_rate FROM (SELECT DISTINCT {_key}, {_key} IN (SELECT {_key} FROM trn) AS known FROM tst)"))
+register("split_sizes", lambda t: S.split_sizes(*t.split()), sql("SELECT (SELECT count(*) FROM trn) AS train_rows, (SELECT count(*) FROM tst) AS test_rows, round((SELECT count(*) FROM tst) / CAST((SELECT count(*) FROM ev) AS DOUBLE), 6) AS test_fraction"))
 _SHARES = "d1 AS (SELECT rating, count(*) / CAST((SELECT count(*) FROM trn) AS DOUBLE) AS p FROM trn GROUP BY 1), d2 AS (SELECT rating, count(*) / CAST((SELECT count(*) FROM tst) AS DOUBLE) AS q FROM tst GROUP BY 1)"
-two("rating_distribution", lambda t: S.rating_distribution(*t.split()), sql("SELECT rating, round(p, 6) AS train_share, round(q, 6) AS test_share FROM d1 JOIN d2 USING (rating)", _SHARES))
-two("rating_divergence", lambda t: S.rating_divergence(*t.split()), sql("SELECT round((SELECT avg(rating) FROM trn), 6) AS train_mean, round((SELECT stddev_samp(rating) FROM trn), 6) AS train_std, round((SELECT avg(rating) FROM tst), 6) AS test_mean, round((SELECT stddev_samp(rating) FROM tst), 6) AS test_std, round((SELECT sum(q * ln((q + CAST(1e-10 AS DOUBLE)) / (p + CAST(1e-10 AS DOUBLE)))) FROM d1 JOIN d2 USING (rating)), 6) AS divergence", _SHARES))
+register("rating_distribution", lambda t: S.rating_distribution(*t.split()), sql("SELECT rating, round(p, 6) AS train_share, round(q, 6) AS test_share FROM d1 JOIN d2 USING (rating)", _SHARES))
+register("rating_divergence", lambda t: S.rating_divergence(*t.split()), sql("SELECT round((SELECT avg(rating) FROM trn), 6) AS train_mean, round((SELECT stddev_samp(rating) FROM trn), 6) AS train_std, round((SELECT avg(rating) FROM tst), 6) AS test_mean, round((SELECT stddev_samp(rating) FROM tst), 6) AS test_std, round((SELECT sum(q * ln((q + CAST(1e-10 AS DOUBLE)) / (p + CAST(1e-10 AS DOUBLE)))) FROM d1 JOIN d2 USING (rating)), 6) AS divergence", _SHARES))
 
 # --- Features ---------------------------------------------------------------------------------------------------------------
 
 _STATS = "count(*) AS n_ratings, round(avg(rating), 6) AS rating_mean, round(coalesce(stddev_samp(rating), 0), 6) AS rating_std, min(rating) AS rating_min, max(rating) AS rating_max"
 _ENTROPY = "ec AS (SELECT movieId, count(*) AS c FROM trn GROUP BY movieId, rating), ep AS (SELECT movieId, c / CAST(sum(c) OVER (PARTITION BY movieId) AS DOUBLE) AS p FROM ec), en AS (SELECT movieId, CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0 END AS e FROM ep GROUP BY 1)"
 _TOP = "tf AS (SELECT tag_norm, count(*) AS f FROM tg GROUP BY 1 HAVING count(*) >= 10), tm AS (SELECT movieId, tag_norm, count(*) AS n FROM tg WHERE tag_norm IN (SELECT tag_norm FROM tf) GROUP BY 1, 2), tp AS (SELECT *, row_number() OVER (PARTITION BY movieId ORDER BY n DESC, tag_norm) AS r FROM tm), tt AS (SELECT movieId, CAST(sum(n) AS BIGINT) AS n_tag_events, string_agg(tag_norm, '|' ORDER BY r) FILTER (r <= 3) AS top_tags FROM tp GROUP BY 1)"
-two("user_base_features", lambda t: FE.user_base(t.split()[0]), sql(f"SELECT userId, {_STATS}, min(us) AS first_dt, max(us) AS last_dt, count(DISTINCT us // 86400000000) AS active_days FROM trn GROUP BY 1"))
-two("user_genre_prefs", lambda t: FE.user_genre_means(t.split()[0], t.movies), sql("SELECT userId, genre, round(avg(rating), 6) AS mean FROM trn JOIN mg USING (movieId) GROUP BY 1, 2"))
-two("user_tag_counts", lambda t: FE.user_tag_counts(t.tags_train()), sql("SELECT userId, count(*) AS n_tag_events FROM tg GROUP BY 1"))
+register("user_base_features", lambda t: FE.user_base(t.split()[0]), sql(f"SELECT userId, {_STATS}, min(us) AS first_dt, max(us) AS last_dt, count(DISTINCT us // 86400000000) AS active_days FROM trn GROUP BY 1"))
+register("user_genre_prefs", lambda t: FE.user_genre_means(t.split()[0], t.movies), sql("SELECT userId, genre, round(avg(rating), 6) AS mean FROM trn JOIN mg USING (movieId) GROUP BY 1, 2"))
+register("user_tag_counts", lambda t: FE.user_tag_counts(t.tags_train()), sql("SELECT userId, count(*) AS n_tag_events FROM tg GROUP BY 1"))
 
 
 def _wide_users(t: Tables) -> DataFrame:
@@ -255,10 +255,10 @@ def _wide_users(t: Tables) -> DataFrame:
     return wide.select("userId", "n_ratings", "active_days", "n_tag_events", F.round(total, 2).alias("pref_sum"), F.lit(len(prefs)).alias("n_prefs"))
 
 
-two("user_features", _wide_users, sql("SELECT userId, n_ratings, active_days, coalesce(e, 0) AS n_tag_events, round(coalesce(s, 0), 2) AS pref_sum, (SELECT count(DISTINCT genre) FROM mg JOIN trn USING (movieId)) AS n_prefs FROM (SELECT userId, count(*) AS n_ratings, count(DISTINCT us // 86400000000) AS active_days FROM trn GROUP BY 1) LEFT JOIN (SELECT userId, count(*) AS e FROM tg GROUP BY 1) USING (userId) LEFT JOIN (SELECT userId, sum(CAST(CAST(m AS FLOAT) AS DOUBLE)) AS s FROM (SELECT userId, genre, avg(rating) AS m FROM trn JOIN mg USING (movieId) GROUP BY 1, 2) GROUP BY 1) USING (userId)"))
-two("item_base_features", lambda t: FE.item_base(t.split()[0]), sql(f"SELECT movieId, {_STATS} FROM trn GROUP BY 1"))
-two("item_rating_entropy", lambda t: FE.item_entropy(t.split()[0]), sql("SELECT movieId, round(e, 6) AS rating_entropy FROM en", _ENTROPY))
-two("item_polarization", lambda t: FE.item_polarization(t.split()[0]), sql("SELECT movieId, round(e, 6) AS rating_entropy, round(greatest(s * (1 - e), 0), 6) AS polarization_score FROM (SELECT movieId, coalesce(stddev_samp(rating), 0) AS s FROM trn GROUP BY 1) JOIN en USING (movieId)", _ENTROPY))
+register("user_features", _wide_users, sql("SELECT userId, n_ratings, active_days, coalesce(e, 0) AS n_tag_events, round(coalesce(s, 0), 2) AS pref_sum, (SELECT count(DISTINCT genre) FROM mg JOIN trn USING (movieId)) AS n_prefs FROM (SELECT userId, count(*) AS n_ratings, count(DISTINCT us // 86400000000) AS active_days FROM trn GROUP BY 1) LEFT JOIN (SELECT userId, count(*) AS e FROM tg GROUP BY 1) USING (userId) LEFT JOIN (SELECT userId, sum(CAST(CAST(m AS FLOAT) AS DOUBLE)) AS s FROM (SELECT userId, genre, avg(rating) AS m FROM trn JOIN mg USING (movieId) GROUP BY 1, 2) GROUP BY 1) USING (userId)"))
+register("item_base_features", lambda t: FE.item_base(t.split()[0]), sql(f"SELECT movieId, {_STATS} FROM trn GROUP BY 1"))
+register("item_rating_entropy", lambda t: FE.item_entropy(t.split()[0]), sql("SELECT movieId, round(e, 6) AS rating_entropy FROM en", _ENTROPY))
+register("item_polarization", lambda t: FE.item_polarization(t.split()[0]), sql("SELECT movieId, round(e, 6) AS rating_entropy, round(greatest(s * (1 - e), 0), 6) AS polarization_score FROM (SELECT movieId, coalesce(stddev_samp(rating), 0) AS s FROM trn GROUP BY 1) JOIN en USING (movieId)", _ENTROPY))
 
 
 def _flag_counts(t: Tables) -> DataFrame:
@@ -267,10 +267,10 @@ def _flag_counts(t: Tables) -> DataFrame:
     return wide.select("movieId", reduce(lambda a, b: a + b, (F.col(c).cast("bigint") for c in flags)).alias("n_genres"), F.lit(len(flags)).alias("n_flags"))
 
 
-two("item_genre_flags", _flag_counts, sql("SELECT movieId, (SELECT count(*) FROM mg WHERE mg.movieId = mc.movieId) AS n_genres, (SELECT count(DISTINCT genre) FROM mg) AS n_flags FROM mc"))
-two("item_top_tags", lambda t: FE.item_tags(t.tags_train()), sql("SELECT movieId, n_tag_events, top_tags FROM tt", _TOP))
-two("item_features", lambda t: FE.item_features(t.split_once()[0], t.movies, t.tags_train()).select("movieId", "n_ratings", F.round("rating_mean", 4).alias("rating_mean"), F.round("polarization_score", 4).alias("polarization_score"), "n_tag_events", "top_tags"), sql("SELECT movieId, n_ratings, round(CAST(CAST(m AS FLOAT) AS DOUBLE), 4) AS rating_mean, round(CAST(CAST(greatest(s * (1 - e), 0) AS FLOAT) AS DOUBLE), 4) AS polarization_score, coalesce(n_tag_events, 0) AS n_tag_events, coalesce(top_tags, '') AS top_tags FROM (SELECT movieId, count(*) AS n_ratings, avg(rating) AS m, coalesce(stddev_samp(rating), 0) AS s FROM trn GROUP BY 1) JOIN en USING (movieId) LEFT JOIN tt USING (movieId)", _ENTROPY, _TOP))
-two("feature_coverage", lambda t: FE.feature_coverage(FE.user_base(t.split()[1]), t.split()[0], "userId"), sql("SELECT count(*) AS keys, count(*) FILTER (hit) AS covered, round(count(*) FILTER (hit) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM (SELECT DISTINCT userId, userId IN (SELECT userId FROM tst) AS hit FROM trn)"))
+register("item_genre_flags", _flag_counts, sql("SELECT movieId, (SELECT count(*) FROM mg WHERE mg.movieId = mc.movieId) AS n_genres, (SELECT count(DISTINCT genre) FROM mg) AS n_flags FROM mc"))
+register("item_top_tags", lambda t: FE.item_tags(t.tags_train()), sql("SELECT movieId, n_tag_events, top_tags FROM tt", _TOP))
+register("item_features", lambda t: FE.item_features(t.split_once()[0], t.movies, t.tags_train()).select("movieId", "n_ratings", F.round("rating_mean", 4).alias("rating_mean"), F.round("polarization_score", 4).alias("polarization_score"), "n_tag_events", "top_tags"), sql("SELECT movieId, n_ratings, round(CAST(CAST(m AS FLOAT) AS DOUBLE), 4) AS rating_mean, round(CAST(CAST(greatest(s * (1 - e), 0) AS FLOAT) AS DOUBLE), 4) AS polarization_score, coalesce(n_tag_events, 0) AS n_tag_events, coalesce(top_tags, '') AS top_tags FROM (SELECT movieId, count(*) AS n_ratings, avg(rating) AS m, coalesce(stddev_samp(rating), 0) AS s FROM trn GROUP BY 1) JOIN en USING (movieId) LEFT JOIN tt USING (movieId)", _ENTROPY, _TOP))
+register("feature_coverage", lambda t: FE.feature_coverage(FE.user_base(t.split()[1]), t.split()[0], "userId"), sql("SELECT count(*) AS keys, count(*) FILTER (hit) AS covered, round(count(*) FILTER (hit) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM (SELECT DISTINCT userId, userId IN (SELECT userId FROM tst) AS hit FROM trn)"))
 
 
 def _melted(wide: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -278,32 +278,32 @@ def _melted(wide: DataFrame, key: str, prefix: str) -> DataFrame:
     return wide.select(key, *(F.col(c).cast("double").alias(c) for c in names)).unpivot(key, names, "feature", "value")
 
 
-two("user_preferences_wide", lambda t: _melted(FE.user_features(t.split_once()[0], t.movies, t.tags_train()), "userId", "genre_pref__"), sql(f"SELECT u.userId, 'genre_pref__' || {_slug('g.genre')} AS feature, round(CAST(CAST(coalesce(m.m, 0) AS FLOAT) AS DOUBLE), 6) AS value FROM (SELECT DISTINCT userId FROM trn) u CROSS JOIN (SELECT DISTINCT genre FROM mg JOIN trn USING (movieId)) g LEFT JOIN (SELECT userId, genre, avg(rating) AS m FROM trn JOIN mg USING (movieId) GROUP BY 1, 2) m ON m.userId = u.userId AND m.genre = g.genre"))
-two("item_flags_wide", lambda t: _melted(FE.item_genre_flags(t.movies), "movieId", "genre_flag__"), sql(f"SELECT mc.movieId, 'genre_flag__' || {_slug('g.genre')} AS feature, CAST(CASE WHEN mg.movieId IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS value FROM mc CROSS JOIN (SELECT DISTINCT genre FROM mg) g LEFT JOIN mg ON mg.movieId = mc.movieId AND mg.genre = g.genre"))
+register("user_preferences_wide", lambda t: _melted(FE.user_features(t.split_once()[0], t.movies, t.tags_train()), "userId", "genre_pref__"), sql(f"SELECT u.userId, 'genre_pref__' || {_slug('g.genre')} AS feature, round(CAST(CAST(coalesce(m.m, 0) AS FLOAT) AS DOUBLE), 6) AS value FROM (SELECT DISTINCT userId FROM trn) u CROSS JOIN (SELECT DISTINCT genre FROM mg JOIN trn USING (movieId)) g LEFT JOIN (SELECT userId, genre, avg(rating) AS m FROM trn JOIN mg USING (movieId) GROUP BY 1, 2) m ON m.userId = u.userId AND m.genre = g.genre"))
+register("item_flags_wide", lambda t: _melted(FE.item_genre_flags(t.movies), "movieId", "genre_flag__"), sql(f"SELECT mc.movieId, 'genre_flag__' || {_slug('g.genre')} AS feature, CAST(CASE WHEN mg.movieId IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS value FROM mc CROSS JOIN (SELECT DISTINCT genre FROM mg) g LEFT JOIN mg ON mg.movieId = mc.movieId AND mg.genre = g.genre"))
 
 # --- Baskets ----------------------------------------------------------------------------------------------------------------
 
-two("like_pairs", lambda t: B.likes(t.split()[0]), sql("SELECT userId, movieId FROM lk"))
-two("basket_tokens", lambda t: B.basket_tokens(t.split()[0], t.movies, t.tags_train()), sql("SELECT userId, token FROM tok"))
-two("transactions", lambda t: t.baskets(), sql("SELECT userId, string_agg(token, ',' ORDER BY token) AS items, count(*) AS n_items FROM tok GROUP BY 1"))
-two("token_doc_freq", lambda t: B.doc_freq(t.baskets()), sql("SELECT token, df FROM df"))
+register("like_pairs", lambda t: B.likes(t.split()[0]), sql("SELECT userId, movieId FROM lk"))
+register("basket_tokens", lambda t: B.basket_tokens(t.split()[0], t.movies, t.tags_train()), sql("SELECT userId, token FROM tok"))
+register("transactions", lambda t: t.baskets(), sql("SELECT userId, string_agg(token, ',' ORDER BY token) AS items, count(*) AS n_items FROM tok GROUP BY 1"))
+register("token_doc_freq", lambda t: B.doc_freq(t.baskets()), sql("SELECT token, df FROM df"))
 _RED = "rf AS (SELECT * FROM df WHERE df >= 5), rk AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY df DESC, token) AS r FROM rf), rv AS (SELECT * FROM rk WHERE family NOT IN ('movie', 'tag') OR (family = 'movie' AND r <= 800) OR (family = 'tag' AND r <= 40)), rt AS (SELECT tk.userId, tk.token, rv.family, rv.df FROM tk JOIN rv USING (token)), rb AS (SELECT userId FROM rt GROUP BY 1 HAVING count(*) >= 2), ra AS (SELECT rt.* FROM rt JOIN rb USING (userId)), ad AS (SELECT token, count(*) AS n FROM ra GROUP BY 1)"
 _REDUCED = dict(top_movies=800, top_tags=40)
-two("reduced_topk", lambda t: B.top_per_family(B.doc_freq(t.baskets()).where("df >= 5"), {"movie": 800, "tag": 40}), sql("SELECT token, df, family FROM rv", _RED))
-two("reduced_transactions", lambda t: B.reduce_baskets(t.baskets(), **_REDUCED), sql("SELECT userId, string_agg(token, ',' ORDER BY token) AS items, count(*) AS n_items FROM ra GROUP BY 1", _RED))
-two("reduced_capped", lambda t: B.reduce_baskets(t.baskets(), **_REDUCED, max_items=12), sql("SELECT userId, string_agg(token, ',' ORDER BY o, df DESC, token) AS items, count(*) AS n_items FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY o, df DESC, token) AS r FROM (SELECT *, CASE family WHEN 'genre' THEN 0 WHEN 'movie' THEN 1 ELSE 2 END AS o FROM ra)) WHERE r <= 12 GROUP BY 1 HAVING count(*) >= 2", _RED))
-two("reduced_sampled", lambda t: B.reduce_baskets(t.baskets(), **_REDUCED, sample_frac=0.25), sql("SELECT userId, string_agg(token, ',' ORDER BY token) AS items, count(*) AS n_items FROM ra WHERE userId IN (SELECT userId FROM (SELECT userId, row_number() OVER (ORDER BY md5(CAST(userId AS VARCHAR) || ':42'), userId) AS r FROM rb) WHERE r <= (SELECT round_even(count(*) * CAST(0.25 AS DOUBLE), 0) FROM rb)) GROUP BY 1", _RED))
-two("token_stats", lambda t: B.token_stats(b := t.baskets(), B.reduce_baskets(b, **_REDUCED)), sql("SELECT token, family, df AS df_before, coalesce(n, 0) AS df_after, n IS NOT NULL AS kept FROM df LEFT JOIN ad USING (token)", _RED))
+register("reduced_topk", lambda t: B.top_per_family(B.doc_freq(t.baskets()).where("df >= 5"), {"movie": 800, "tag": 40}), sql("SELECT token, df, family FROM rv", _RED))
+register("reduced_transactions", lambda t: B.reduce_baskets(t.baskets(), **_REDUCED), sql("SELECT userId, string_agg(token, ',' ORDER BY token) AS items, count(*) AS n_items FROM ra GROUP BY 1", _RED))
+register("reduced_capped", lambda t: B.reduce_baskets(t.baskets(), **_REDUCED, max_items=12), sql("SELECT userId, string_agg(token, ',' ORDER BY o, df DESC, token) AS items, count(*) AS n_items FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY o, df DESC, token) AS r FROM (SELECT *, CASE family WHEN 'genre' THEN 0 WHEN 'movie' THEN 1 ELSE 2 END AS o FROM ra)) WHERE r <= 12 GROUP BY 1 HAVING count(*) >= 2", _RED))
+register("reduced_sampled", lambda t: B.reduce_baskets(t.baskets(), **_REDUCED, sample_frac=0.25), sql("SELECT userId, string_agg(token, ',' ORDER BY token) AS items, count(*) AS n_items FROM ra WHERE userId IN (SELECT userId FROM (SELECT userId, row_number() OVER (ORDER BY md5(CAST(userId AS VARCHAR) || ':42'), userId) AS r FROM rb) WHERE r <= (SELECT round_even(count(*) * CAST(0.25 AS DOUBLE), 0) FROM rb)) GROUP BY 1", _RED))
+register("token_stats", lambda t: B.token_stats(b := t.baskets(), B.reduce_baskets(b, **_REDUCED)), sql("SELECT token, family, df AS df_before, coalesce(n, 0) AS df_after, n IS NOT NULL AS kept FROM df LEFT JOIN ad USING (token)", _RED))
 _SIZES = "s1 AS (SELECT userId, count(*) AS n FROM tok GROUP BY 1), s2 AS (SELECT userId, count(*) AS n FROM ra GROUP BY 1)"
-two("basket_stats", lambda t: B.basket_stats(b := t.baskets(), B.reduce_baskets(b, **_REDUCED)), sql("SELECT *, round(1 - after_baskets / CAST(before_baskets AS DOUBLE), 6) AS basket_reduction, round(1 - after_tokens / CAST(before_tokens AS DOUBLE), 6) AS token_reduction FROM (SELECT count(*) AS before_baskets, round(avg(n), 6) AS before_mean, median(n) AS before_median, CAST(sum(n) AS BIGINT) AS before_tokens FROM s1), (SELECT count(*) AS after_baskets, round(avg(n), 6) AS after_mean, median(n) AS after_median, CAST(sum(n) AS BIGINT) AS after_tokens FROM s2)", _RED, _SIZES))
-two("removed_vocab", lambda t: B.removed_vocabulary(B.token_stats(b := t.baskets(), B.reduce_baskets(b, **_REDUCED))), sql("SELECT token FROM df WHERE token NOT IN (SELECT token FROM ad) ORDER BY token LIMIT 200", _RED))
-two("baskets_displayed", lambda t: t.baskets().select("userId", X.join_display(F.filter("items", lambda x: X.family(x) == "tag")).alias("shown")), sql("SELECT userId, coalesce(string_agg(token, ' + ' ORDER BY token) FILTER (family = 'tag'), '[]') AS shown FROM tk GROUP BY 1"))
-two("family_composition", lambda t: B.family_composition(t.baskets()), sql("SELECT family, count(DISTINCT token) AS vocabulary, count(*) AS tokens FROM tk GROUP BY 1"))
-two("matrix_density", lambda t: B.matrix_density(t.baskets()), sql("SELECT count(DISTINCT userId) AS n_baskets, count(*) AS cells_set, count(DISTINCT token) AS vocabulary, round(count(*) / CAST(count(DISTINCT userId) * count(DISTINCT token) AS DOUBLE), 6) AS density FROM tok"))
+register("basket_stats", lambda t: B.basket_stats(b := t.baskets(), B.reduce_baskets(b, **_REDUCED)), sql("SELECT *, round(1 - after_baskets / CAST(before_baskets AS DOUBLE), 6) AS basket_reduction, round(1 - after_tokens / CAST(before_tokens AS DOUBLE), 6) AS token_reduction FROM (SELECT count(*) AS before_baskets, round(avg(n), 6) AS before_mean, median(n) AS before_median, CAST(sum(n) AS BIGINT) AS before_tokens FROM s1), (SELECT count(*) AS after_baskets, round(avg(n), 6) AS after_mean, median(n) AS after_median, CAST(sum(n) AS BIGINT) AS after_tokens FROM s2)", _RED, _SIZES))
+register("removed_vocab", lambda t: B.removed_vocabulary(B.token_stats(b := t.baskets(), B.reduce_baskets(b, **_REDUCED))), sql("SELECT token FROM df WHERE token NOT IN (SELECT token FROM ad) ORDER BY token LIMIT 200", _RED))
+register("baskets_displayed", lambda t: t.baskets().select("userId", X.join_display(F.filter("items", lambda x: X.family(x) == "tag")).alias("shown")), sql("SELECT userId, coalesce(string_agg(token, ' + ' ORDER BY token) FILTER (family = 'tag'), '[]') AS shown FROM tk GROUP BY 1"))
+register("family_composition", lambda t: B.family_composition(t.baskets()), sql("SELECT family, count(DISTINCT token) AS vocabulary, count(*) AS tokens FROM tk GROUP BY 1"))
+register("matrix_density", lambda t: B.matrix_density(t.baskets()), sql("SELECT count(DISTINCT userId) AS n_baskets, count(*) AS cells_set, count(DISTINCT token) AS vocabulary, round(count(*) / CAST(count(DISTINCT userId) * count(DISTINCT token) AS DOUBLE), 6) AS density FROM tok"))
 for _mode, _kinds in B.MODES.items():
     _in = ", ".join(f"'{k}'" for k in _kinds)
-    two(f"family_mode_{_mode}", lambda t, m=_mode: B.with_mode(t.baskets(), m), sql(f"SELECT userId, string_agg(token, ',' ORDER BY token) AS items, count(*) AS n_items FROM tk WHERE family IN ({_in}) GROUP BY 1"))
-two("basket_caps", lambda t: B.controlled(t.baskets(), "controlled_movie_tag", {"movie": 600, "tag": 50}, {"movie": 5, "tag": 3}), sql("SELECT userId, string_agg(token, ',' ORDER BY family, p) AS items, count(*) AS n_items FROM (SELECT *, row_number() OVER (PARTITION BY userId, family ORDER BY df DESC, token) AS p FROM (SELECT tk.userId, tk.token, tk.family, q.df FROM tk JOIN (SELECT *, row_number() OVER (PARTITION BY family ORDER BY df DESC, token) AS r FROM df) q USING (token) WHERE (tk.family = 'movie' AND r <= 600) OR (tk.family = 'tag' AND r <= 50))) WHERE (family = 'movie' AND p <= 5) OR (family = 'tag' AND p <= 3) GROUP BY 1"))
+    register(f"family_mode_{_mode}", lambda t, m=_mode: B.with_mode(t.baskets(), m), sql(f"SELECT userId, string_agg(token, ',' ORDER BY token) AS items, count(*) AS n_items FROM tk WHERE family IN ({_in}) GROUP BY 1"))
+register("basket_caps", lambda t: B.controlled(t.baskets(), "controlled_movie_tag", {"movie": 600, "tag": 50}, {"movie": 5, "tag": 3}), sql("SELECT userId, string_agg(token, ',' ORDER BY family, p) AS items, count(*) AS n_items FROM (SELECT *, row_number() OVER (PARTITION BY userId, family ORDER BY df DESC, token) AS p FROM (SELECT tk.userId, tk.token, tk.family, q.df FROM tk JOIN (SELECT *, row_number() OVER (PARTITION BY family ORDER BY df DESC, token) AS r FROM df) q USING (token) WHERE (tk.family = 'movie' AND r <= 600) OR (tk.family = 'tag' AND r <= 50))) WHERE (family = 'movie' AND p <= 5) OR (family = 'tag' AND p <= 3) GROUP BY 1"))
 
 # --- Mining -----------------------------------------------------------------------------------------------------------------
 
@@ -330,18 +330,18 @@ def _sets_c(t: Tables) -> DataFrame:
 
 _ONE = "SELECT token AS items, CAST(1 AS BIGINT) AS length, c AS count, round(c / CAST(n AS DOUBLE), 6) AS support FROM k1, kn"
 _SORTED = "SELECT items, length, count, round(count / CAST(n AS DOUBLE), 6) AS support FROM sets, kn"
-two("singleton_prune", lambda t: t.movie_tag().dictionary.select("token", "c"), sql("SELECT token, c FROM k0", *_B))
-two("token_codes", lambda t: t.genre_tag().dictionary, sql("SELECT token, (row_number() OVER (ORDER BY c, token) - 1) * 4 + CASE WHEN token LIKE 'genre:%' THEN 0 ELSE 2 END AS code, c FROM k0", *_C))
-two("itemsets_low", _sets_c, sql(_ONE + " UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf", *_C))
-two("itemsets_top", lambda t: M.top_itemsets(_sets_c(t)), sql("SELECT * FROM (" + _ONE + " UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf) ORDER BY count DESC, items LIMIT 10", *_C))
-two("itemsets_high", lambda t: M.high_support(_sets_c(t), 0.1), sql(_ONE + " WHERE c / CAST(n AS DOUBLE) >= 0.1 UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf WHERE c_ab / CAST(n AS DOUBLE) >= 0.1", *_C))
-two("itemset_lengths", lambda t: M.length_histogram(_sets_c(t)), sql("SELECT CAST(1 AS BIGINT) AS length, count(*) AS n FROM k1 UNION ALL SELECT 2, count(*) FROM pf", *_C))
-two("pairs_movie_tag", lambda t: I.frequent_sets(t.movie_tag(), 0.001, families=("movie", "tag")), sql(_ONE + " UNION ALL SELECT a || ',' || b AS items, CAST(2 AS BIGINT) AS length, c_ab AS count, round(c_ab / CAST(n AS DOUBLE), 6) AS support FROM pf", *_B))
-two("pairs_self_join", lambda t: M.pair_counts_by_join(t.tokens(families=("genre", "tag"))), sql("SELECT x.token AS a, y.token AS b, count(*) AS c_ab FROM (" + _GT + ") x JOIN (" + _GT + ") y ON x.userId = y.userId AND x.token < y.token GROUP BY 1, 2"))
-two("rules_preset_a", lambda t: I.pair_rules(t.coded(0.0013, "movie"), 0.0013, 0.0, 1.5), sql(f"SELECT {_RULE} FROM ru", *_A))
-two("rules_preset_b", lambda t: I.pair_rules(t.movie_tag(), 0.001, 0.4, 1.5, ("movie", "tag")), sql(f"SELECT {_RULE} FROM ru", *_B))
-two("rules_preset_c", lambda t: M.across(_rules_c(t)), sql(f"SELECT {_RULE} FROM ru WHERE {_GENRE_TAG}", *_C))
-two("rules_gate1", lambda t: M.gate_evidence(_rules_c(t, 0.02, 1.1), 50, 100, 0.20), sql(f"SELECT {_RULE} FROM ru WHERE c_ab >= 50 AND c_a >= 100 AND c_b / CAST(n AS DOUBLE) <= 0.2", *_G))
+register("singleton_prune", lambda t: t.movie_tag().dictionary.select("token", "c"), sql("SELECT token, c FROM k0", *_B))
+register("token_codes", lambda t: t.genre_tag().dictionary, sql("SELECT token, (row_number() OVER (ORDER BY c, token) - 1) * 4 + CASE WHEN token LIKE 'genre:%' THEN 0 ELSE 2 END AS code, c FROM k0", *_C))
+register("itemsets_low", _sets_c, sql(_ONE + " UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf", *_C))
+register("itemsets_top", lambda t: M.top_itemsets(_sets_c(t)), sql("SELECT * FROM (" + _ONE + " UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf) ORDER BY count DESC, items LIMIT 10", *_C))
+register("itemsets_high", lambda t: M.high_support(_sets_c(t), 0.1), sql(_ONE + " WHERE c / CAST(n AS DOUBLE) >= 0.1 UNION ALL SELECT a || ',' || b, 2, c_ab, round(c_ab / CAST(n AS DOUBLE), 6) FROM pf WHERE c_ab / CAST(n AS DOUBLE) >= 0.1", *_C))
+register("itemset_lengths", lambda t: M.length_histogram(_sets_c(t)), sql("SELECT CAST(1 AS BIGINT) AS length, count(*) AS n FROM k1 UNION ALL SELECT 2, count(*) FROM pf", *_C))
+register("pairs_movie_tag", lambda t: I.frequent_sets(t.movie_tag(), 0.001, families=("movie", "tag")), sql(_ONE + " UNION ALL SELECT a || ',' || b AS items, CAST(2 AS BIGINT) AS length, c_ab AS count, round(c_ab / CAST(n AS DOUBLE), 6) AS support FROM pf", *_B))
+register("pairs_self_join", lambda t: M.pair_counts_by_join(t.tokens(families=("genre", "tag"))), sql("SELECT x.token AS a, y.token AS b, count(*) AS c_ab FROM (" + _GT + ") x JOIN (" + _GT + ") y ON x.userId = y.userId AND x.token < y.token GROUP BY 1, 2"))
+register("rules_preset_a", lambda t: I.pair_rules(t.coded(0.0013, "movie"), 0.0013, 0.0, 1.5), sql(f"SELECT {_RULE} FROM ru", *_A))
+register("rules_preset_b", lambda t: I.pair_rules(t.movie_tag(), 0.001, 0.4, 1.5, ("movie", "tag")), sql(f"SELECT {_RULE} FROM ru", *_B))
+register("rules_preset_c", lambda t: M.across(_rules_c(t)), sql(f"SELECT {_RULE} FROM ru WHERE {_GENRE_TAG}", *_C))
+register("rules_gate1", lambda t: M.gate_evidence(_rules_c(t, 0.02, 1.1), 50, 100, 0.20), sql(f"SELECT {_RULE} FROM ru WHERE c_ab >= 50 AND c_a >= 100 AND c_b / CAST(n AS DOUBLE) <= 0.2", *_G))
 
 def many_sided(tokens: str, support: float, confidence: float, lift: float) -> tuple[str, ...]:
     """CTEs of sets of up to three tokens, which SQL finds by joining the kept tokens three times, and ``sm``, their rules with any number of tokens a side."""
@@ -365,9 +365,9 @@ def _set_rules(t: Tables) -> DataFrame:
     return I.set_rules(I.frequent_sets(own, 0.05, 3), own.n, 0.3, 1.05)
 
 
-two("itemsets_three", lambda t: I.frequent_sets(t.genre_tag(0.02), 0.02, 3), sql(_SORTED, *many_sided(_GT, 0.02, 0.0, 0.0)))
-two("rules_many_sided", _set_rules, sql(f"SELECT {_RULE} FROM sm", *_S))
-two("rules_one_sided_of_three", lambda t: M.single_sided(_set_rules(t)), sql(f"SELECT {_RULE} FROM sm WHERE NOT contains(antecedent, ',') AND NOT contains(consequent, ',')", *_S))
+register("itemsets_three", lambda t: I.frequent_sets(t.genre_tag(0.02), 0.02, 3), sql(_SORTED, *many_sided(_GT, 0.02, 0.0, 0.0)))
+register("rules_many_sided", _set_rules, sql(f"SELECT {_RULE} FROM sm", *_S))
+register("rules_one_sided_of_three", lambda t: M.single_sided(_set_rules(t)), sql(f"SELECT {_RULE} FROM sm WHERE NOT contains(antecedent, ',') AND NOT contains(consequent, ',')", *_S))
 
 
 def _gate2(t: Tables) -> DataFrame:
@@ -384,15 +384,16 @@ _H = (
     "hn AS (SELECT count(DISTINCT userId) AS m FROM h0)",
     "h3 AS (SELECT ru.antecedent, ru.consequent, c_ab, c_ab / CAST(c_a AS DOUBLE) AS conf, coalesce(h2.c, 0) AS t_ab, coalesce(h4.c, 0) AS t_b, coalesce(h2.c, 0) / CAST(h1.c AS DOUBLE) AS conf_t FROM ru JOIN h1 ON h1.token = antecedent LEFT JOIN h1 h4 ON h4.token = consequent LEFT JOIN h2 ON h2.a = least(antecedent, consequent) AND h2.b = greatest(antecedent, consequent))",
 )
-two("rules_gate2", _gate2, sql("SELECT antecedent, consequent, c_ab AS count_ab, t_ab AS count_ab_test, t_b AS count_b_test, round(t_b / CAST(m AS DOUBLE), 6) AS support_b_test, round(conf, 6) AS confidence, round(conf_t, 6) AS confidence_test, round(conf_t / (t_b / CAST(m AS DOUBLE)), 6) AS lift_test, round(conf_t / conf, 6) AS conf_ratio, m AS n_test FROM h3, hn WHERE conf_t >= CAST(0.02 AS DOUBLE) AND conf_t / conf >= 0.5 AND t_ab >= 5", *_G, *_H))
-two("rule_types", lambda t: P.type_histogram(M.as_exported(_rules_c(t))), sql(f"SELECT {_TYPE} AS rule_type, count(*) AS n FROM ru GROUP BY 1", *_C))
+register("rules_gate2", _gate2, sql("SELECT antecedent, consequent, c_ab AS count_ab, t_ab AS count_ab_test, t_b AS count_b_test, round(t_b / CAST(m AS DOUBLE), 6) AS support_b_test, round(conf, 6) AS confidence, round(conf_t, 6) AS confidence_test, round(conf_t / (t_b / CAST(m AS DOUBLE)), 6) AS lift_test, round(conf_t / conf, 6) AS conf_ratio, m AS n_test FROM h3, hn WHERE conf_t >= CAST(0.02 AS DOUBLE) AND conf_t / conf >= 0.5 AND t_ab >= 5", *_G, *_H))
+register("rule_types", lambda t: P.type_histogram(M.as_exported(_rules_c(t))), sql(f"SELECT {_TYPE} AS rule_type, count(*) AS n FROM ru GROUP BY 1", *_C))
 _NICE = "CASE WHEN {x} LIKE 'genre:%' THEN '[G] ' ELSE '[T] ' END || (SELECT string_agg(CASE WHEN i = 1 OR NOT regexp_matches(v[i - 1], '[a-z]') THEN upper(v[i]) ELSE v[i] END, '' ORDER BY i) FROM (SELECT split_part({x}, ':', 2) AS v), range(1, length(split_part({x}, ':', 2)) + 1) r(i))"
 _RD = f"rd AS (SELECT antecedent, consequent, {_NICE.format(x='antecedent')} AS antecedent_decoded, {_NICE.format(x='consequent')} AS consequent_decoded, {METRICS}, {_TYPE} AS rule_type FROM ru)"
-two("rules_decoded", lambda t: P.readable(_rules_c(t), t.movies), sql("SELECT antecedent, consequent, antecedent_decoded, consequent_decoded, antecedent_decoded || ' -> ' || consequent_decoded AS label, support, confidence, lift, rule_type FROM rd", *_C, _RD))
-two("cross_genre_rules", lambda t: P.cross_rules(P.readable(_rules_c(t), t.movies)).select("antecedent", "consequent", "lift", "rule_type"), sql(f"SELECT antecedent, consequent, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift, {_TYPE} AS rule_type FROM ru WHERE {_TYPE} IN ('genre_only', 'cross_type') ORDER BY round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 9) DESC, antecedent, consequent LIMIT 10", *_C))
-two("metric_ranges", lambda t: M.metric_ranges(_rules_c(t)), sql("SELECT min(support) AS support_min, max(support) AS support_max, min(confidence) AS confidence_min, max(confidence) AS confidence_max, min(lift) AS lift_min, max(lift) AS lift_max, min(leverage) AS leverage_min, max(leverage) AS leverage_max FROM (SELECT " + METRICS + " FROM ru)", *_C))
-two("metric_histogram", lambda t: M.metric_histogram(_rules_c(t), "support"), sql("SELECT CAST(least(floor((s - lo) / (hi - lo) * 40) + 1, 40) AS BIGINT) AS bin, count(*) AS n FROM (SELECT c_ab / CAST(n AS DOUBLE) AS s FROM ru), (SELECT min(c_ab / CAST(n AS DOUBLE)) AS lo, max(c_ab / CAST(n AS DOUBLE)) AS hi FROM ru) GROUP BY 1", *_C))
-two("mine_preset_c", lambda t: mine(t.baskets(), preset("C"), keep=t.keep)["rules"].select("antecedent", "consequent", "lift"), sql(f"SELECT antecedent, consequent, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift FROM ru WHERE {_GENRE_TAG}", *_C))
+register("rules_decoded", lambda t: P.readable(_rules_c(t), t.movies), sql("SELECT antecedent, consequent, antecedent_decoded, consequent_decoded, antecedent_decoded || ' -> ' || consequent_decoded AS label, support, confidence, lift, rule_type FROM rd", *_C, _RD))
+register("cross_genre_rules", lambda t: P.cross_rules(P.readable(_rules_c(t), t.movies)).select("antecedent", "consequent", "lift", "rule_type"), sql(f"SELECT antecedent, consequent, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift, {_TYPE} AS rule_type FROM ru WHERE {_TYPE} IN ('genre_only', 'cross_type') ORDER BY round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 9) DESC, antecedent, consequent LIMIT 10", *_C))
+register("metric_ranges", lambda t: M.metric_ranges(_rules_c(t)), sql("SELECT min(support) AS support_min, max(support) AS support_max, min(confidence) AS confidence_min, max(confidence) AS confidence_max, min(lift) AS lift_min, max(lift) AS lift_max, min(leverage) AS leverage_min, max(leverage) AS leverage_max FROM (SELECT " + METRICS + " FROM ru)", *_C))
+register("rule_scatter", lambda t: M.scatter(_rules_c(t)), sql(f"SELECT support, lift, confidence FROM (SELECT {METRICS} FROM ru)", *_C))
+register("metric_histogram", lambda t: M.metric_histogram(_rules_c(t), "support"), sql("SELECT CAST(least(floor((s - lo) / (hi - lo) * 40) + 1, 40) AS BIGINT) AS bin, count(*) AS n FROM (SELECT c_ab / CAST(n AS DOUBLE) AS s FROM ru), (SELECT min(c_ab / CAST(n AS DOUBLE)) AS lo, max(c_ab / CAST(n AS DOUBLE)) AS hi FROM ru) GROUP BY 1", *_C))
+register("mine_preset_c", lambda t: mine(t.baskets(), preset("C"), keep=t.keep)["rules"].select("antecedent", "consequent", "lift"), sql(f"SELECT antecedent, consequent, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift FROM ru WHERE {_GENRE_TAG}", *_C))
 
 
 
@@ -403,7 +404,7 @@ def capped(kinds: str, top: int, cap: int) -> str:
 _PA = mined(capped("'movie'", 600, 39), 0.001, 0.3, 1.5)
 _PB = mined(capped("'movie', 'tag'", 600, 60), 0.001, 0.4, 1.5, _CROSS_MT)
 for _p, _ctes in (("A", _PA), ("B", _PB)):
-    two(f"mine_preset_{_p.lower()}", lambda t, p=_p: mine(t.baskets(), preset(p), keep=t.keep)["rules"].drop("leverage", "conviction"), sql("SELECT antecedent, consequent, c_ab AS count_ab, c_a AS count_a, c_b AS count_b, n, round(c_ab / CAST(n AS DOUBLE), 6) AS support, round(c_ab / CAST(c_a AS DOUBLE), 6) AS confidence, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift FROM ru", *_ctes))
+    register(f"mine_preset_{_p.lower()}", lambda t, p=_p: mine(t.baskets(), preset(p), keep=t.keep)["rules"].drop("leverage", "conviction"), sql("SELECT antecedent, consequent, c_ab AS count_ab, c_a AS count_a, c_b AS count_b, n, round(c_ab / CAST(n AS DOUBLE), 6) AS support, round(c_ab / CAST(c_a AS DOUBLE), 6) AS confidence, round(c_ab * CAST(n AS DOUBLE) / (c_a * c_b), 6) AS lift FROM ru", *_ctes))
 
 
 def _single(t: Tables) -> DataFrame:
@@ -413,7 +414,7 @@ def _single(t: Tables) -> DataFrame:
     return M.single_sided(one.unionByName(longer)).select("antecedent", "consequent", "support")
 
 
-two("rules_single_sided", _single, sql("SELECT antecedent, consequent, round(c_ab / CAST(n AS DOUBLE), 6) AS support FROM ru", *_C))
+register("rules_single_sided", _single, sql("SELECT antecedent, consequent, round(c_ab / CAST(n AS DOUBLE), 6) AS support FROM ru", *_C))
 
 # --- Recommendations --------------------------------------------------------------------------------------------------------
 
@@ -425,9 +426,9 @@ def _movie_rules(t: Tables) -> DataFrame:
 
 _M = mined(_MT, 0.0013, 0.0)
 _SEEDED = f"fr AS (SELECT *, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) AS lift, c_ab / CAST(c_a AS DOUBLE) AS confidence, c_ab / CAST(n AS DOUBLE) AS support FROM ru), fs AS (SELECT * FROM fr WHERE antecedent = '{SEED}' AND consequent LIKE 'movie:%' AND consequent <> '{SEED}' AND lift >= CAST(1.1 AS DOUBLE) AND confidence >= CAST(0.01 AS DOUBLE)), rc AS (SELECT consequent AS rec_token, max(lift) AS lift, max(confidence) AS confidence, max(support) AS support, count(*) AS evidence_count FROM fs GROUP BY 1 ORDER BY round(max(lift), 9) DESC, max(confidence) DESC, max(support) DESC, consequent LIMIT 10)"
-two("recommend_seed", lambda t: R.recommend(_movie_rules(t), SEED, min_confidence=0.01), sql("SELECT rec_token, round(lift, 6) AS lift, round(confidence, 6) AS confidence, round(support, 6) AS support, evidence_count, row_number() OVER (ORDER BY round(lift, 9) DESC, confidence DESC, support DESC, rec_token) AS rank FROM rc", *_M, _SEEDED))
-two("recommend_evidence", lambda t: R.evidence(_movie_rules(t), SEED, min_confidence=0.01).select("rec_token", "antecedent", "consequent", "lift", "evidence_rank"), sql("SELECT consequent AS rec_token, antecedent, consequent, round(lift, 6) AS lift, CAST(1 AS BIGINT) AS evidence_rank FROM fs WHERE consequent IN (SELECT rec_token FROM rc)", *_M, _SEEDED))
-two("item_tag_dna", lambda t: R.tag_dna(_movie_rules(t), SEED), sql(f"SELECT tag, round(max(support), 6) AS support, round(max(confidence), 6) AS confidence, round(max(lift), 6) AS lift FROM (SELECT CASE WHEN antecedent = '{SEED}' THEN consequent ELSE antecedent END AS tag, * FROM fr WHERE '{SEED}' IN (antecedent, consequent)) WHERE tag LIKE 'tag:%' GROUP BY 1 ORDER BY round(max(fr_lift), 9) DESC LIMIT 5".replace("max(fr_lift), 9) DESC", "max(lift), 9) DESC, max(confidence) DESC, max(support) DESC, tag"), *_M, _SEEDED))
+register("recommend_seed", lambda t: R.recommend(_movie_rules(t), SEED, min_confidence=0.01), sql("SELECT rec_token, round(lift, 6) AS lift, round(confidence, 6) AS confidence, round(support, 6) AS support, evidence_count, row_number() OVER (ORDER BY round(lift, 9) DESC, confidence DESC, support DESC, rec_token) AS rank FROM rc", *_M, _SEEDED))
+register("recommend_evidence", lambda t: R.evidence(_movie_rules(t), SEED, min_confidence=0.01).select("rec_token", "antecedent", "consequent", "lift", "evidence_rank"), sql("SELECT consequent AS rec_token, antecedent, consequent, round(lift, 6) AS lift, CAST(1 AS BIGINT) AS evidence_rank FROM fs WHERE consequent IN (SELECT rec_token FROM rc)", *_M, _SEEDED))
+register("item_tag_dna", lambda t: R.tag_dna(_movie_rules(t), SEED), sql(f"SELECT tag, round(max(support), 6) AS support, round(max(confidence), 6) AS confidence, round(max(lift), 6) AS lift FROM (SELECT CASE WHEN antecedent = '{SEED}' THEN consequent ELSE antecedent END AS tag, * FROM fr WHERE '{SEED}' IN (antecedent, consequent)) WHERE tag LIKE 'tag:%' GROUP BY 1 ORDER BY round(max(fr_lift), 9) DESC LIMIT 5".replace("max(fr_lift), 9) DESC", "max(lift), 9) DESC, max(confidence) DESC, max(support) DESC, tag"), *_M, _SEEDED))
 
 
 # Rules of up to three tokens lead from a genre to its movies: many recommendations, with several rules each.
@@ -447,26 +448,26 @@ def _genre_rules(t: Tables) -> DataFrame:
     return I.set_rules(I.frequent_sets(own, 0.008, 3), own.n, 0.0, 0.0).withColumn("rec_token", X.first_movie(F.col("consequent")))
 
 
-two("recommend_many", lambda t: R.recommend(_genre_rules(t), GENRE_SEED, 12, min_confidence=0.02), sql("SELECT rec_token, round(lift, 6) AS lift, round(confidence, 6) AS confidence, round(support, 6) AS support, evidence_count, rank FROM rc WHERE rank <= 12", *_WHY))
-two("evidence_many", lambda t: R.evidence(_genre_rules(t), GENRE_SEED, 12, 3, min_confidence=0.02).select("rec_token", "rank", "antecedent", "consequent", "lift", "evidence_rank"), sql("SELECT rec_token, rank, antecedent, consequent, round(lift, 6) AS lift, r AS evidence_rank FROM (SELECT fw.*, rc.rank, row_number() OVER (PARTITION BY fw.rec_token ORDER BY round(fw.lift, 9) DESC, fw.confidence DESC, fw.support DESC, antecedent, consequent) AS r FROM fw JOIN rc ON rc.rec_token = fw.rec_token WHERE rank <= 12) WHERE r <= 3", *_WHY))
+register("recommend_many", lambda t: R.recommend(_genre_rules(t), GENRE_SEED, 12, min_confidence=0.02), sql("SELECT rec_token, round(lift, 6) AS lift, round(confidence, 6) AS confidence, round(support, 6) AS support, evidence_count, rank FROM rc WHERE rank <= 12", *_WHY))
+register("evidence_many", lambda t: R.evidence(_genre_rules(t), GENRE_SEED, 12, 3, min_confidence=0.02).select("rec_token", "rank", "antecedent", "consequent", "lift", "evidence_rank"), sql("SELECT rec_token, rank, antecedent, consequent, round(lift, 6) AS lift, r AS evidence_rank FROM (SELECT fw.*, rc.rank, row_number() OVER (PARTITION BY fw.rec_token ORDER BY round(fw.lift, 9) DESC, fw.confidence DESC, fw.support DESC, antecedent, consequent) AS r FROM fw JOIN rc ON rc.rec_token = fw.rec_token WHERE rank <= 12) WHERE r <= 3", *_WHY))
 
 
 def _c_lists(t: Tables) -> DataFrame:
     return M.as_exported(_rules_c(t))
 
 
-two("genre_semantics", lambda t: R.genre_semantics(_c_lists(t), ["genre:economy"]).select("antecedent", "consequent", "lift", "fallback"), sql("SELECT antecedent, consequent, round(lift, 6) AS lift, NOT own AS fallback FROM (SELECT *, row_number() OVER (ORDER BY own DESC, round(lift, 9) DESC, conf DESC, sup DESC, antecedent, consequent) AS r, max(own) OVER () AS any_own FROM (SELECT *, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) AS lift, c_ab / CAST(c_a AS DOUBLE) AS conf, c_ab / CAST(n AS DOUBLE) AS sup, 'genre:economy' IN (antecedent, consequent) AS own FROM ru)) WHERE r <= 10 AND own = any_own", *_C))
-two("seed_coverage", lambda t: R.seed_coverage(t.movies, _movie_rules(t)), sql("SELECT (SELECT count(*) FROM mc) AS movies, (SELECT count(DISTINCT antecedent) FROM ru WHERE antecedent LIKE 'movie:%') AS covered, round(100.0 * CAST((SELECT count(DISTINCT antecedent) FROM ru WHERE antecedent LIKE 'movie:%') AS DOUBLE) / (SELECT count(*) FROM mc), 6) AS coverage_percent", *_M))
-two("seed_options", lambda t: R.seed_options(t.movies, _movie_rules(t)), sql("SELECT 'movie:' || CAST(movieId AS VARCHAR) AS token, title FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) IN (SELECT antecedent FROM ru)", *_M))
-two("default_seed", lambda t: t.spark.createDataFrame([(R.default_seed(R.seed_options(t.movies, _movie_rules(t)), ["movie:-1"]),)], "token string"), sql("SELECT 'movie:' || CAST(movieId AS VARCHAR) AS token FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) IN (SELECT antecedent FROM ru) ORDER BY title, 'movie:' || CAST(movieId AS VARCHAR) LIMIT 1", *_M))
-two("rule_evidence", lambda t: R.rule_evidence(_movie_rules(t), t.movies, SEED, min_confidence=0.01), sql(f"SELECT antecedent AS seed_movie_token, (SELECT title FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) = '{SEED}') AS seed_title, consequent AS rec_movie_token, mc.title AS rec_title, antecedent, consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM fs JOIN mc ON 'movie:' || CAST(mc.movieId AS VARCHAR) = consequent WHERE consequent IN (SELECT rec_token FROM rc)", *_M, _SEEDED))
-two("seed_genre_tokens", lambda t: FE.exploded_genres(t.movies).select("genre").distinct().select("genre", X.seed_genre_token(F.col("genre")).alias("token")), sql("SELECT DISTINCT genre, 'genre:' || regexp_replace(lower(trim(genre)), '[ -]', '_', 'g') AS token FROM mg"))
-two(
+register("genre_semantics", lambda t: R.genre_semantics(_c_lists(t), ["genre:economy"]).select("antecedent", "consequent", "lift", "fallback"), sql("SELECT antecedent, consequent, round(lift, 6) AS lift, NOT own AS fallback FROM (SELECT *, row_number() OVER (ORDER BY own DESC, round(lift, 9) DESC, conf DESC, sup DESC, antecedent, consequent) AS r, max(own) OVER () AS any_own FROM (SELECT *, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) AS lift, c_ab / CAST(c_a AS DOUBLE) AS conf, c_ab / CAST(n AS DOUBLE) AS sup, 'genre:economy' IN (antecedent, consequent) AS own FROM ru)) WHERE r <= 10 AND own = any_own", *_C))
+register("seed_coverage", lambda t: R.seed_coverage(t.movies, _movie_rules(t)), sql("SELECT (SELECT count(*) FROM mc) AS movies, (SELECT count(DISTINCT antecedent) FROM ru WHERE antecedent LIKE 'movie:%') AS covered, round(100.0 * CAST((SELECT count(DISTINCT antecedent) FROM ru WHERE antecedent LIKE 'movie:%') AS DOUBLE) / (SELECT count(*) FROM mc), 6) AS coverage_percent", *_M))
+register("seed_options", lambda t: R.seed_options(t.movies, _movie_rules(t)), sql("SELECT 'movie:' || CAST(movieId AS VARCHAR) AS token, title FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) IN (SELECT antecedent FROM ru)", *_M))
+register("default_seed", lambda t: t.spark.createDataFrame([(R.default_seed(R.seed_options(t.movies, _movie_rules(t)), ["movie:-1"]),)], "token string"), sql("SELECT 'movie:' || CAST(movieId AS VARCHAR) AS token FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) IN (SELECT antecedent FROM ru) ORDER BY title, 'movie:' || CAST(movieId AS VARCHAR) LIMIT 1", *_M))
+register("rule_evidence", lambda t: R.rule_evidence(_movie_rules(t), t.movies, SEED, min_confidence=0.01), sql(f"SELECT antecedent AS seed_movie_token, (SELECT title FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) = '{SEED}') AS seed_title, consequent AS rec_movie_token, mc.title AS rec_title, antecedent, consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM fs JOIN mc ON 'movie:' || CAST(mc.movieId AS VARCHAR) = consequent WHERE consequent IN (SELECT rec_token FROM rc)", *_M, _SEEDED))
+register("seed_genre_tokens", lambda t: FE.exploded_genres(t.movies).select("genre").distinct().select("genre", X.seed_genre_token(F.col("genre")).alias("token")), sql("SELECT DISTINCT genre, 'genre:' || regexp_replace(lower(trim(genre)), '[ -]', '_', 'g') AS token FROM mg"))
+register(
     "tokens_displayed",
     lambda t: P.with_titles(B.doc_freq(t.baskets()), t.movies, "token").select("token", X.decode_display(F.col("token"), F.col("token_title")).alias("shown")),
     sql("SELECT token, CASE family WHEN 'movie' THEN coalesce(title, token) WHEN 'tag' THEN split_part(token, ':', 2) WHEN 'genre' THEN (SELECT string_agg(CASE WHEN i = 1 OR NOT regexp_matches(v[i - 1], '[a-z]') THEN upper(v[i]) ELSE v[i] END, '' ORDER BY i) FROM range(1, length(v) + 1) r(i)) ELSE token END AS shown FROM (SELECT token, family, replace(split_part(token, ':', 2), '_', ' ') AS v FROM df) LEFT JOIN (SELECT 'movie:' || CAST(movieId AS VARCHAR) AS token, title FROM mc) USING (token)"),
 )
-two("rules_by_token", lambda t: seeds.seed_index(_c_lists(t)).groupBy("token").agg(F.count("*").alias("n"), F.round(F.max("lift"), 6).alias("lift"), F.count_distinct("bucket").alias("buckets")), sql("SELECT token, count(*) AS n, round(max(lift), 6) AS lift, CAST(1 AS BIGINT) AS buckets FROM (SELECT antecedent AS token, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) AS lift FROM ru UNION ALL SELECT consequent, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) FROM ru) GROUP BY 1", *_C))
+register("rules_by_token", lambda t: seeds.seed_index(_c_lists(t)).groupBy("token").agg(F.count("*").alias("n"), F.round(F.max("lift"), 6).alias("lift"), F.count_distinct("bucket").alias("buckets")), sql("SELECT token, count(*) AS n, round(max(lift), 6) AS lift, CAST(1 AS BIGINT) AS buckets FROM (SELECT antecedent AS token, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) AS lift FROM ru UNION ALL SELECT consequent, c_ab * CAST(n AS DOUBLE) / (c_a * c_b) FROM ru) GROUP BY 1", *_C))
 
 
 def _preferred(t: Tables) -> DataFrame:
@@ -476,7 +477,7 @@ def _preferred(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(R.default_seed(options, ["movie:-1", last]),)], "token string")
 
 
-two("preferred_seed", _preferred, sql("SELECT max('movie:' || CAST(movieId AS VARCHAR)) AS token FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) IN (SELECT antecedent FROM ru)", *_M))
+register("preferred_seed", _preferred, sql("SELECT max('movie:' || CAST(movieId AS VARCHAR)) AS token FROM mc WHERE 'movie:' || CAST(movieId AS VARCHAR) IN (SELECT antecedent FROM ru)", *_M))
 
 
 def _cells(t: Tables) -> DataFrame:
@@ -494,9 +495,9 @@ def _cells(t: Tables) -> DataFrame:
     return t.raw.read("part").select(key.alias("movieId"), F.size(tokens).alias("n"), F.array_join(tokens, "|").alias("tokens"))
 
 
-two("list_cells", _cells, "SELECT p_partkey AS movieId, CAST(CASE p_partkey % 6 WHEN 5 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 2 END AS BIGINT) AS n, CASE p_partkey % 6 WHEN 0 THEN p_name || '|' || p_brand WHEN 1 THEN p_name || '|it' || chr(39) || 's ' || p_brand WHEN 2 THEN p_name || '|' || p_brand WHEN 3 THEN p_name WHEN 4 THEN '(' || chr(39) || p_name || chr(39) || ')' ELSE '' END AS tokens FROM part")
-two("rule_vocabulary", lambda t: R.vocabulary(_c_lists(t)), sql("SELECT antecedent AS token FROM ru UNION SELECT consequent FROM ru", *_C))
-two("audit_gates", lambda t: Q.join_coverage(t.ratings, t.movies, "movieId").select(F.lit("integrity").alias("gate"), (F.col("coverage") >= 0.95).alias("passed")).unionByName(S.split_sizes(*t.split()).select(F.lit("split").alias("gate"), ((F.col("train_rows") > 0) & (F.col("test_rows") > 0)).alias("passed"))), sql("SELECT 'integrity' AS gate, (SELECT count(*) FROM ev WHERE movieId IN (SELECT movieId FROM mc)) >= CAST(0.95 AS DOUBLE) * (SELECT count(*) FROM ev) AS passed UNION ALL SELECT 'split', (SELECT count(*) FROM trn) > 0 AND (SELECT count(*) FROM tst) > 0"))
+register("list_cells", _cells, "SELECT p_partkey AS movieId, CAST(CASE p_partkey % 6 WHEN 5 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 2 END AS BIGINT) AS n, CASE p_partkey % 6 WHEN 0 THEN p_name || '|' || p_brand WHEN 1 THEN p_name || '|it' || chr(39) || 's ' || p_brand WHEN 2 THEN p_name || '|' || p_brand WHEN 3 THEN p_name WHEN 4 THEN '(' || chr(39) || p_name || chr(39) || ')' ELSE '' END AS tokens FROM part")
+register("rule_vocabulary", lambda t: R.vocabulary(_c_lists(t)), sql("SELECT antecedent AS token FROM ru UNION SELECT consequent FROM ru", *_C))
+register("audit_gates", lambda t: Q.join_coverage(t.ratings, t.movies, "movieId").select(F.lit("integrity").alias("gate"), (F.col("coverage") >= 0.95).alias("passed")).unionByName(S.split_sizes(*t.split()).select(F.lit("split").alias("gate"), ((F.col("train_rows") > 0) & (F.col("test_rows") > 0)).alias("passed"))), sql("SELECT 'integrity' AS gate, (SELECT count(*) FROM ev WHERE movieId IN (SELECT movieId FROM mc)) >= CAST(0.95 AS DOUBLE) * (SELECT count(*) FROM ev) AS passed UNION ALL SELECT 'split', (SELECT count(*) FROM trn) > 0 AND (SELECT count(*) FROM tst) > 0"))
 
 
 def _passes(gate: Callable, *args) -> bool:
@@ -524,7 +525,7 @@ def _share(facts: str, dims: str) -> str:
     return f"(SELECT count(*) FILTER (movieId IN (SELECT movieId FROM {dims})) >= CAST(0.95 AS DOUBLE) * count(*) FROM {facts})"
 
 
-two("hard_gates", _gates, sql("SELECT 'movies' AS gate, (SELECT count(*) = count(DISTINCT movieId) FROM mc) AS passed UNION ALL SELECT 'movies_repeated', (SELECT 2 * count(*) = count(DISTINCT movieId) FROM mc) UNION ALL SELECT 'movies_without_title', false UNION ALL SELECT 'ratings', (SELECT count(*) = count(userId) AND count(*) = count(movieId) FROM ev) UNION ALL SELECT 'tags', (SELECT count(*) = count(userId) AND count(*) = count(movieId) AND count(*) = count(nullif(tag_norm, '')) FROM tc) UNION ALL SELECT 'links', (SELECT count(*) = count(DISTINCT movieId) FROM lc) UNION ALL SELECT 'ratings_to_movies', " + _share("ev", "mc") + " UNION ALL SELECT 'ratings_to_late_movies', " + _share("ev", "(SELECT * FROM mc WHERE year >= 2000)") + " UNION ALL SELECT 'tags_to_movies', " + _share("tc", "mc")))
+register("hard_gates", _gates, sql("SELECT 'movies' AS gate, (SELECT count(*) = count(DISTINCT movieId) FROM mc) AS passed UNION ALL SELECT 'movies_repeated', (SELECT 2 * count(*) = count(DISTINCT movieId) FROM mc) UNION ALL SELECT 'movies_without_title', false UNION ALL SELECT 'ratings', (SELECT count(*) = count(userId) AND count(*) = count(movieId) FROM ev) UNION ALL SELECT 'tags', (SELECT count(*) = count(userId) AND count(*) = count(movieId) AND count(*) = count(nullif(tag_norm, '')) FROM tc) UNION ALL SELECT 'links', (SELECT count(*) = count(DISTINCT movieId) FROM lc) UNION ALL SELECT 'ratings_to_movies', " + _share("ev", "mc") + " UNION ALL SELECT 'ratings_to_late_movies', " + _share("ev", "(SELECT * FROM mc WHERE year >= 2000)") + " UNION ALL SELECT 'tags_to_movies', " + _share("tc", "mc")))
 
 
 def _audit(t: Tables) -> DataFrame:
@@ -539,7 +540,7 @@ def _audit(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(list(report["gates"].items()), "gate string, passed boolean")
 
 
-two("audit_run", _audit, sql("SELECT 'integrity' AS gate, " + _share("ev", "mc") + " AND " + _share("tc", "mc") + " AS passed UNION ALL SELECT 'split', (SELECT count(*) FROM trn) > 0 AND (SELECT count(*) FROM tst) > 0 AND (SELECT max(us) FROM trn) < (SELECT min(us) FROM tst) UNION ALL SELECT 'features', (SELECT count(DISTINCT userId) FROM trn) > 0 UNION ALL SELECT 'readiness', (SELECT count(*) FROM ra) > 0", _RED))
+register("audit_run", _audit, sql("SELECT 'integrity' AS gate, " + _share("ev", "mc") + " AND " + _share("tc", "mc") + " AS passed UNION ALL SELECT 'split', (SELECT count(*) FROM trn) > 0 AND (SELECT count(*) FROM tst) > 0 AND (SELECT max(us) FROM trn) < (SELECT min(us) FROM tst) UNION ALL SELECT 'features', (SELECT count(DISTINCT userId) FROM trn) > 0 UNION ALL SELECT 'readiness', (SELECT count(*) FROM ra) > 0", _RED))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -77,6 +77,25 @@ def test_stream(spark, raw, tmp_path):
     assert spark.table("likes").count() == ratings.where("rating >= 4").count()
 
 
+def test_hourly_likes(spark, tmp_path):
+    """Hours are given once the watermark has passed them, with what came in time; later likes of a closed hour are left out."""
+    from tastemill.streaming.cleaners import hourly_likes
+
+    schema, place = "userId int, movieId int, rating float, timestamp bigint", str(tmp_path / "in")
+    put_in = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(place)
+    hour = 3600
+    put_in((1, 1, 5.0, 10), (2, 1, 4.0, 20), (3, 1, 1.0, 30))
+    likes = stream_likes(spark, place, spark.read.parquet(place).schema)
+    q = hourly_likes(likes, "1 hour").writeStream.format("memory").queryName("hours").outputMode("append").start()
+    q.processAllAvailable()
+    put_in((1, 2, 5.0, 50), (1, 3, 5.0, 5 * hour))
+    q.processAllAvailable()
+    put_in((1, 4, 5.0, 60), (1, 5, 5.0, 9 * hour))
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.s, r.likes) for r in spark.table("hours").selectExpr("unix_seconds(window.start) AS s", "likes").orderBy("s").collect()] == [(0, 3), (5 * hour, 1)]
+
+
 def test_command_lines(spark, raw, tmp_path):
     from tastemill.__main__ import main
 
