@@ -19,10 +19,10 @@ def likes(ratings: DataFrame, threshold: float = 4.0) -> DataFrame:
     return ratings.where(F.col("rating") >= threshold).select("userId", "movieId").distinct()
 
 
-def basket_tokens(
+def token_rows(
     ratings: DataFrame, movies: DataFrame, tags: DataFrame, like_threshold: float = 4.0, min_tag_freq: int = 10, families: tuple[str, ...] = FAMILIES
 ) -> DataFrame:
-    """Distinct ``userId, token`` of liked movies, their genres and the user's own frequent tags on them."""
+    """``userId, token`` of liked movies, their genres and the user's own frequent tags on them; a genre or tag comes once for each movie that has it."""
     liked, parts = likes(ratings, like_threshold), []
     if "movie" in families:
         parts.append(liked.select("userId", X.movie_token(F.col("movieId")).alias("token")))
@@ -37,7 +37,12 @@ def basket_tokens(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out
+
+
+def basket_tokens(ratings: DataFrame, movies: DataFrame, tags: DataFrame, **options) -> DataFrame:
+    """The distinct rows of ``token_rows``."""
+    return token_rows(ratings, movies, tags, **options).distinct()
 
 
 def to_baskets(tokens: DataFrame) -> DataFrame:
@@ -50,7 +55,8 @@ def to_tokens(baskets: DataFrame) -> DataFrame:
 
 
 def transactions(ratings: DataFrame, movies: DataFrame, tags: DataFrame, **options) -> DataFrame:
-    return to_baskets(basket_tokens(ratings, movies, tags, **options))
+    """Sets of tokens drop repeats themselves, in the tasks that make the tokens and after one shuffle."""
+    return to_baskets(token_rows(ratings, movies, tags, **options))
 
 
 def doc_freq(baskets: DataFrame) -> DataFrame:
