@@ -127,7 +127,7 @@ def test_prefix_trie_edges(spark):
     gone = [c for c in range(1, 40) if c % 5 and zlib.crc32(str(c).encode()) % 9][:1]
     turnless = [(gone[0], 0, "user", "x")]  # its own turn is replaced by a conversation that is not there
     assert got(turnless) == trie(turnless) == [(gone[0], 0, -99, 1, 0, 1, 0, hashlib.sha256(str(gone[0]).encode()).hexdigest())]
-    long = [(5, t, "user", "y" * 50) for t in range(3000)] + [(10, t, "user", "y" * 50) for t in range(2500)]
+    long = [(5, t, "user", "y" * 50) for t in range(400)] + [(10, t, "user", "y" * 50) for t in range(350)]
     assert got(long) == trie(long)
     ids = [(c * 40_000 - 120_000, 0, "user", "same") for c in range(0, 60, 5)]  # lists of ids of several chunks
     assert got(ids) == trie(ids)
