@@ -1,4 +1,4 @@
-"""Frames that several counts read, kept on the executors' disks for as long as a result that reads them is held.
+"""Frames that several counts read, kept by the executors, in memory or on their disks, for as long as a result that reads them is held.
 
 A lease counts its holders. Spark finds a kept frame by its plan, and a plan does not tell a table from its rewritten self; so a lease also knows the
 state of the files it was made from, their number, bytes and time of change, and gives way to one of another state. What a lost executor held is computed again.
@@ -53,7 +53,7 @@ class Scope:
             lease.frame.unpersist(blocking=True)
             lease = None
         if not lease:
-            lease = _LEASES[key] = _Lease(df.persist(StorageLevel.DISK_ONLY), self.state)
+            lease = _LEASES[key] = _Lease(df.persist(StorageLevel.MEMORY_AND_DISK), self.state)
         lease.holders += 1
         self.held.append((key, lease))
         return df

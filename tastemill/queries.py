@@ -72,13 +72,13 @@ class Tables:
         return S.tags_before(self.tags, S.time_cutoff(self.ratings))
 
     def tokens(self, **options) -> DataFrame:
-        return self.keep(B.basket_tokens(self.split_once()[0], self.movies, self.tags_train(), **options))
+        return self.keep(B.basket_tokens(self.split()[0], self.movies, self.tags_train(), **options))
 
     def test_tokens(self, **options) -> DataFrame:
-        return B.basket_tokens(self.split_once()[1], self.movies, self.tags, **options)
+        return B.basket_tokens(self.split()[1], self.movies, self.tags, **options)
 
     def baskets(self, **options) -> DataFrame:
-        return self.keep(B.transactions(self.split_once()[0], self.movies, self.tags_train(), **options))
+        return self.keep(B.transactions(self.split()[0], self.movies, self.tags_train(), **options))
 
     def coded(self, support: float, *families: str) -> I.Coded:
         return I.coded(self.tokens(families=families), support, self.keep)
