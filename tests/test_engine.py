@@ -9,7 +9,7 @@ from tastemill.operators import recommend as R
 from tastemill.operators import split as S
 from tastemill.operators.clean import clean_ratings, clean_tags
 from tastemill.plans.config import PipelineConfig, clamp, preset
-from tastemill.plans.pipeline import mine, validation_summary, value_at
+from tastemill.plans.pipeline import mine, need_families, validation_summary, value_at
 
 
 def rated(spark, rows):
@@ -174,3 +174,12 @@ def test_genres_side_by_side_or_pivoted(spark, monkeypatch):
     assert key(side) == wanted and side.columns == ["userId", "genre_pref__a", "genre_pref__b"]
     monkeypatch.setattr(FE, "SIDE_BY_SIDE", 0)
     assert key(FE.user_genre_prefs(train, movies)) == wanted
+
+
+def test_mine_without_a_family(spark):
+    """No movie is frequent: no rules, as in SQL; a written run refuses such baskets."""
+    b = baskets(spark, *([["movie:%d" % i, "tag:t"] for i in range(12)]))
+    found = mine(b, preset("B", low_support=0.5))
+    assert found["rules"].count() == 0 and [r["items"] for r in found["itemsets"].collect()] == [["tag:t"]]
+    with pytest.raises(ValueError, match="movie and tag"):
+        need_families(found["dictionary"], "movie", "tag")
