@@ -406,3 +406,19 @@ def test_toxicity(spark):
     assert 0 <= got[900].score < toxicity.THRESHOLD and got[900].score == got[901].score
     none = toxicity.toxicity(docs(spark, ["a"]), labels.limit(0)).first()
     assert none.score == 0.0 and hashlib is not None
+
+
+def test_pairs_that_meet_are_verified_by_edit_similarity_alone(spark):
+    """Pairs with one letter changed in each of many words, on both sides of the threshold, against the plain edit distance."""
+    rng, rows = random.Random(4), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    for i in range(60):
+        words = [word() for _ in range(rng.choice([6, 16, 40]))]
+        share = rng.choice([0.4, 0.6, 0.9, 1.0])
+        rows.append((2 * i, 2 * i + 1, " ".join(words), " ".join("z" + w[1:] if rng.random() < share else w for w in words)))
+    table = spark.createDataFrame(rows, "a long, b long, x string, y string")
+    longest = F.greatest(F.length("x"), F.length("y"))
+    wanted = table.where(F.levenshtein("x", "y") <= F.floor(longest * (1 - line_dedup.SIMILARITY) + 1e-9)).select("a", "b").collect()
+    texts = table.selectExpr("a AS key", "x AS text").unionByName(table.selectExpr("b AS key", "y AS text"))
+    got = line_dedup.verified(table.select("a", "b"), texts, line_dedup.SIMILARITY).collect()
+    assert 30 < len(wanted) < 60 and sorted(map(tuple, got)) == sorted(map(tuple, wanted))
