@@ -8,6 +8,7 @@ from tastemill.operators import quality as Q
 from tastemill.operators import recommend as R
 from tastemill.operators import split as S
 from tastemill.operators.clean import clean_ratings, clean_tags
+from tastemill.plans import sizes
 from tastemill.plans.config import PipelineConfig, clamp, preset
 from tastemill.plans.pipeline import mine, need_families, validation_summary, value_at
 
@@ -183,3 +184,26 @@ def test_mine_without_a_family(spark):
     assert found["rules"].count() == 0 and [r["items"] for r in found["itemsets"].collect()] == [["tag:t"]]
     with pytest.raises(ValueError, match="movie and tag"):
         need_families(found["dictionary"], "movie", "tag")
+
+
+def test_shuffles_follow_the_tables(spark):
+    own = {k: spark.conf.get(k) for k in (sizes.PARTITIONS, *sizes.LARGE)}
+    now = lambda: {k: spark.conf.get(k) for k in own}
+    cores = spark.sparkContext.defaultParallelism
+    sizes.size_shuffles(spark, cores * sizes.PART_BYTES)
+    assert now() == own
+    for times in (10, 60):
+        sizes.size_shuffles(spark, times * cores * sizes.PART_BYTES)
+        assert now() == sizes.LARGE | {sizes.PARTITIONS: str(times * cores)}
+    sizes.size_shuffles(spark, 1)
+    assert now() == own
+
+
+def test_tokens_are_distinct(spark):
+    train = rated(spark, [(1, 7, 5.0, 1), (1, 7, 4.0, 2), (1, 8, 5.0, 3), (2, 7, 4.0, 4)])
+    movies = spark.createDataFrame([(7, ["A", "B"]), (8, ["A"])], "movieId int, genres_list array<string>")
+    tags = spark.createDataFrame([], "userId int, movieId int, tag_norm string")
+    wanted = [(1, "genre:a"), (1, "genre:b"), (1, "movie:7"), (1, "movie:8"), (2, "genre:a"), (2, "genre:b"), (2, "movie:7")]
+    for families in (B.FAMILIES, ("movie",), ("genre", "tag")):
+        got = sorted(map(tuple, B.basket_tokens(train, movies, tags, families=families).collect()))
+        assert got == [r for r in wanted if r[1].split(":")[0] in families]
