@@ -305,6 +305,38 @@ def test_lines_of_rows_that_repeat_an_id(spark, monkeypatch):
     assert sorted((r.text is None, r.n_removed) for r in got if r.doc_id is None) == [(False, 0), (True, 0)]
 
 
+def rows_written(monkeypatch):
+    """The rows of each table that line dedup writes, by name."""
+    rows, write = {}, line_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    return rows
+
+
+def test_a_family_of_near_lines_is_not_split(spark, monkeypatch):
+    """Large buckets whose lines are one group after the first round make no further rows."""
+    rows = rows_written(monkeypatch)
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    rng = random.Random(15)
+    line = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+    near = [" ".join([*line[:i], "changed", *line[i + 1 :]]) for i in range(20)]
+    got = line_dedup.dedup_lines(docs(spark, near)).where("n_removed > 0").count()
+    assert got == 19 and rows["met"] == rows["buckets"] and rows["met"][0] <= 20 * line_dedup.BUCKETS and rows["second"] == [0]
+
+
+def test_common_short_words_are_no_buckets(spark, monkeypatch):
+    rows = rows_written(monkeypatch)
+    rng = random.Random(16)
+    lines = [" ".join([*(f"word{rng.randrange(10**6)}" for _ in range(12)), "of the in to of a by of the to"]) for _ in range(60)]
+    assert line_dedup.dedup_lines(docs(spark, lines)).where("n_removed > 0").count() == 0
+    assert rows["buckets"] == [0]
+
+
 def test_short_lines(spark, tmp_path):
     """The query drops every repeated line that has a letter or digit, and near lines of a script without spaces."""
     han = "".join(chr(0x4E00 + i * 7) for i in range(40))
