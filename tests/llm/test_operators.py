@@ -454,3 +454,26 @@ def test_pairs_that_meet_are_verified_by_edit_similarity_alone(spark):
     texts = table.selectExpr("a AS key", "x AS text").unionByName(table.selectExpr("b AS key", "y AS text"))
     got = line_dedup.verified(table.select("a", "b"), texts, line_dedup.SIMILARITY).collect()
     assert 30 < len(wanted) < 60 and sorted(map(tuple, got)) == sorted(map(tuple, wanted))
+
+
+def test_pairs_are_told_apart_by_their_ends_without_loss(spark):
+    """The test by starts and ends keeps every pair that the plain edit distance links, and drops lines that only hold one phrase in common."""
+    rng, rows = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    line = lambda n: [word() for _ in range(n)]
+    for i in range(120):
+        words, phrase = line(rng.choice([1, 6, 16, 40])), line(6)
+        share, at = rng.choice([0.3, 0.6, 0.9, 1.0]), rng.randrange(len(words) + 1)
+        near = ["z" + w[1:] if rng.random() < share else w for w in words]
+        near = rng.choice([near, near[:at] + line(rng.randint(0, len(words) // 4)) + near[at:], near[rng.randint(0, len(words) // 4) :] or ["z"]])
+        rows.append((4 * i, 4 * i + 1, " ".join(words), " ".join(near)))
+        rows.append((4 * i + 2, 4 * i + 3, " ".join([*line(20), *phrase, *line(20)]), " ".join([*line(15), *phrase, *line(25)])))
+    table = spark.createDataFrame(rows, "a long, b long, x string, y string")
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - line_dedup.SIMILARITY) + 1e-9).cast("int")
+    wanted = set(map(tuple, table.where(F.levenshtein("x", "y") <= most).select("a", "b").collect()))
+    left = set(map(tuple, table.where(line_dedup.ends_match("x", "y", most)).select("a", "b").collect()))
+    assert len(wanted) > 30 and wanted <= left and sum(a % 4 == 2 for a, _ in left) < 12
+    texts = table.selectExpr("a AS key", "x AS text").unionByName(table.selectExpr("b AS key", "y AS text"))
+    for unlike in (False, True):
+        got = line_dedup.verified(table.select("a", "b"), texts, line_dedup.SIMILARITY, mostly_unlike=unlike).collect()
+        assert set(map(tuple, got)) == wanted
